@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a lookup side that may be broadcast; beyond it the join shuffles.
+#: Rows and bytes of a lookup side that may be broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,8 +42,14 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner", rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a lookup table that was written before: broadcast while it has at most ``limit`` rows, else a shuffle
-    join, whose hot keys AQE splits."""
-    n = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if n <= limit else small.hint("merge"), on, how)
+def fits(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be broadcast: its rows and the bytes of its strings, both measured."""
+    text = [f.name for f in table.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    total = sum((F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("binary"))), F.lit(0)) for c in text), F.lit(0))
+    n, of_text = table.agg(F.count(F.lit(1)), total).first()
+    return n <= rows and of_text + 16 * n <= size
+
+
+def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a written lookup table: broadcast while it fits, else a shuffled join, whose hot keys AQE splits."""
+    return big.join(F.broadcast(table) if fits(table) else table.hint("merge"), on, how)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.llm.tokenizers import TOKENIZER_DIR, WHITE, encoding
 
@@ -98,7 +99,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", out: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """The columns ``keep`` and the number of tokens of ``text`` (0 for null)."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def size(texts):
         encode = _encoder(tokenizer, folder)
         return texts.map(lambda t: len(encode_tree(t, encode)) if t else 0).astype("int32")

@@ -7,16 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.llm.encode import encode_corpus
+from voxloom.llm.lookalike import rows_not_canonical, with_canonical
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_not_canonical(_table(spark, sf_dir, "train_final"))
+
+
+def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_canonical(_table(spark, sf_dir, "train_final").select("ord", "text")).select("ord", "canonical")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
 }

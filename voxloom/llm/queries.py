@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm.encode import encode_corpus
+from voxloom.llm.overlap import overlap_counts, overlaps
 from voxloom.llm.lookalike import rows_not_canonical, with_canonical
 
 
@@ -14,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    val, test = _table(spark, sf_dir, "val_final"), _table(spark, sf_dir, "test_final")
+    return val.withColumn("split", F.lit("val")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_table(spark, sf_dir, "train_final"), _evaluation(spark, sf_dir))
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_counts(p4_found(spark, sf_dir), _evaluation(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_not_canonical(_table(spark, sf_dir, "train_final"))
 
@@ -27,6 +42,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.encode import encode_corpus
 from voxloom.llm.overlap import overlap_counts, overlaps
 from voxloom.llm.lookalike import rows_not_canonical, with_canonical
+from voxloom.llm.spans import shared_coverage, shared_pairs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +42,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_pairs(_table(spark, sf_dir, "documents"))
+
+
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_coverage(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_coverage": p8_coverage,
 }

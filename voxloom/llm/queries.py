@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.budget import token_budget, with_domain, with_tokens
 from voxloom.llm.encode import encode_corpus
 from voxloom.llm.overlap import overlap_counts, overlaps
 from voxloom.llm.lookalike import rows_not_canonical, with_canonical
@@ -17,6 +18,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tokens(_table(spark, sf_dir, "train_final").select("ord", "text"))
+
+
+def p1_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = _table(spark, sf_dir, "train_final").select("source", "language", "dataset", "text")
+    return token_budget(with_tokens(with_domain(train, _table(spark, sf_dir, "source_spec"))))
+
+
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     val, test = _table(spark, sf_dir, "val_final"), _table(spark, sf_dir, "test_final")
     return val.withColumn("split", F.lit("val")).unionByName(test.withColumn("split", F.lit("test")))
@@ -51,6 +61,8 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_tokens": p1_tokens,
+    "p1_budget": p1_budget,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,

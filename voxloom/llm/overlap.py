@@ -44,13 +44,18 @@ PAIRED_WORDS = 60
 def recording_key(path: Column) -> Column:
     """bucket/source/file of a path, whatever its root, file type, case and spelling; null if it has fewer parts."""
     p = F.regexp_replace(path, rf"^[{WHITE}]+|[{WHITE}]+$", "")
-    p = F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
-    p = F.regexp_replace(F.lower(F.replace(p, F.lit("\\"), F.lit("/"))), r"^[a-z][a-z0-9+.-]*://", "/")
-    parts = F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
-    start = F.array().cast("array<string>")
-    walked = F.aggregate(parts, start, lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc))
-    last = F.slice(walked, -3, 3)
-    return F.when(F.size(walked) >= 3, F.regexp_replace(F.concat_ws("/", last), r"([^/])\.[^./]*$", "$1"))
+    p = F.when(p.contains("%"), F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)).otherwise(p)
+    p = F.regexp_replace(F.lower(F.translate(p, "\\", "/")), r"^[a-z][a-z0-9+.-]*://", "/")
+    p = F.when(p.contains(".."), _walked(p)).otherwise(F.regexp_replace(p, r"/(\.?/)+", "/"))
+    key = F.regexp_extract(p, r"([^/]+/[^/]+/[^/]+?)(\.[^./]*)?/?$", 1)
+    return F.when(key != "", key)
+
+
+def _walked(path: Column) -> Column:
+    """``path`` with its steps up taken."""
+    parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
+    step = lambda acc, x: F.when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def comparable_words(text: Column) -> Column:
@@ -58,7 +63,7 @@ def comparable_words(text: Column) -> Column:
     # only suspect texts travel to Python
     plain = F.coalesce(plain_form_udf(F.when(suspect(text), text)), text)
     bare = F.regexp_replace(F.lower(plain), r"\p{P}+", "")
-    return F.regexp_replace(F.regexp_replace(bare, rf"[{WHITE}]+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(bare, rf"[{WHITE}]+", " "))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -171,15 +176,16 @@ def overlaps(train: DataFrame, evaluation: DataFrame, key: str = "ord", text: st
     """(train_ord, eval_ord) of every pair of a training and an evaluation row that share recording or sentence."""
     rows = train.select(key, text, path, F.lit(1).alias("side")).unionByName(evaluation.select(key, text, path, F.lit(2).alias("side")))
     rows = rows.select(F.col(key).alias("k"), "side", recording_key(F.col(path)).alias("rec"), comparable_words(F.col(text)).alias("words"))
-    rows = rows.withColumn("words", F.when(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= MIN_WORDS - 1, F.col("words")))
-    rows = written(rows.where("rec is not null or words is not null").withColumns({"h": F.xxhash64("words"), "g": F.xxhash64(F.lit(1), "words")}), "rows")
+    rows = written(rows, "rows")  # unfiltered: a filter would evaluate the expressions once more
+    long = rows.where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= MIN_WORDS - 1)
+    long = long.select("k", "side", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"))
 
     recordings = rows.where("rec is not null").select("k", "side", "rec").distinct()
     by_path = recordings.where("side = 1").select("rec", F.col("k").alias("train_ord")).join(recordings.where("side = 2").select("rec", F.col("k").alias("eval_ord")), "rec").drop("rec")
 
-    texts = written(rows.where("words is not null").groupBy("words").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.bit_or("side").alias("sides")), "texts")
+    texts = written(long.groupBy("words").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.bit_or("side").alias("sides")), "texts")
     found = near_texts(texts)
-    members = rows.where("words is not null").select("k", "side", "h", "g")
+    members = long.select("k", "side", "h", "g")
     by_text = (
         found.join(members.where("side = 1").select(F.col("k").alias("train_ord"), F.col("h").alias("h_a"), F.col("g").alias("g_a")), ["h_a", "g_a"])
         .join(members.where("side = 2").select(F.col("k").alias("eval_ord"), F.col("h").alias("h_b"), F.col("g").alias("g_b")), ["h_b", "g_b"])

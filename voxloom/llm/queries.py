@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.budget import token_budget, with_domain, with_tokens
 from voxloom.llm.encode import encode_corpus
+from voxloom.llm.mixing import Mix
 from voxloom.llm.overlap import overlap_counts, overlaps
 from voxloom.llm.lookalike import rows_not_canonical, with_canonical
+from voxloom.llm.packing import batch_fill, pack_batches
+from voxloom.llm.quantiles import combine, partial_counts, percentiles
 from voxloom.llm.spans import shared_coverage, shared_pairs
 
 
@@ -27,6 +30,27 @@ def p1_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_budget(with_tokens(with_domain(train, _table(spark, sf_dir, "source_spec"))))
 
 
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = {r["profile"]: r["max_duration"] for r in _table(spark, sf_dir, "batch_profiles").collect()}  # a fixed handful
+    return pack_batches(_table(spark, sf_dir, "train_final"), profiles)
+
+
+def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_fill(p2_batches(spark, sf_dir))
+
+
+def p3_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = _table(spark, sf_dir, "train_final").where("duration > 0").select(F.to_date("ingested_at").alias("day"), "dataset", "duration")
+    return partial_counts(usable, "duration", ["day", "dataset"])
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = p3_partials(spark, sf_dir)
+    each = combine(days, by=["dataset"]).withColumn("scope", F.lit("dataset"))
+    over_all = combine(days.withColumn("dataset", F.lit(None).cast("string")), by=["dataset"]).withColumn("scope", F.lit("all"))
+    return percentiles(each.unionByName(over_all), ["scope", "dataset"], [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+
+
 def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     val, test = _table(spark, sf_dir, "val_final"), _table(spark, sf_dir, "test_final")
     return val.withColumn("split", F.lit("val")).unionByName(test.withColumn("split", F.lit("test")))
@@ -52,6 +76,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).choice()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).shares()
+
+
+def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).order()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(_table(spark, sf_dir, "documents"))
 
@@ -63,11 +103,18 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_tokens": p1_tokens,
     "p1_budget": p1_budget,
+    "p2_batches": p2_batches,
+    "p2_fill": p2_fill,
+    "p3_partials": p3_partials,
+    "p3_percentiles": p3_percentiles,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
+    "p7_choice": p7_choice,
+    "p7_shares": p7_shares,
+    "p7_order": p7_order,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
 }

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a lookup side that may be broadcast; beyond either the join shuffles.
@@ -53,3 +54,31 @@ def fits(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
 def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Join a written lookup table: broadcast while it fits, else a shuffled join, whose hot keys AQE splits."""
     return big.join(F.broadcast(table) if fits(table) else table.hint("merge"), on, how)
+
+
+#: Blocks summed in one window; three levels of them cover BLOCK_FAN ** 2 blocks of any size.
+BLOCK_FAN = 4096
+
+
+def running_total(df: DataFrame, by: Sequence[str], block: Column, order: Sequence[str | Column], value: Column, out: str) -> DataFrame:
+    """``df`` with the inclusive running total of ``value`` per ``by`` in the order of (block, order) as ``out``.
+
+    A plain ordered window puts each group into one task. Here ``block`` (a bigint that rises with the order) cuts
+    the groups into pieces that are ordered each in its own task; the totals of the pieces, and of ``BLOCK_FAN`` pieces
+    each, are small tables. Null group values are groups. ``order`` must be total within a block."""
+    keys = [f"_g{i}" for i in range(len(by))]
+    # nulls match nulls in the joins below: the group is one struct, compared as a string of its parts
+    rows = df.withColumn("_b", block).withColumn("_v", value).withColumn("_g", F.to_json(F.struct(*[F.col(c).alias(k) for c, k in zip(by, keys)]))) if by else df.withColumn("_b", block).withColumn("_v", value).withColumn("_g", F.lit(""))
+    inside = W.partitionBy("_g", "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = rows.groupBy("_g", "_b").agg(F.sum("_v").alias("_t")).withColumn("_s", F.floor(F.col("_b") / BLOCK_FAN))
+    before = lambda *cols: W.partitionBy(*cols[:-1]).orderBy(cols[-1]).rowsBetween(W.unboundedPreceding, -1)
+    upto = blocks.withColumn("_p", F.coalesce(F.sum("_t").over(before("_g", "_s", "_b")), F.lit(0)))
+    supers = blocks.groupBy("_g", "_s").agg(F.sum("_t").alias("_t")).select("_g", "_s", F.coalesce(F.sum("_t").over(before("_g", "_s")), F.lit(0)).alias("_q"))
+    starts = upto.join(supers, ["_g", "_s"]).select("_g", "_b", (F.col("_p") + F.col("_q")).alias("_start"))
+    summed = rows.withColumn("_in", F.sum("_v").over(inside))
+    return summed.join(starts, ["_g", "_b"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_g", "_b", "_v", "_in", "_start")
+
+
+def hex_block(digest: Column, digits: int = 5) -> Column:
+    """Block number of a hexadecimal digest: its first digits."""
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")

@@ -19,7 +19,7 @@ WITH c AS ({_PARTIALS}),
 g AS (SELECT 'dataset' AS scope, dataset, bucket, sum(n) AS here FROM c GROUP BY ALL
       UNION ALL SELECT 'all', NULL, bucket, sum(n) FROM c GROUP BY ALL),
 r AS (SELECT *, sum(here) OVER (PARTITION BY scope, dataset ORDER BY bucket) AS upto, sum(here) OVER (PARTITION BY scope, dataset) AS n FROM g)
-SELECT scope, dataset, percentile, CAST(n AS BIGINT) AS n, 2 / ({_G} + 1) * pow({_G}, CAST(bucket - {ZERO_AT} AS DOUBLE)) AS value, CAST({RELATIVE_ERROR} AS DOUBLE) AS max_relative_error
+SELECT scope, dataset, percentile, CAST(n AS BIGINT) AS n, round(2 / ({_G} + 1) * pow({_G}, CAST(bucket - {ZERO_AT} AS DOUBLE)), 9) AS value, CAST({RELATIVE_ERROR} AS DOUBLE) AS max_relative_error
 FROM r, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS percentile)
 WHERE floor(percentile * (n - 1)) < upto AND floor(percentile * (n - 1)) >= upto - here
 """

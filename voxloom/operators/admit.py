@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import encoder_length
-from voxloom.functions.text import strip, words
+from voxloom.functions.text import BLANK, strip
 
 MAX_SECONDS = 16.0
 TRAIN_SPEED = 0.95
@@ -22,7 +22,7 @@ def parsed_duration(value: Column) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """Length under a stand-in tokenizer: words, at least one."""
-    return F.greatest(F.lit(1), F.size(words(text)))
+    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(rf"[^{BLANK}]+")))
 
 
 def with_reason(manifest: DataFrame, split: str = "train", factor: int = 8, max_seconds: float = MAX_SECONDS, tokens: Callable[[Column], Column] = whitespace_tokens, speed: float = TRAIN_SPEED) -> DataFrame:

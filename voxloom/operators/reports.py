@@ -32,7 +32,10 @@ def summarize(manifest: DataFrame, strict: bool = True) -> DataFrame:
         rows = manifest.select("dataset", F.when(bad, F.raise_error(problem).cast("double")).otherwise(seconds).alias("s"))
     else:
         rows = manifest.where(~bad).select("dataset", seconds.alias("s"))
-    sums = rows.rollup("dataset").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(micro(F.col("s"))), F.lit(0)).alias("m"), (F.grouping("dataset") == 1).alias("total"))
+    cells = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(micro(F.col("s"))).alias("m"), F.lit(False).alias("total"))
+    # the total follows from the cells (one shuffle, reused), and is there even if no row is
+    whole = cells.agg(F.lit(None).cast("string").alias("dataset"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.lit(True).alias("total"))
+    sums = cells.unionByName(whole)
     return sums.select("dataset", "total", "n", (F.col("m") / 1e6).alias("seconds"), (F.col("m") / 1e6 / 3600).alias("hours"), (F.col("m") / 1e6 / F.greatest(F.col("n"), F.lit(1))).alias("average"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import strip, words
+from voxloom.scale import spread
 
 DECODER = ["decode_type", "beam_width", "alpha", "beta"]
 SUMS = ["num_samples", "wer_num", "wer_den", "cer_num", "cer_den"]
@@ -51,7 +52,7 @@ def _summed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def split_metrics(hypotheses: DataFrame) -> DataFrame:
     """Sums per split, decoder and language, and over all languages (``all``). Utterances without reference are left out."""
-    scored = with_errors(hypotheses).where("wer_den > 0 or cer_den > 0").withColumn("num_samples", F.lit(1).cast("bigint"))
+    scored = with_errors(spread(hypotheses)).where("wer_den > 0 or cer_den > 0").withColumn("num_samples", F.lit(1).cast("bigint"))
     own = scored.withColumn("language", F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("unknown")))
     # one shuffle to the few combinations; the totals over languages follow from those
     per_language = _summed(own, ["split", "language", *DECODER])
@@ -73,7 +74,7 @@ def sorted_results(results: DataFrame) -> DataFrame:
 
 def by_language(hypotheses: DataFrame, languages: Sequence[str] = ("en", "pl")) -> DataFrame:
     """(metric, value): rates over all and per listed language, texts compared as they are but for outer blanks."""
-    scored = with_errors(hypotheses, fold=False).where("wer_den > 0")
+    scored = with_errors(spread(hypotheses), fold=False).where("wer_den > 0")
     groups = F.when(F.col("language").isin(*languages), F.array(F.lit("overall"), F.col("language"))).otherwise(F.array(F.lit("overall")))
     sums = scored.select(F.explode(groups).alias("g"), "wer_num", "wer_den", "cer_num", "cer_den").groupBy("g").agg(*[F.sum(c).alias(c) for c in SUMS[1:]])
     rates = _rates(sums)
@@ -83,7 +84,7 @@ def by_language(hypotheses: DataFrame, languages: Sequence[str] = ("en", "pl"))
 def worst(hypotheses: DataFrame, k: int = 50, arrival: Sequence[str] = ("utt_id",)) -> DataFrame:
     """The ``k`` utterances of highest character error rate, earlier ones first among equals: a partial top-k per
     partition, never a global sort."""
-    scored = _rates(with_errors(hypotheses).where("cer_den > 0"))
+    scored = _rates(with_errors(spread(hypotheses)).where("cer_den > 0"))
     return scored.orderBy(F.col("cer").desc(), *[F.col(c).asc_nulls_first() for c in arrival]).limit(k)
 
 

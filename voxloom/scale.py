@@ -56,6 +56,12 @@ def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how:
     return big.join(F.broadcast(table) if fits(table) else table.hint("merge"), on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a small file would give a CPU-heavy step a single task; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Blocks summed in one window; three levels of them cover BLOCK_FAN ** 2 blocks of any size.
 BLOCK_FAN = 4096
 

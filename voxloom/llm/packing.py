@@ -28,11 +28,12 @@ from voxloom.scale import written
 
 SHARD_ITEMS = 1 << 16
 FAN_IN = 256
-#: At most so many bins of a shard, filled to less than that share, are packed again.
-LOOSE_BINS, LOOSE_FILL = 4, 0.98
-#: Permitted sizes as shares of the capacity, and the fixed cost of a bin as such a share.
+#: The emptiest bins of a shard that are filled to less than that share, with about so many items, are packed again.
+LOOSE_ITEMS, LOOSE_FILL = 1024, 0.98
+#: Permitted sizes as shares of the capacity, and the fixed cost of a bin as such a share: so high that few bins come
+#: before little unused space, and a smaller size is opened only for what is left at the end.
 SIZES = (0.25, 0.5, 0.75, 1.0)
-BIN_COST = 0.5
+BIN_COST = 100.0
 #: Space left free in each bin, as a share, so that sums in another order don't exceed the capacity.
 _SLACK = 1e-12
 
@@ -72,7 +73,8 @@ def _packer(capacities: dict[str, float], level: int, last: bool):
         bins, fill, size = pack(part["seconds"].to_numpy(), capacity)
         loose = np.zeros(len(fill), bool)
         if not last:
-            emptiest = np.argsort(fill, kind="stable")[:LOOSE_BINS]
+            emptiest = np.argsort(fill, kind="stable")
+            emptiest = emptiest[: 1 + np.searchsorted(np.cumsum(np.bincount(bins)[emptiest]), LOOSE_ITEMS)]
             loose[emptiest[fill[emptiest] < LOOSE_FILL * capacity]] = True
         return part.assign(profile=profile, batch=(level << 56) + (group << 24) + bins, fill=fill[bins], size=size[bins], loose=loose[bins])
 

@@ -45,7 +45,7 @@ def test_packing_is_whole_and_tight(spark):
 
 
 def test_many_shards_lose_little(spark, monkeypatch):
-    monkeypatch.setattr(P, "SHARD_ITEMS", 200)
+    monkeypatch.setattr(P, "SHARD_ITEMS", 500)
     monkeypatch.setattr(P, "FAN_IN", 4)
     rng = random.Random(1)
     durations = [rng.uniform(0.2, 9) for _ in range(4000)]

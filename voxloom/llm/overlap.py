@@ -46,9 +46,9 @@ def recording_key(path: Column) -> Column:
     p = F.regexp_replace(path, rf"^[{WHITE}]+|[{WHITE}]+$", "")
     p = F.when(p.contains("%"), F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)).otherwise(p)
     p = F.regexp_replace(F.lower(F.translate(p, "\\", "/")), r"^[a-z][a-z0-9+.-]*://", "/")
-    p = F.when(p.contains(".."), _walked(p)).otherwise(F.regexp_replace(p, r"/(\.?/)+", "/"))
-    key = F.regexp_extract(p, r"([^/]+/[^/]+/[^/]+?)(\.[^./]*)?/?$", 1)
-    return F.when(key != "", key)
+    p = F.when(p.contains("..") | p.startswith("./") | p.endswith("/."), _walked(p)).when(p.contains("//") | p.contains("/./"), F.regexp_replace(p, r"/(\.?/)+", "/")).otherwise(p)
+    last = F.substring_index(F.trim(p, F.lit("/")), "/", -3)
+    return F.when(F.length(last) - F.length(F.replace(last, F.lit("/"), F.lit(""))) == 2, F.regexp_replace(last, r"([^/])\.[^./]*$", "$1"))
 
 
 def _walked(path: Column) -> Column:

@@ -16,12 +16,16 @@ SUMS = ["num_samples", "wer_num", "wer_den", "cer_num", "cer_den"]
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of words: each different word of the pair becomes a character of its own,
-    and the built-in distance does the rest. Up to 40,000 different words a pair."""
-    known = F.array_distinct(F.concat(a, b))
-    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x3400) + F.array_position(known, w)), 4, "0")), "UTF-16BE")
-    coded = lambda x: F.concat_ws("", F.transform(x, one))
-    return F.levenshtein(coded(a), coded(b))
+    """Levenshtein distance of two arrays of words: each different word of the pair becomes a character of its own (there
+    are a million beyond the basic plane), and the built-in distance does the rest."""
+
+    def distance(known: Column) -> Column:
+        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(known, w)), 8, "0")), "UTF-32")
+        coded = lambda x: F.concat_ws("", F.transform(x, one))
+        return F.levenshtein(coded(a), coded(b))
+
+    # the list of words is bound once here; inside the inner functions it would be made again for every word
+    return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0]
 
 
 def with_errors(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", fold: bool = True) -> DataFrame:

@@ -2,14 +2,15 @@
 
 Same recording: equal keys of bucket folder, source folder and file name (``recording_key``), an equi-join.
 
-Near-same sentence: a cosine join over inverted lists. A text is a vector over terms, a term being a word together with
-its how-manieth occurrence, all weights 1/sqrt(n). Two texts of n >= m words whose word edit distance is at most n/5
-share at least n - floor(n/5) terms, so their cosine is at least 0.8, and each misses at most floor(own words/5) terms of
-the other: this bound is what allows pruning without losing a pair, and is why the weights are equal; rarity decides
-the order of terms instead. Terms are taken from the rarest on only until the residual norm of the rest is too small
-for a partner (floor(n/5) + 1 terms); one term more is taken, so that partners share two of them, and the lists are
-keyed by such pairs of terms. Postings carry the length and a 64-bit parity signature of the words, which bound the dot
-product from above. Exact dot products and exact edit distances follow, on distinct texts; copies come back at the end.
+Near-same sentence: a cosine join over inverted lists of weighted vectors. A term is a word together with its
+how-manieth occurrence, its weight the logarithm of its rarity. Of two texts whose word edit distance is at most a fifth
+of the longer, each lacks at most d = floor(own words/5) terms of the other, so their dot product is at least a text's
+squared norm less its d greatest squared weights. Terms are therefore indexed from the greatest weight on only until
+the residual norm of the rest is below that bound, which is after d + 1 terms; one more is taken, so that partners share
+two of them, and the lists are keyed by such pairs of terms, which keeps them short. Postings carry the length and a
+64-bit parity signature of the words, which bound the common terms from above. The exact dot product against the same
+bound, and the exact edit distance, follow on distinct texts; copies come back at the end. The bound depends on the text
+because a fixed least cosine would lose pairs that differ in rare words.
 
 Only words in at least one of 10,000 texts are counted for the order, at most 10,000 times the mean length of a text
 of them, whatever the size of the data; all others count as equally rare.
@@ -130,23 +131,22 @@ def postings(texts: DataFrame, frequent) -> DataFrame:
     return texts.select("h", "words").mapInArrow(run, "key bigint, h bigint, n int, sign bigint")
 
 
-def _coded(words: Column, known: Column) -> Column:
-    """The words as one character each, by their place among the words of both texts. Beyond 40,000 places two words
-    may share a character, which the caller checks for."""
-    one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x3400) + F.array_position(known, w) % 40_000), 4, "0")), "UTF-16BE")
-    return F.concat_ws("", F.transform(words, one))
-
-
 def _edits_within(a: Column, b: Column) -> Column:
-    """Whether the word edit distance of two word arrays is at most a fifth of the longer; exact for any length, as
-    texts of more than 40,000 different words are compared over the counts of their terms alone beforehand."""
-    known = F.array_distinct(F.concat(a, b))
+    """Whether the word edit distance of two word arrays is at most a fifth of the longer. Each different word of the
+    two becomes a character (there are a million beyond the basic plane), and the built-in distance stops at the limit."""
     most = F.floor(F.greatest(F.size(a), F.size(b)) / ONE_IN).cast("int")
-    return F.levenshtein(_coded(a, known), _coded(b, known)) <= most
+
+    def distance(known: Column) -> Column:
+        one = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10000) + F.array_position(known, w)), 8, "0")), "UTF-32")
+        coded = lambda x: F.concat_ws("", F.transform(x, one))
+        return F.call_function("levenshtein", coded(a), coded(b), most)
+
+    # the list of words is bound once here; inside the inner functions it would be made again for every word
+    return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0] >= 0
 
 
 def near_texts(texts: DataFrame) -> DataFrame:
-    """Pairs (h_a, g_a, h_b, g_b) of near-same texts, a of the training and b of an evaluation side, among ``texts``
+    """Pairs (h_a, g_a, h_b, g_b, cosine) of near-same texts, a of the training and b of an evaluation side, among ``texts``
     (h, g, words, sides): h and g are two hashes of the words, sides is 1, 2 or 3 (both)."""
     spark = texts.sparkSession
     n_texts = texts.count()
@@ -158,18 +158,53 @@ def near_texts(texts: DataFrame) -> DataFrame:
     least = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
     bound = (F.least("n_a", "n_b") >= least) & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     candidates = written(a.join(b, "key").where(bound).select("h_a", "h_b").distinct(), "candidates")
-    return _verified(candidates, texts)
+    return _verified(candidates, texts, frequent, n_texts)
+
+
+def similar(pairs: DataFrame, frequent, n_texts: int) -> DataFrame:
+    """Of ``pairs`` (..., words_a, words_b) those whose exact dot product of weighted term vectors reaches what either
+    side must have in common with a text so few edits away: its squared norm less its d greatest squared weights,
+    d = floor(n/5). No pair within the edit bound is below that, whatever the weights. Adds ``cosine``."""
+    import math
+
+    rarest = math.log1p(n_texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value
+        weights: dict[str, float] = {}
+
+        def terms(words: str) -> tuple[dict[tuple[str, int], float], float, float]:
+            seen: dict[str, int] = {}
+            out = {}
+            for w in words.split(" "):
+                nth = seen[w] = seen.get(w, 0) + 1
+                if w not in weights:
+                    weights[w] = math.log1p(n_texts / known[w]) ** 2 if w in known else rarest**2
+                out[(w, nth)] = weights[w]
+            square = math.fsum(out.values())
+            return out, square, square - math.fsum(sorted(out.values(), reverse=True)[: len(out) // ONE_IN])
+
+        for batch in batches:
+            keep, cosine = [], []
+            for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist()):
+                (x, square_x, least_x), (y, square_y, least_y) = terms(a), terms(b)
+                dot = math.fsum(v for t, v in x.items() if t in y)
+                keep.append(dot >= max(least_x, least_y) - 1e-9 * (square_x + square_y))
+                cosine.append(dot / math.sqrt(square_x * square_y))
+            table = pa.Table.from_batches([batch]).append_column("cosine", pa.array(cosine, pa.float64())).filter(pa.array(keep, pa.bool_()))
+            yield from table.to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return pairs.mapInArrow(run, schema + ", cosine double")
 
 
-def _verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(candidates: DataFrame, texts: DataFrame, frequent, n_texts: int) -> DataFrame:
     def side(s: str) -> DataFrame:
-        return texts.select(F.col("h").alias(f"h_{s}"), F.col("g").alias(f"g_{s}"), F.split("words", " ").alias(f"w_{s}"))
+        return texts.select(F.col("h").alias(f"h_{s}"), F.col("g").alias(f"g_{s}"), F.col("words").alias(f"words_{s}"))
 
-    pairs = candidates.join(side("a"), "h_a").join(side("b"), "h_b")
-    same = F.expr("aggregate(array_distinct(w_a), 0, (n, w) -> n + least(size(filter(w_a, x -> x = w)), size(filter(w_b, x -> x = w))))")
-    longer = F.greatest(F.size("w_a"), F.size("w_b"))
-    dot = pairs.where((F.col("h_a") == F.col("h_b")) | (same >= longer - F.floor(longer / ONE_IN)))
-    return dot.where(F.col("w_a").eqNullSafe(F.col("w_b")) | _edits_within(F.col("w_a"), F.col("w_b"))).select("h_a", "g_a", "h_b", "g_b")
+    pairs = similar(candidates.join(side("a"), "h_a").join(side("b"), "h_b"), frequent, n_texts)
+    apart = _edits_within(F.split("words_a", " "), F.split("words_b", " "))
+    return pairs.where((F.col("words_a") == F.col("words_b")) | apart).select("h_a", "g_a", "h_b", "g_b", "cosine")
 
 
 def overlaps(train: DataFrame, evaluation: DataFrame, key: str = "ord", text: str = "text", path: str = "audio_filepath") -> DataFrame:

@@ -73,18 +73,32 @@ def running_total(df: DataFrame, by: Sequence[str], block: Column, order: Sequen
     the groups into pieces that are ordered each in its own task; the totals of the pieces, and of ``BLOCK_FAN`` pieces
     each, are small tables. Null group values are groups. ``order`` must be total within a block."""
     keys = [f"_g{i}" for i in range(len(by))]
-    # nulls match nulls in the joins below: the group is one struct, compared as a string of its parts
-    rows = df.withColumn("_b", block).withColumn("_v", value).withColumn("_g", F.to_json(F.struct(*[F.col(c).alias(k) for c, k in zip(by, keys)]))) if by else df.withColumn("_b", block).withColumn("_v", value).withColumn("_g", F.lit(""))
-    inside = W.partitionBy("_g", "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    blocks = rows.groupBy("_g", "_b").agg(F.sum("_v").alias("_t")).withColumn("_s", F.floor(F.col("_b") / BLOCK_FAN))
-    before = lambda *cols: W.partitionBy(*cols[:-1]).orderBy(cols[-1]).rowsBetween(W.unboundedPreceding, -1)
-    upto = blocks.withColumn("_p", F.coalesce(F.sum("_t").over(before("_g", "_s", "_b")), F.lit(0)))
-    supers = blocks.groupBy("_g", "_s").agg(F.sum("_t").alias("_t")).select("_g", "_s", F.coalesce(F.sum("_t").over(before("_g", "_s")), F.lit(0)).alias("_q"))
-    starts = upto.join(supers, ["_g", "_s"]).select("_g", "_b", (F.col("_p") + F.col("_q")).alias("_start"))
+    rows = df.withColumns({"_b": block, "_v": value} | {k: F.col(c) for k, c in zip(keys, by)})
+    inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = lambda group, sort: W.partitionBy(*group).orderBy(sort).rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t")).withColumn("_s", F.floor(F.col("_b") / BLOCK_FAN))
+    upto = blocks.withColumn("_p", F.coalesce(F.sum("_t").over(before([*keys, "_s"], "_b")), F.lit(0)))
+    supers = blocks.groupBy(*keys, "_s").agg(F.sum("_t").alias("_t")).withColumn("_q", F.coalesce(F.sum("_t").over(before(keys, "_s")), F.lit(0)))
+    starts = _same(upto, supers.drop("_t"), [*keys, "_s"]).select(*keys, "_b", (F.col("_p") + F.col("_q")).alias("_start"))
     summed = rows.withColumn("_in", F.sum("_v").over(inside))
-    return summed.join(starts, ["_g", "_b"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_g", "_b", "_v", "_in", "_start")
+    return _same(summed, starts, [*keys, "_b"]).withColumn(out, F.col("_start") + F.col("_in")).drop(*keys, "_b", "_v", "_in", "_start")
 
 
-def hex_block(digest: Column, digits: int = 5) -> Column:
+def _same(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which nulls match nulls."""
+    other = b.withColumnsRenamed({c: f"{c}_" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return a.join(other, condition).drop(*[f"{c}_" for c in on])
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once per row: a filter on them isn't pushed below, nor are they copied into
+    later expressions. For costly ones that are used more than once."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def hex_block(digest: Column, digits: int = 4) -> Column:
     """Block number of a hexadecimal digest: its first digits."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")

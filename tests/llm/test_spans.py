@@ -24,8 +24,8 @@ def brute(docs):
     return pairs, covered
 
 
-def check(spark, docs):
-    shared = S.SharedSpans(spark.createDataFrame([(d, t, 0, 0) for d, t in docs], D))
+def check(spark, docs, **how):
+    shared = S.SharedSpans(spark.createDataFrame([(d, t, 0, 0) for d, t in docs], D), **how)
     pairs, covered = brute(docs)
     got = [tuple(r) for r in shared.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
@@ -58,6 +58,12 @@ def test_small_sketch_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(S, "MIN_CELL_BITS", 16)
     monkeypatch.setattr(S, "MAX_CELL_BITS", 16)
     assert check(spark, random_docs(5))
+    assert check(spark, random_docs(5), exact=True)
+
+
+def test_sketches_are_merged_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "MERGE_AT_ONCE", 1)
+    assert check(spark, random_docs(6))
 
 
 def test_segments_of_long_texts(spark, monkeypatch):

@@ -9,8 +9,9 @@ either side, grouped exactly, and grown to the left and right to see whether 200
 documents than ``SMALL_GROUP`` (programme headings, stock passages) are not compared in pairs; each of the up to 101
 windows of 200 characters around them becomes a key of its own, so only documents that share one meet.
 
-The sketch's width follows the number of windows up to a fixed bound (``MAX_CELL_BITS``: two rows of 16 MB of bits);
-beyond it the sketch lets more single windows through, and the exact second pass does the rest.
+The sketch's width follows the number of windows up to a fixed bound (``MAX_CELL_BITS``: two rows of 16 MB of bits).
+Beyond it the sketch lets more single windows through; then the second pass first counts (window, document) pairs
+exactly, 16 bytes each, and only windows that two documents have are emitted with their surroundings.
 
 Copies of a text are one class during all this (by a 128-bit digest), and are expanded at the end.
 
@@ -40,6 +41,7 @@ SMALL_GROUP = 64
 CELLS_PER_WINDOW = 8
 MIN_CELL_BITS, MAX_CELL_BITS = 18, 27
 BLOCK_BITS = 16
+MERGE_AT_ONCE = 256
 _BASE = 0x9E3779B97F4A7C15
 _ROW_FACTORS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 
@@ -168,8 +170,11 @@ def _merge(key, table: pa.Table) -> pa.Table:
 def repeated_cells(texts: DataFrame, bits: int) -> np.ndarray:
     """Bits of the cells counted at least twice, for both rows: at most two times 2^bits bits, whatever the data."""
     merge = lambda key, table: _merge(key, table)
-    # partial merges first, so that no block gathers all partitions at once
-    partial = _sketch(texts, bits).withColumn("part", F.spark_partition_id() % 32).groupBy("block", "part").applyInArrow(merge, _SKETCH)
+    sketch = _sketch(texts, bits)
+    # with many partitions these are merged in parts first, so that no block gathers all of them at once
+    parts = -(-texts.rdd.getNumPartitions() // MERGE_AT_ONCE)
+    if parts > 1:
+        sketch = sketch.withColumn("part", F.spark_partition_id() % parts).groupBy("block", "part").applyInArrow(merge, _SKETCH)
     out = np.zeros((2, (1 << bits) // 8), np.uint8)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +187,7 @@ def repeated_cells(texts: DataFrame, bits: int) -> np.ndarray:
                 packed.append(np.packbits(flags).tobytes() if flags.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["block", "bits"])
 
-    merged = partial.groupBy("block").applyInArrow(merge, _SKETCH).mapInArrow(pack, "block bigint, bits binary").where("bits is not null")
+    merged = sketch.groupBy("block").applyInArrow(merge, _SKETCH).mapInArrow(pack, "block bigint, bits binary").where("bits is not null")
     size = (1 << BLOCK_BITS) // 8
     for r in merged.toLocalIterator():
         block = r["block"] & 0xFFFFFFFF
@@ -190,29 +195,56 @@ def repeated_cells(texts: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _repeated_windows(texts: DataFrame, bits: int, flags) -> DataFrame:
-    """(fp, doc, around, off, starts): windows the sketch lets through, with up to ``SIDE`` characters on either side;
+def _let_through(bit: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(h), bool)
+    for row, cell in enumerate(_cells(h, bits)):
+        cell = cell.astype(np.int64)
+        keep &= (bit[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def _counted_exactly(texts: DataFrame, bits: int, flags) -> DataFrame:
+    """``texts`` with ``fps``: the windows of each document that the sketch lets through and that another document has
+    too, by exact counts of (window, document). Only 16 bytes a window are shuffled, however narrow the sketch is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                docs = batch.column(0).slice(start, 1024).to_numpy()
+                for doc, _, h in chosen_windows(batch.column(1).slice(start, 1024).to_pylist()):
+                    keep = _let_through(flags.value, bits, h)
+                    both = np.unique(np.stack([h[keep].view(np.int64), docs[doc[keep]]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["fp", "doc"])
+
+    keys = written(texts.select("doc", "text").mapInArrow(run, "fp bigint, doc bigint"), "keys")
+    repeated = keys.groupBy("fp").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("fp")
+    hits = written(keys.join(repeated, "fp").groupBy("doc").agg(F.collect_set("fp").alias("fps")), "hits")  # a document's own windows
+    return texts.join(hits, "doc")
+
+
+def _repeated_windows(texts: DataFrame, bits: int, flags, exact: bool) -> DataFrame:
+    """(fp, doc, around, off, starts): windows that are let through, with up to ``SIDE`` characters on either side;
     those of one document with the same surroundings are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = flags.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
-                docs, texts_ = batch.column(0).slice(start, 1024).to_pylist(), batch.column(1).slice(start, 1024).to_pylist()
+                docs, texts_, *known = (batch.column(c).slice(start, 1024).to_pylist() for c in range(batch.num_columns))
+                known = [set(k) for k in known[0]] if known else None
                 for doc, at, h in chosen_windows(texts_):
-                    keep = np.ones(len(h), bool)
-                    for row, cell in enumerate(_cells(h, bits)):
-                        cell = cell.astype(np.int64)
-                        keep &= (bit[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+                    keep = _let_through(flags.value, bits, h)
                     found: dict[tuple, list[int]] = {}
                     for d, a, f in zip(doc[keep].tolist(), at[keep].tolist(), h[keep].view(np.int64).tolist()):
-                        low = max(0, a - SIDE)
-                        found.setdefault((f, docs[d], texts_[d][low : a + WINDOW + SIDE], a - low), []).append(a)
+                        if known is None or f in known[d]:
+                            low = max(0, a - SIDE)
+                            found.setdefault((f, docs[d], texts_[d][low : a + WINDOW + SIDE], a - low), []).append(a)
                     if found:
                         cols = [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([k[2] for k in found], pa.string()), pa.array([k[3] for k in found], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32()))]
                         yield pa.RecordBatch.from_arrays(cols, names=["fp", "doc", "around", "off", "starts"])
 
-    return texts.select("doc", "text").mapInArrow(run, "fp bigint, doc bigint, around string, off int, starts array<int>")
+    if exact:
+        texts = _counted_exactly(texts, bits, flags)
+    return texts.select("doc", "text", *["fps"] * exact).mapInArrow(run, "fp bigint, doc bigint, around string, off int, starts array<int>")
 
 
 def _agree(a: str, b: str) -> int:
@@ -270,9 +302,10 @@ def _matches(windows: DataFrame) -> DataFrame:
 
 
 class SharedSpans:
-    """The shared spans of ``documents``; ``pairs`` and ``coverage`` read what is found once."""
+    """The shared spans of ``documents``; ``pairs`` and ``coverage`` read what is found once. ``exact`` says whether
+    windows are counted exactly before their surroundings are emitted; by default where the sketch is too narrow."""
 
-    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text"):
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", exact: bool | None = None):
         spark = documents.sparkSession
         docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
         self.lengths = docs.select("doc", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
@@ -288,7 +321,7 @@ class SharedSpans:
         chosen = max(1, 2 * chars // RUN)
         bits = min(MAX_CELL_BITS, max(MIN_CELL_BITS, (chosen * CELLS_PER_WINDOW - 1).bit_length()))
         flags = spark.sparkContext.broadcast(repeated_cells(single, bits))
-        windows = written(_repeated_windows(single, bits, flags), "windows")
+        windows = written(_repeated_windows(single, bits, flags, chosen * 2 > 1 << bits if exact is None else exact), "windows")
         groups = windows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
         groups = written(groups.select("fp", "n"), "groups")
         of_groups = lambda cond: windows.join(groups.where(cond).select("fp"), "fp")

@@ -517,10 +517,10 @@ def fixed_batches(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS i FROM train_final)
-SELECT ord, printf('%06d', i // 1000) AS shard, printf('%09d', i) AS record FROM p WHERE i // 1000 < 8
+SELECT ord, printf('%06d', i // 1000) AS shard, printf('%09d', i) AS record FROM p
 """)
 def shard_plan(spark, sf_dir):
-    return sinks.shard_plan(_t(spark, sf_dir, "train_final"), 1000, 8).select("ord", "shard", "record")
+    return sinks.shard_plan(_t(spark, sf_dir, "train_final"), 1000).select("ord", "shard", "record")
 
 
 # --- arrays and schedules --------------------------------------------------------------------------------------------
@@ -554,15 +554,15 @@ def drop_path(spark, sf_dir):
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, list_transform({_words("text")}, lambda x: CAST(length(x) AS INTEGER)) AS ids FROM documents WHERE n_chars BETWEEN 1 AND 400)
-SELECT doc_id, array_to_string(list_transform(ids, lambda x: x + 1), ',') AS shifted, array_to_string(list_concat(ids, list_transform(range(greatest(80 - len(ids), 0)), lambda x: 0)), ',') AS padded,
+WITH w AS (SELECT ord, list_transform({_words("text")}, lambda x: CAST(length(x) AS INTEGER)) AS ids FROM train_final WHERE text IS NOT NULL)
+SELECT ord, array_to_string(list_transform(ids, lambda x: x + 1), ',') AS shifted, array_to_string(list_concat(ids, list_transform(range(greatest(80 - len(ids), 0)), lambda x: 0)), ',') AS padded,
   array_to_string(list_concat([1], ids), ',') AS started, array_to_string(list_concat(ids, [2]), ',') AS ended FROM w
 """)
 def shift_pad_ids(spark, sf_dir):
     ids = F.transform(X.words(F.col("text")), F.char_length)
-    rows = _t(spark, sf_dir, "documents").where("n_chars between 1 and 400").select("doc_id", ids.alias("ids"))
+    rows = _t(spark, sf_dir, "train_final").where("text is not null").select("ord", ids.alias("ids"))
     made = {"shifted": A.shift_ids(F.col("ids")), "padded": A.pad_to(F.col("ids"), F.lit(80)), "started": A.with_start(F.col("ids"), 1), "ended": A.with_end(F.col("ids"), 2)}
-    return rows.select("doc_id", *[F.array_join(c, ",").alias(n) for n, c in made.items()])
+    return rows.select("ord", *[F.array_join(c, ",").alias(n) for n, c in made.items()])
 
 
 def _element(spark, sf_dir, column):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 
+from voxloom.llm import lookalike as L
 from voxloom.llm.quantiles import RELATIVE_ERROR, ZERO_AT, gamma
 
 _LN = repr(math.log(gamma(RELATIVE_ERROR)))
@@ -24,4 +27,45 @@ FROM r, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS p
 WHERE floor(percentile * (n - 1)) < upto AND floor(percentile * (n - 1)) >= upto - here
 """
 
-ORACLE: dict[str, str] = {"p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES}
+_WINDOWS = """
+w AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+s AS (SELECT doc_id, i, substring(text, i, 200) AS span FROM w),
+g AS (SELECT span, list(DISTINCT doc_id) AS docs FROM s GROUP BY span HAVING count(DISTINCT doc_id) > 1)"""
+
+_PAIRS = f"WITH {_WINDOWS}, a AS (SELECT unnest(docs) AS doc_a, docs FROM g), b AS (SELECT doc_a, unnest(docs) AS doc_b FROM a) SELECT DISTINCT doc_a, doc_b FROM b WHERE doc_a < doc_b"
+
+# every shared window covers 200 characters from its start, less what the one before covers already
+_COVERAGE = f"""
+WITH {_WINDOWS}, c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s SEMI JOIN g USING (span)),
+n AS (SELECT doc_id, CAST(sum(least(200, coalesce(i - before, 200))) AS INTEGER) AS shared FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, coalesce(n.shared, 0) AS shared_chars FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+
+
+def _class(pattern: str) -> str:
+    """The characters that a Python class matches, as ranges for RE2."""
+    found = re.compile(f"[{pattern}]")
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000 and found.match(chr(c))]
+    ranges: list[list[int]] = []
+    for c in points:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+_SIGNS = "".join(chr(c) for c in [*range(0x2100, 0x2150), *range(0x1D400, 0x1D800)] if unicodedata.decomposition(chr(c)).startswith("<font>") and unicodedata.normalize("NFKC", chr(c)).isascii())
+_WRONG = _class(L._hidden_class()) + "\\x{e0001}-\\x{e01ef}" + _class(L._SPACES + L._HYPHENS + L._COMPAT + re.escape(_SIGNS))
+_SAME, _NEAR = _class("".join(L.SAME)), _class("".join(L.NEAR))
+_MARKS = "\\x{fe0e}\\x{fe0f}\\x{1f3fb}-\\x{1f3ff}"
+_EMOJI = f"[{_class(L._EMOJI)}][{_MARKS}]*(\\x{{200d}}[{_class(L._EMOJI)}][{_MARKS}]*)*|[0-9#*]\\x{{fe0f}}?\\x{{20e3}}"
+_DISGUISED = f"""
+WITH e AS (SELECT ord, text, regexp_replace(text, '{_EMOJI}', ' ', 'g') AS t FROM train_final WHERE text IS NOT NULL)
+SELECT ord FROM e WHERE text <> nfc_normalize(text) OR regexp_matches(t, '[{_WRONG}]') OR len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+'), lambda w:
+  regexp_matches(strip_accents(w), '[{_SAME}{_NEAR}]') AND (regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}]+')
+    OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}{_NEAR}]+'))))) > 0
+"""
+
+ORACLE: dict[str, str] = {"p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE}

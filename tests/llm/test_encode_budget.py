@@ -81,3 +81,9 @@ def test_budget(spark):
     one = len(encoding().encode_ordinary("hello"))
     assert got[("all", None)] == (3, 2 * one) and got[("source", None)] == (1, 0) and got[("language", "en")] == (2, one) and got[("domain_tag", None)] == (3, 2 * one)
     assert B.with_tokens(rows.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b", 2, 3, 4, 5)], "_rid int, text string, piece int, size int, _row int, n_tokens int")
+    r = B.with_tokens(rows).first()
+    assert (r["_rid"], r["piece"], r["size"], r["_row"], r["n_tokens"]) == (1, 2, 3, 4, 2)

@@ -52,3 +52,9 @@ def test_against_the_form_on_the_tables(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/train_final.parquet").select("ord", "text")
     want = {r["ord"] for r in rows.collect() if r["text"] is not None and plain_form(r["text"]) != r["text"]}
     assert {r["ord"] for r in rows_not_canonical(rows).collect()} == want and want
+
+
+def test_clashing_and_odd_names(spark):
+    rows = spark.createDataFrame([(1, "wіll", 2, 3, 4)], "_rid int, text string, value int, _row int, `a.b` int")
+    r = with_canonical(rows).first()
+    assert (r["_rid"], r["value"], r["_row"], r["a.b"], r["canonical"]) == (1, 2, 3, 4, "will")

@@ -78,6 +78,16 @@ def test_segments_of_long_texts(spark, monkeypatch):
     assert all(((starts >= i) & (starts <= i + S.SIDE)).any() for i in range(len(text) - S.SPAN + 1))
 
 
+def test_repeated_rows_and_a_passage_in_many(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh", k=900))
+    docs = [(i, "".join(rng.choices("xyz", k=50)) + passage[i % 3 :] + "".join(rng.choices("xyz", k=50))) for i in range(30)]
+    monkeypatch.setattr(S, "SMALL_GROUP", 8)
+    assert len(check(spark, docs)) == 30 * 29 // 2
+    twice = spark.createDataFrame([(d, t, 0, 0) for d, t in docs[:2] * 2], D)
+    assert S.shared_pairs(twice).count() == 1 and S.shared_coverage(twice).count() == 2
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], D)
     assert S.shared_pairs(none).count() == 0 and S.shared_coverage(none).count() == 0

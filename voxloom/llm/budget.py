@@ -81,7 +81,7 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", tokeni
     pieces = lambda t: F.explode_outer(F.regexp_extract_all(t, F.lit(JAVA_SPLIT_PATTERN), F.lit(0)))
     distinct = df.select(pieces(F.col(text)).alias("piece")).where("piece is not null").distinct()
     sizes = written(piece_sizes(distinct, tokenizer, folder), "pieces")
-    row = F.struct(*[F.col(f"`{c}`") for c in cols], F.lit(0).alias("_"))
+    row = F.struct(*[F.col(f"`{c}`") for c in cols], F.lit(0).alias("_no_column"))
     cut = df.select(row.alias("_row"), F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_text")).select("_row", "_rid", pieces(F.col("_text")).alias("piece"))
     sized = lookup_join(cut, sizes, "piece", "left")
     # all of a row's pieces are in one partition, so the partial sums leave one record per row to shuffle

@@ -164,7 +164,7 @@ def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") ->
     cols = [c for c in df.columns if c != out]
     values = written(_spread(df.select(text), text).where(suspect(F.col("value"))).select("value").distinct(), "values")
     canonical = written(canonical_values(values), "canonical")
-    plain = df.where(F.col(text).isNull() | ~suspect(F.col(text))).select(*cols, F.col(text).alias(out))
+    plain = df.where(F.col(text).isNull() | ~suspect(F.col(text))).select(*[F.col(f"`{c}`") for c in cols], F.col(text).alias(out))
     spread = lookup_join(_spread(df, text), canonical, "value", "left")
     fixed = spread.groupBy("_rid").agg(
         F.first("_row").alias("_row"),

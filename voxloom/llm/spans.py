@@ -308,7 +308,7 @@ class SharedSpans:
     def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", exact: bool | None = None):
         spark = documents.sparkSession
         docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-        self.lengths = docs.select("doc", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+        self.lengths = docs.select("doc", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).distinct()
         long = docs.where(F.char_length("text") >= SPAN)
         digests = long.select("doc", F.md5("text").alias("digest")).distinct()
         classes = digests.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -336,7 +336,10 @@ class SharedSpans:
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b) of all pairs of documents that share a span."""
         near = self.matches.where("doc < other").select("doc", "other").distinct()
-        meet = self.spans.select("span", "doc").distinct()
+        meet = written(self.spans.select("span", "doc").distinct(), "meet")
+        # the windows along one long shared passage stand in the same documents: one of each such set is enough
+        sets = meet.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"))
+        meet = meet.join(sets.groupBy("n", "x", "y").agg(F.min("span").alias("span")).select("span"), "span")
         far = meet.join(meet.withColumnRenamed("doc", "other"), "span").where("doc < other").select("doc", "other").distinct()
         found = near.union(far).distinct()
         # representatives stand for all their copies

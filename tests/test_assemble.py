@@ -116,3 +116,13 @@ def test_small_helpers(spark):
     used = spark.createDataFrame([(0,), (1,), (3,)], "index bigint")
     assert [S.next_free(used, k) for k in (0, 2, 3, 9)] == [2, 2, 4, 9]
     assert spark.range(1).select(S.global_position(10, F.lit(1), F.lit(2), 4)).first()[0] == 19
+
+
+def test_limits_per_source_and_failures(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 3 if i % 2 else 2) for i in range(10)], "ord bigint, source string, samples int")
+    assert sorted(r["ord"] for r in S.per_source(rows, "source", "samples").collect()) == [0, 1, 2, 3, 5]
+    assert S.per_source(rows, "source", "samples", most=1).count() == 2
+    status = spark.createDataFrame([("ok",), ("failed",)], "status string")
+    assert S.check_failures(status, 1) == 1
+    with pytest.raises(RuntimeError):
+        S.check_failures(status, 0)

@@ -121,3 +121,43 @@ def test_sample_audio(spark):
     assert got == [(1, 16000), (10, 8000)]
     with pytest.raises(Exception, match="neither samples nor bytes"):
         spark.createDataFrame([((None, None, None, "p"),)], schema).select(audio.sample_audio(F.col("a"))).collect()
+
+
+def test_augmented_rows(spark):
+    from voxloom.operators.augment import Augment, augmented, with_banks
+
+    x = [float(v) for v in np.sin(np.arange(400)) * 0.3]
+    rows = spark.createDataFrame([(i, x, i % 2 == 0) for i in range(6)] + [(9, None, False)], "ord int, samples array<float>, clean_pass boolean")
+    noise = spark.createDataFrame([([0.5] * 50,)], "samples array<float>")
+    config = Augment(speed_prob=0, gain_prob=1.0, noise_prob=1.0, rir_prob=1.0, start_epoch=1, heavy_epoch=2)
+    same = lambda a: np.allclose(a, x, atol=1e-6)
+    before = {r["ord"]: r["samples"] for r in augmented(rows, config, 0, noise).collect()}
+    assert all(same(before[i]) for i in range(6)) and before[9] is None
+    after = {r["ord"]: r["samples"] for r in augmented(rows, config, 2, noise, noise).collect()}
+    assert [same(after[i]) for i in range(6)] == [True, False] * 3
+    assert after == {r["ord"]: r["samples"] for r in augmented(rows.repartition(3), config, 2, noise, noise).collect()}
+    assert with_banks(Augment(), 1, 0).noise_prob == 0.4 and with_banks(Augment(noise_prob=0.2), 1, 1).noise_prob == 0.2
+
+
+def test_more_waveforms():
+    x = np.sin(np.arange(16000)).astype(np.float32)
+    gaps = G.mute_gaps(x, 3)
+    assert len(gaps) == len(x) and (np.abs(gaps) <= np.abs(x) + 1e-6).all() and not np.array_equal(gaps, x)
+    assert np.array_equal(G.add_noise(x, np.zeros(5), 10), x)
+    assert len(G.add_gaussian(x, 0.1, np.random.default_rng(0))) == len(x)
+    room = np.zeros(4000)
+    room[100], room[101:300] = 1.0, 0.1
+    assert np.argmax(np.abs(G.room_response(room, 16000))) == 0 and G.room_response(room[:10], 16000) is None
+    assert G.room_response(np.zeros(4000), 16000) is None
+
+
+def test_tokenizer_columns(spark):
+    from voxloom.operators import reports, tokens
+
+    rows = spark.createDataFrame([(1, "ab c", "en"), (2, None, "en"), (3, " ", "pl")], "ord int, text string, language string")
+    ids = tokens.tokenize(tokens.Words)
+    assert [r[0] for r in rows.select(ids(F.col("text"))).collect()] == [[2, 1], None, [0]]
+    back = tokens.detokenize(tokens.Words)
+    shifted = spark.createDataFrame([([3, 0, 2],), ([0],), (None,)], "ids array<int>")
+    assert [r[0] for r in shifted.select(back(F.col("ids"))).collect()] == ["xx x", "", None]
+    assert [tuple(r) for r in reports.coverage(rows, ids, unknown=1).collect()] == [("en", 1, 4, 2, 1)]

@@ -122,3 +122,17 @@ def test_rebuild(spark, tmp_path):
     assert [r["uid"] for r in out["train"].orderBy("ord").collect()] == ["1", "2", "3"]
     assert [(r["uid"], r["dataset"]) for r in out["val"].orderBy("ord").collect()] == [("8", "V"), ("7", "F")]
     assert out["comparison"].count() == 4
+
+
+def test_stored_samples(spark, tmp_path):
+    data = G.write_wav(np.ones(800) * 0.1, 8000)
+    (tmp_path / "own.wav").write_bytes(data)
+    schema = "name string, text string, audio struct<array:array<float>,sampling_rate:int,bytes:binary,path:string>"
+    rows = [
+        ("a", "t", (None, None, data, "x/y.wav")), ("b", "t", ([0.1] * 800, 8000, None, None)), ("c", "t", (None, None, None, str(tmp_path / "own.wav"))),
+        ("d", "t", (None, None, b"bad", "z.wav")), ("e", "t", ([], 8000, None, None)), ("f", "t", (None, None, None, "absent")), ("g", "t", None),
+    ]
+    got = {r["name"]: (r["audio_filepath"].rsplit("/", 1)[1], r["duration"]) for r in sinks.store_samples(spark.createDataFrame(rows, schema), str(tmp_path / "out")).collect()}
+    assert got == {"a": ("a.wav", 0.1), "b": ("b.wav", 0.1), "c": ("own.wav", 0.1)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.wav", "b.wav"]
+    assert abs(G.read_wav((tmp_path / "out" / "b.wav").read_bytes())[0].max() - 1) < 1e-3

@@ -88,3 +88,8 @@ def is_rate_limit(message: Column) -> Column:
     """Whether an error text tells that the source asks for slower requests."""
     text = F.lower(message)
     return text.contains("429") | text.contains("too many requests") | text.contains("rate limit")
+
+
+def fixed(number: Column, digits: int = 2) -> Column:
+    """A number with so many decimals, without separators."""
+    return F.format_string(f"%.{digits}f", number.cast("double"))

@@ -199,3 +199,18 @@ def next_free(used: DataFrame, start: int = 0) -> int:
     here = used.where(F.col("index") >= start).select("index").distinct()
     gap = here.select((F.col("index") + 1).alias("index")).join(here, "index", "left_anti").agg(F.min("index")).first()[0]
     return start if here.where(F.col("index") == start).isEmpty() else gap
+
+
+def per_source(samples: DataFrame, by: str, requested: str, most: int | None = None) -> DataFrame:
+    """The first rows of each source up to what is requested of it (a column), and to ``most``."""
+    placed = running_total(samples, [by], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.lit(1), "_place")
+    limit = F.col(requested) if most is None else F.least(F.col(requested), F.lit(most))
+    return placed.where(F.col("_place") <= limit).drop("_place")
+
+
+def check_failures(outcomes: DataFrame, most: int, status: str = "status", failed: str = "failed") -> int:
+    """The number of failed rows; more than ``most`` are an error."""
+    n = outcomes.where(F.col(status) == failed).count()
+    if n > most:
+        raise RuntimeError(f"{n} samples failed, more than the {most} that are allowed")
+    return n

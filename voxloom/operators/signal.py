@@ -83,9 +83,11 @@ def log_mel(x: np.ndarray, rate: int = 16000, fft: int = 512, window: int = 400,
 
 
 def change_speed(x: np.ndarray, factor: float) -> np.ndarray:
-    """Linear interpolation at half-pixel centres to round(n / factor) samples, halves to even."""
-    n = round(len(x) / factor)
-    return np.interp((np.arange(n) + 0.5) * len(x) / n - 0.5, np.arange(len(x)), x).astype(np.float32) if n and len(x) else x[:0]
+    """Linear interpolation at half-pixel centres to round(n / factor) samples, halves to even, at least one."""
+    if not len(x) or factor == 1.0:
+        return x
+    n = max(1, round(len(x) / factor))
+    return np.interp((np.arange(n) + 0.5) * len(x) / n - 0.5, np.arange(len(x)), x).astype(np.float32)
 
 
 def telephone(x: np.ndarray, rate: int = 16000, band: int = 8000) -> np.ndarray:
@@ -98,13 +100,38 @@ def reverberate(x: np.ndarray, response: np.ndarray) -> np.ndarray:
 
 
 def add_noise(x: np.ndarray, noise: np.ndarray, snr_db: float, offset: int = 0) -> np.ndarray:
-    """Noise from an offset on, tiled if short, at a signal-to-noise ratio; clamped to [-1, 1]."""
+    """Noise at a signal-to-noise ratio, from an offset on or tiled if it is shorter; clamped to [-1, 1]. Silence adds nothing."""
     if not len(noise) or not len(x):
         return x
-    part = np.resize(np.roll(noise, -offset), len(x)) if len(noise) < len(x) + offset else noise[offset : offset + len(x)]
+    part = np.resize(noise, len(x)) if len(noise) < len(x) else noise[min(offset, len(noise) - len(x)) :][: len(x)]
     own, other = float(np.mean(np.square(x))), float(np.mean(np.square(part)))
-    scale = np.sqrt(own / 10 ** (snr_db / 10) / max(other, 1e-10))
-    return np.clip(x + scale * part, -1, 1).astype(np.float32)
+    return np.clip(x + np.sqrt(own / 10 ** (snr_db / 10) / other) * part, -1, 1).astype(np.float32) if other > 0 else x
+
+
+def add_gaussian(x: np.ndarray, scale: float, rng: np.random.Generator) -> np.ndarray:
+    return (x + rng.normal(0, scale, len(x))).astype(np.float32)
+
+
+def mute_gaps(x: np.ndarray, seed: int, gaps: int = 10, share: float = 0.05, hop: int = 160, level: float = 0.02) -> np.ndarray:
+    """A way to listen to time masks: gaps of whole frames, nearly muted."""
+    rng, out = np.random.default_rng(seed), x.copy()
+    frames = max(1, len(x) // hop)
+    for _ in range(gaps):
+        width = int(rng.integers(0, max(1, int(frames * share)) + 1))
+        start = int(rng.integers(0, max(1, frames - width) + 1))
+        out[start * hop : (start + width) * hop] *= level
+    return out
+
+
+def room_response(x: np.ndarray, rate: int, least_s: float = 0.05, most_s: float = 0.5, least_rms: float = 1e-4) -> np.ndarray | None:
+    """A room response from a recording: demeaned, from its peak on, cut; None if it is too short or too quiet."""
+    loud = lambda y: len(y) > 0 and float(np.sqrt(np.mean(np.square(y)))) >= least_rms
+    x = x - x.mean() if len(x) else x
+    if len(x) < least_s * rate or not loud(x):
+        return None
+    x = x[int(np.argmax(np.abs(x))) :]
+    x = x[: int(most_s * rate)] if int(most_s * rate) > 0 else x
+    return x if loud(x) else None
 
 
 def noise_segments(x: np.ndarray, rate: int, seed: int, least_s: float = 1.0, most_s: float | None = None, segment_s: float = 5.0, most: int = 8, least_rms: float = 1e-4) -> list[np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.text import stable_name
 from voxloom.operators.batching import in_order
 from voxloom.operators.reports import corpus_lines
-from voxloom.operators.signal import read_wav, resample, write_wav
+from voxloom.operators.signal import read_wav, resample, wav_seconds, write_wav
 
 
 def _fs(spark: SparkSession, path: str):
@@ -127,6 +127,54 @@ def write_shards(manifest: DataFrame, folder: str, per_shard: int, max_shards: i
     return planned.groupBy("shard").applyInPandas(pack, "shard string, records bigint, skipped bigint")
 
 
+def store_samples(samples: DataFrame, folder: str, rate: int = 16000, peak: bool = True) -> DataFrame:
+    """``samples`` (name, ..., audio) with audio_filepath and duration of the files written for them. Records with bytes are
+    stored as they are, under their own type; records with samples are resampled, normalised and stored as WAV; the
+    local path of others is taken over. Rows without audio or of no length are dropped, and leave no file."""
+    columns = [f for f in samples.schema.fields if f.name != "audio"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        import numpy as np
+
+        os.makedirs(folder, exist_ok=True)
+
+        def put(name: str, data: bytes) -> str:
+            target = f"{folder}/{name}"
+            beside = f"{target}.{uuid.uuid4().hex}"
+            with open(beside, "wb") as f:
+                f.write(data)
+            os.replace(beside, target)
+            return target
+
+        def one(name: str, audio) -> tuple[str | None, float | None]:
+            if audio is None:
+                return None, None
+            if audio["bytes"] is not None:
+                data = bytes(audio["bytes"])
+                kind = os.path.splitext(audio["path"] or "")[1] or ".audio"
+                seconds = wav_seconds(data)
+                return (put(name + kind, data), seconds) if seconds else (None, None)
+            if audio["array"] is not None:
+                x = resample(np.asarray(audio["array"], np.float32), int(audio["sampling_rate"]), rate)
+                top = float(np.abs(x).max()) if len(x) else 0.0
+                x = x / (top + 1e-6) if peak and top > 0 else x
+                return (put(name + ".wav", write_wav(x, rate)), len(x) / rate) if len(x) else (None, None)
+            if audio["path"] and os.path.exists(audio["path"]):
+                with open(audio["path"], "rb") as f:
+                    return audio["path"], wav_seconds(f.read())
+            return None, None
+
+        for part in parts:
+            made = [one(n, a) for n, a in zip(part["name"], part["audio"])]
+            out = part[[c.name for c in columns]].assign(audio_filepath=[m[0] for m in made], duration=[m[1] for m in made])
+            yield out[out["audio_filepath"].notna() & (out["duration"].fillna(0) > 0)]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", audio_filepath string, duration double"
+    return samples.mapInPandas(run, schema)
+
+
 def write_resampled(manifest: DataFrame, folder: str, rate: int = 16000) -> DataFrame:
     """``manifest`` (with ``content``) with its path and duration those of resampled WAV files, and ``status``; a row that
     fails keeps its values and is counted as failed."""

@@ -57,7 +57,7 @@ def append_new(existing: DataFrame, incoming: DataFrame, target: int | None = No
     return fresh.drop("key")
 
 
-def _contested(first: DataFrame, targets: DataFrame) -> DataFrame | None:
+def _contested(first: DataFrame) -> DataFrame | None:
     """(key, seq) of rows whose key was kept in a bucket before theirs. Only keys of several buckets can be; the walk
     over the buckets, which the rule asks for, looks at those alone."""
     shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -84,17 +84,19 @@ def assemble(manifests: DataFrame, targets: DataFrame, max_hours: float | None =
     ``manifests`` holds the rows of all buckets (``dataset`` names the bucket). Each bucket is read in order until it
     has its target; rows without key and rows whose key an earlier bucket (or row) kept are passed over; rows behind
     the target are never read, so their keys stay free for later buckets. The hour cap ends everything at the first
-    row that would go over it. Null, NaN and missing durations count as 0 hours."""
+    row that would go over it. Null, NaN and missing durations count as 0 hours. ``ord`` is unique within a bucket, as
+    line numbers are."""
     buckets = targets.select(F.col("name").alias("dataset"), "seq", "target")
     rows = _keyed(manifests).where("key is not null").join(F.broadcast(buckets), "dataset")
-    first = rows.groupBy("seq", "key").agg(F.min("ord").alias("ord"), F.first("target").alias("target"))
-    placed = running_total(first, ["seq"], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.lit(1), "pos")
-    skipped = _contested(placed, targets)
+    # keys and places only; each is read several times below, so it is written
+    first = written(rows.groupBy("seq", "key").agg(F.min("ord").alias("ord"), F.max("target").alias("target")), "first")
+    placed = written(running_total(first, ["seq"], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.lit(1), "pos"), "placed")
+    skipped = _contested(placed)
     if skipped is not None and not skipped.isEmpty():
         rest = placed.join(skipped, ["key", "seq"], "left_anti")
         placed = running_total(rest.drop("pos"), ["seq"], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.lit(1), "pos")
     kept = placed.where("pos <= target").select("seq", "key", "ord", F.col("pos").alias("place"))
-    out = rows.join(kept, ["seq", "key", "ord"]).dropDuplicates(["seq", "key", "ord"]).withColumnRenamed("seq", "bucket_seq").drop("key", "target")
+    out = rows.join(kept, ["seq", "key", "ord"]).withColumnRenamed("seq", "bucket_seq").drop("key", "target")
     return hour_cap(out, max_hours) if max_hours is not None and max_hours > 0 else out
 
 
@@ -103,9 +105,12 @@ def hour_cap(final: DataFrame, max_hours: float) -> DataFrame:
     seconds = F.coalesce(F.nanvl(F.col("duration"), F.lit(0.0)), F.lit(0.0))
     micro = F.round(seconds * 1e6).cast("bigint")  # whole microseconds add up alike in any grouping
     per_bucket = F.col("bucket_seq").cast("bigint") * (1 << 40) + F.floor(F.col("place") / ORD_BLOCK)
-    summed = running_total(final, [], per_bucket, ["place"], micro, "upto")
-    at = summed.where(F.col("upto") > F.lit(round(max_hours * 3.6e9))).agg(F.min(F.struct("bucket_seq", "place")).alias("stop"))
-    return summed.crossJoin(F.broadcast(at)).where("stop is null or struct(bucket_seq, place) < stop").drop("upto", "stop")  # one row
+    summed = written(running_total(written(final, "final"), [], per_bucket, ["place"], micro, "upto"), "summed")
+    over = summed.where(F.col("upto") > F.lit(round(max_hours * 3.6e9))).agg(F.min(F.struct("bucket_seq", "place")).alias("stop")).first()["stop"]
+    if over is None:
+        return summed.drop("upto")
+    before = (F.col("bucket_seq") < over["bucket_seq"]) | ((F.col("bucket_seq") == over["bucket_seq"]) & (F.col("place") < over["place"]))
+    return summed.where(before).drop("upto")
 
 
 def delivery(final: DataFrame, targets: DataFrame) -> DataFrame:

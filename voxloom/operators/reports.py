@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import epoch_of, one_line, strip
-from voxloom.scale import hex_block, running_total
+from voxloom.scale import hex_block, running_total, written
 
 # The letters whose coverage is reported for Polish.
 POLISH_LETTERS = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
@@ -122,7 +122,8 @@ def balance(rows: DataFrame, key: str = "ord", seed: int = 0) -> DataFrame:
     # rows of a language without a single character can't fill anything
     joined = sized.join(F.broadcast(goal), F.col("language").eqNullSafe(F.col("_l")))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    placed = running_total(joined.withColumn("_h", digest), ["language"], hex_block(F.col("_h")), ["_h", key], F.col("_len"), "_upto")
+    # written, as the running total reads its rows and their blocks
+    placed = running_total(written(joined.withColumn("_h", digest), "balance"), ["language"], hex_block(F.col("_h")), ["_h", key], F.col("_len"), "_upto")
     whole = F.floor(F.col("_goal") / F.col("_total"))
     once_more = F.col("_upto") - F.col("_len") < F.col("_goal") - whole * F.col("_total")
     times = F.when(F.col("_langs") < 2, F.lit(1)).otherwise(whole + once_more.cast("bigint")).cast("int")

@@ -52,7 +52,9 @@ def test_balance(spark):
 
 def test_parameters(spark):
     ckpt = spark.createDataFrame([(1, "w", [1.0, 2.0]), (2, "w", [3.0, 4.0]), (2, "b", [5.0])], "epoch int, name string, values array<double>")
-    assert dict(R.average_parameters(ckpt).collect()) == {"w": [2.0, 3.0], "b": [5.0]}
+    assert dict(R.average_parameters(ckpt).collect()) == {"w": [2.0, 3.0]}
+    steps = spark.createDataFrame([(1, "n", [1.0], False), (2, "n", [9.0], False), (1, "w", [1.0], True), (2, "w", [2.0], True)], "epoch int, name string, values array<double>, floating boolean")
+    assert dict(R.average_parameters(steps).collect()) == {"n": [1.0], "w": [1.5]}
     files = spark.createDataFrame([("epoch=1.ckpt",), ("epoch=10.ckpt",), ("3-x.ckpt",), ("last.ckpt",)], "name string")
     assert [r["epoch"] for r in R.last_checkpoints(files, 2).collect()] == [10, 3]
     with pytest.raises(ValueError):

@@ -68,7 +68,8 @@ def test_results_and_reports(spark, tmp_path):
 def test_corpus_counts(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a"), (1, "b\nc"), (2, " ")], "ord bigint, text string")
     assert sinks.write_corpus(rows, str(tmp_path / "c"), 1) == 1
-    assert sinks.write_corpus(rows, str(tmp_path / "c"), 0) == 2
+    assert sinks.write_corpus(rows, str(tmp_path / "c"), 0) == 2 and spark.read.text(str(tmp_path / "c")).count() == 0
+    assert sinks.write_corpus(rows, str(tmp_path / "c")) == 2
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "c")).collect()) == ["a", "b c"]
 
 

@@ -46,12 +46,14 @@ def test_cursor_rules():
     assert S.resume_cursor(60, 100, 10, True, False) == 0
     assert S.resume_cursor(50, 100, 10, True, False) == 50
     assert S.resume_cursor(50, 100, 10, False, True) == 0
+    assert S.resume_cursor(50, 100, 0, False, True) == 50
 
 
 def test_states(spark):
     states = spark.createDataFrame([("a", 5, False), ("b", 5, True), ("c", 5, False)], "source string, cursor int, exhausted boolean")
     runs = spark.createDataFrame([("a", True, False), ("b", True, False), ("c", True, True)], "source string, short boolean, streaming boolean")
-    assert {r["source"]: r["exhausted"] for r in S.source_states(states, runs).collect()} == {"a": True, "b": False, "c": False}
+    assert {r["source"]: r["exhausted"] for r in S.reopened(states, runs).collect()} == {"a": False, "b": False, "c": False}
+    assert {r["source"]: r["exhausted"] for r in S.closed(states, runs).collect()} == {"a": True, "b": True, "c": False}
 
 
 def test_retries():
@@ -64,6 +66,9 @@ def test_retries():
         return "ok"
 
     assert S.with_retries(read, sleep=pauses.append) == "ok" and pauses == [45.0, 90.0]
+    with pytest.raises(OSError):
+        S.with_retries(lambda: (_ for _ in ()).throw(OSError("429")), retries=2, sleep=pauses.append)
+    assert pauses == [45.0, 90.0, 45.0, 90.0]
     with pytest.raises(KeyError):
         S.with_retries(lambda: {}["x"], sleep=pauses.append)
     try:

@@ -24,7 +24,9 @@ def test_key(spark):
 def test_tag_slug_epoch(spark):
     assert one(spark, X.safe_tag, " a/b  cą! ") == "a_b_c_"
     assert len(one(spark, X.safe_tag, "x" * 500)) == 120
-    assert one(spark, X.slug, "--Żółw, 2!--") == "Żółw_2"
+    assert one(spark, X.slug, "--Żółw, 2!--") == "żółw_2"
+    assert one(spark, X.slug, "_" * 3 + "a" * 39 + " bc") == "a" * 39
+    assert one(spark, X.fixed, 1234) == "1234.00"
     assert one(spark, X.slug, "!!") == "sample" and one(spark, X.slug, None) == "sample"
     assert [one(spark, X.epoch_of, n) for n in ("m-epoch=012.ckpt", "7-x.ckpt", "last.ckpt")] == [12, 7, None]
 
@@ -37,7 +39,7 @@ def test_uid(spark):
 
 
 def test_suffix(spark):
-    assert [one(spark, X.audio_suffix, p) for p in ("a/B.WAV", "a/b", ".wav", None)] == [".wav", ".audio", ".audio", ".audio"]
+    assert [one(spark, X.audio_suffix, p) for p in ("a/B.WAV", "a/b", ".wav", None)] == [".WAV", ".audio", ".audio", ".audio"]
 
 
 def test_rate_limit(spark):

@@ -34,9 +34,9 @@ def safe_tag(text: Column, most: int = 120) -> Column:
 
 
 def slug(text: Column, most: int = 40) -> Column:
-    """Letters and digits of any script joined by single underscores, ``sample`` where nothing is left."""
-    joined = F.substring(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "_"), "_+", "_"), 1, most)
-    trimmed = F.regexp_replace(joined, "^_+|_+$", "")
+    """Lower-case letters and digits of any script joined by single underscores, ``sample`` where nothing is left."""
+    joined = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
+    trimmed = F.trim(F.substring(joined, 1, most), F.lit("_"))
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("sample")).otherwise(trimmed)
 
 
@@ -58,7 +58,7 @@ def under_root(path: Column, root: str) -> Column:
 
 def audio_suffix(path: Column, default: str = ".audio") -> Column:
     """File type of the last part of a path, with its dot."""
-    return F.coalesce(F.nullif(F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)), F.lit("")), F.lit(default))
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1), F.lit("")), F.lit(default))
 
 
 def sample_uid(hf_id: Column, config: Column, split: Column, position: Column, path: Column | None = None, content: Column | None = None, given: Column | None = None) -> Column:

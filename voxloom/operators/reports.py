@@ -138,8 +138,13 @@ def corpus_lines(manifest: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def average_parameters(checkpoints: DataFrame) -> DataFrame:
-    """(name, values) of ``checkpoints`` (epoch, name, values): the mean of each element over the epochs that have the name."""
-    each = checkpoints.select("name", F.posexplode("values").alias("pos", "v"))
+    """(name, values) of ``checkpoints`` (epoch, name, values[, floating]): for each name of the first epoch the mean of
+    each element over the epochs that have it; what isn't ``floating`` keeps the values of the first epoch."""
+    start = checkpoints.agg(F.min("epoch")).first()[0]
+    rows = checkpoints.join(checkpoints.where(F.col("epoch") == start).select("name"), "name", "left_semi")
+    if "floating" in checkpoints.columns:
+        rows = rows.where(F.col("floating") | (F.col("epoch") == start))
+    each = rows.select("name", F.posexplode("values").alias("pos", "v"))
     mean = each.groupBy("name", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
     return mean.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions import arrays as A
@@ -133,8 +134,6 @@ _FRAMES_SQL = f"f AS (SELECT user_id AS utt_id, row_number() OVER (PARTITION BY
 
 
 def _frames(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     token = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type")).cast("int") - 1
     return _t(spark, sf_dir, "events").select(F.col("user_id").alias("utt_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("t"), token.alias("token"))
 
@@ -260,7 +259,8 @@ WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding,
 SELECT CAST(label AS VARCHAR) AS name, CAST(pos - 1 AS INTEGER) AS pos, round(avg(v::DOUBLE), 6) AS value FROM e GROUP BY ALL
 """)
 def average_vectors(spark, sf_dir):
-    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("epoch"), F.col("label").cast("string").alias("name"), F.col("embedding").alias("values"))
+    epoch = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+    vectors = _t(spark, sf_dir, "embeddings").select(epoch.alias("epoch"), F.col("label").cast("string").alias("name"), F.col("embedding").alias("values"))
     return reports.average_parameters(vectors).select("name", F.posexplode("values").alias("pos", "v")).select("name", "pos", F.round("v", 6).alias("value"))
 
 
@@ -432,7 +432,8 @@ def safe_tag(spark, sf_dir):
 
 
 @query(r"""
-WITH s AS (SELECT ord, regexp_replace(substring(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}]+', '_', 'g'), '_+', '_', 'g'), 1, 40), '^_+|_+$', '', 'g') AS s FROM train_final)
+WITH l AS (SELECT ord, regexp_replace(lower(text), '(\p{L})σ([^\p{L}]|$)', '\1ς\2', 'g') AS t FROM train_final),
+s AS (SELECT ord, trim(substring(trim(regexp_replace(t, '[^\p{L}\p{N}]+', '_', 'g'), '_'), 1, 40), '_') AS s FROM l)
 SELECT ord, CASE WHEN coalesce(s, '') = '' THEN 'sample' ELSE s END AS slug FROM s
 """)
 def slug(spark, sf_dir):
@@ -440,7 +441,7 @@ def slug(spark, sf_dir):
 
 
 @query("""
-SELECT ord, substring(sha1(audio_filepath), 1, 16) AS name, coalesce(nullif(lower(regexp_extract(audio_filepath, '[^/](\\.[^./]+)$', 1)), ''), '.audio') AS suffix,
+SELECT ord, substring(sha1(audio_filepath), 1, 16) AS name, coalesce(nullif(regexp_extract(audio_filepath, '[^/](\\.[^./]+)$', 1), ''), '.audio') AS suffix,
   CASE WHEN starts_with(audio_filepath, '/') THEN audio_filepath ELSE '/root/' || audio_filepath END AS resolved FROM train_final
 """)
 def path_names(spark, sf_dir):

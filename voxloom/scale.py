@@ -16,13 +16,16 @@ BROADCAST_ROWS = 300_000
 BROADCAST_BYTES = 32 << 20
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="voxloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="voxloom-"))
+    return _own_folder[0]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

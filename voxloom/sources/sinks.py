@@ -70,8 +70,8 @@ def report_json(df: DataFrame) -> str:
 
 
 def write_corpus(manifest: DataFrame, path: str, most: int | None = None) -> int:
-    """One text per line; returns the number of lines wanted, all of them for 0 or None."""
-    corpus_lines(manifest, most or None).write.mode("overwrite").text(path)
+    """One text per line, at most ``most``; returns the number of lines (for a limit of 0 that of all texts)."""
+    corpus_lines(manifest, most).write.mode("overwrite").text(path)
     n = corpus_lines(manifest).count()
     return min(n, most or n)
 

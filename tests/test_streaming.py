@@ -78,3 +78,32 @@ def test_retries():
             raise ValueError("outer") from e
     except ValueError as e:
         assert S.rate_limited(e)
+
+
+def test_paged_source(spark):
+    import os
+
+    from voxloom.sources.paged import PagedSource
+
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "paged_fixture.py"))
+    spark.dataSource.register(PagedSource)
+    df = spark.read.format("paged").schema("shard int, n int").option("pages", "paged_fixture:numbers").option("shards", 3).option("pause", 0).load()
+    assert df.rdd.getNumPartitions() == 3 and sorted(r["n"] for r in df.collect()) == list(range(30))
+
+
+def test_late_repeats_within_the_watermark(spark, tmp_path):
+    src = str(tmp_path / "src")
+    schema = "uid string, audio_filepath string, at timestamp"
+    rows = spark.sql("SELECT * FROM VALUES ('a', CAST(NULL AS STRING), TIMESTAMP'2025-01-01 00:00:00'), ('a', NULL, TIMESTAMP'2025-01-01 00:05:00'), ('b', NULL, TIMESTAMP'2025-01-01 00:01:00') AS t(uid, audio_filepath, at)")
+    rows.coalesce(1).write.parquet(src)
+    stream = S.deduplicated_within(spark.readStream.schema(schema).parquet(src), "at", "10 minutes")
+    q = stream.writeStream.format("memory").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["uid"] for r in spark.table("late").collect()) == ["a", "b"]
+
+
+def test_rejects(spark):
+    from pyspark.sql import functions as F
+
+    good, bad = S.split_valid(spark.createDataFrame([(1,), (None,), (-1,)], "x int"), F.col("x") > 0)
+    assert good.count() == 1 and bad.count() == 2

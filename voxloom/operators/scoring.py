@@ -101,9 +101,10 @@ def first_per_language(hypotheses: DataFrame, k: int = 2, languages: Sequence[st
 def frames_to_ids(frames: DataFrame, by: Sequence[str] = ("utt_id",), blank: int = 0) -> DataFrame:
     """Best-path ids of frames (``by``, t, token): repeats dropped by comparing each frame with the one before, then blanks."""
     before = F.lag("token", 1, -1).over(W.partitionBy(*by).orderBy("t"))
-    kept = frames.withColumn("_last", before).where((F.col("token") != F.col("_last")) & (F.col("token") != blank))
-    ids = kept.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "token"))), lambda x: x["token"]).alias("ids"))
-    return frames.select(*by).distinct().join(ids, list(by), "left").select(*by, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    marked = frames.withColumn("_last", before)
+    kept = F.when((F.col("token") != F.col("_last")) & (F.col("token") != blank), F.struct("t", "token"))
+    # nulls aren't collected, so an utterance of blanks has no ids; the window's partitioning serves the grouping
+    return marked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["token"]).alias("ids"))
 
 
 def blank_fraction(frames: DataFrame, by: Sequence[str] = (), blank: int = 0) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -19,7 +17,6 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
         "spark.driver.memory": memory,
         "spark.driver.host": "127.0.0.1",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="voxloom-"),
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName("voxloom")
     for key, value in settings.items():

@@ -54,9 +54,9 @@ def fits(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
     return n <= rows and of_text + 16 * n <= size
 
 
-def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Join a written lookup table: broadcast while it fits, else a shuffled join, whose hot keys AQE splits."""
-    return big.join(F.broadcast(table) if fits(table) else table.hint("merge"), on, how)
+    return big.join(F.broadcast(table) if fits(table, rows, size) else table.hint("merge"), on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:

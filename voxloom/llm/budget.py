@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from voxloom.llm.tokenizers import JAVA_SPLIT_PATTERN, TOKENIZER_DIR, encoding, ranks
 from voxloom.scale import lookup_join, written
 
+#: Distinct pieces (of at most ``scale.BROADCAST_BYTES`` together) that are sent to the rows instead of the pieces of all
+#: rows being sent to them, which moves several times the corpus.
+BROADCAST_PIECES = 1_000_000
+
 
 class PrefixTrie:
     """Token counts of pieces given in sorted order; keeps the states of the current path only."""
@@ -83,7 +87,7 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", tokeni
     sizes = written(piece_sizes(distinct, tokenizer, folder), "pieces")
     row = F.struct(*[F.col(f"`{c}`") for c in cols], F.lit(0).alias("_no_column"))
     cut = df.select(row.alias("_row"), F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_text")).select("_row", "_rid", pieces(F.col("_text")).alias("piece"))
-    sized = lookup_join(cut, sizes, "piece", "left")
+    sized = lookup_join(cut, sizes, "piece", "left", rows=BROADCAST_PIECES)
     # all of a row's pieces are in one partition, so the partial sums leave one record per row to shuffle
     rows = sized.groupBy("_rid", "_row").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_n"))
     return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols], F.col("_n").alias(out))

@@ -100,3 +100,19 @@ def test_empty_tables_and_counts(spark):
     pairs = spark.createDataFrame([(1, 11), (2, 11), (1, 12)], "train_ord bigint, eval_ord bigint")
     evaluation = spark.createDataFrame([(11, "", "", "d", None, "val"), (12, "", "", "d", None, "val"), (13, "", "", "e", "s", "test")], T)
     assert [tuple(r) for r in O.overlap_counts(pairs, evaluation).collect()] == [("val", "d", None, 3, 2)]
+
+
+def test_the_bound_on_known_words(spark):
+    counts = spark.createDataFrame([("a", 100), ("b", 90), ("c", 5), ("d", 4), ("e", 1)], "w string, n bigint")
+    assert O._most_frequent(counts, 9) == {"a": 100, "b": 90, "c": 5, "d": 4, "e": 1}
+    assert O._most_frequent(counts, 3) == {"a": 100, "b": 90} and O._most_frequent(counts, 1) == {}
+
+
+def test_unknown_words_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(O, "_most_frequent", lambda counts: {})
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(50)]
+    base = [rng.choices(vocabulary, k=rng.randint(8, 16)) for _ in range(30)]
+    train = [(i, " ".join(w), None) for i, w in enumerate(base)]
+    evaluation = [(1000 + i, " ".join(changed(rng, rng.choice(base), vocabulary)), None) for i in range(60)]
+    assert run(spark, train, evaluation) == brute(train, evaluation)

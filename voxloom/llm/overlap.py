@@ -12,8 +12,8 @@ two of them, and the lists are keyed by such pairs of terms, which keeps them sh
 bound, and the exact edit distance, follow on distinct texts; copies come back at the end. The bound depends on the text
 because a fixed least cosine would lose pairs that differ in rare words.
 
-Only words in at least one of 10,000 texts are counted for the order, at most 10,000 times the mean length of a text
-of them, whatever the size of the data; all others count as equally rare.
+The rarities of at most ``FREQUENT_WORDS`` words are sent to the executors, the most frequent ones whatever the size of
+the data; all others count as equally rare. That decides how short the lists are, never which pairs are found.
 
 Defined results: null, empty, blank and short texts make no text pair; null and empty paths, or such with fewer than
 three folders and names, no recording pair; each ord pair comes once even if rows are repeated; empty tables give no rows.
@@ -36,8 +36,8 @@ from voxloom.scale import written
 MIN_WORDS = 8
 #: Two texts may differ by one word in so many.
 ONE_IN = 5
-#: A word in fewer than one of so many texts counts as rare.
-RARE_ONE_IN = 10_000
+#: Words whose rarity is known to the executors.
+FREQUENT_WORDS = 200_000
 #: Up to so many words a text is listed under pairs of terms, from four fifths of it on under single terms.
 PAIRED_WORDS = 60
 
@@ -145,13 +145,25 @@ def _edits_within(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0] >= 0
 
 
+def _most_frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[str, int]:
+    """The counts of the most frequent words, in classes of counts between powers of two, as far as ``most`` words reach."""
+    classes = counts.groupBy(F.floor(F.log2("n")).alias("c")).count().orderBy(F.col("c").desc()).collect()  # at most 62
+    least, total = 62, 0
+    for r in classes:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["c"]
+    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= 1 << least).toLocalIterator()}
+
+
 def near_texts(texts: DataFrame) -> DataFrame:
     """Pairs (h_a, g_a, h_b, g_b, cosine) of near-same texts, a of the training and b of an evaluation side, among ``texts``
     (h, g, words, sides): h and g are two hashes of the words, sides is 1, 2 or 3 (both)."""
     spark = texts.sparkSession
     n_texts = texts.count()
-    counts = texts.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").count()
-    frequent = spark.sparkContext.broadcast({r["w"]: r["count"] for r in counts.where(F.col("count") * RARE_ONE_IN >= n_texts).toLocalIterator()})
+    counts = texts.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    frequent = spark.sparkContext.broadcast(_most_frequent(written(counts, "counts")))
     a = postings(texts.where("sides & 1 > 0"), frequent).select("key", F.col("h").alias("h_a"), F.col("n").alias("n_a"), F.col("sign").alias("s_a"))
     b = postings(texts.where("sides & 2 > 0"), frequent).select("key", F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.col("sign").alias("s_b"))
     longer = F.greatest("n_a", "n_b")

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 BLANK = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+#: The same characters one by one.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    """Without white space of any kind at either end; looks at the ends only, which a regular expression doesn't."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def words(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import encoder_length
 from voxloom.functions.text import BLANK, strip
-from voxloom.scale import computed
+from voxloom.scale import computed, spread
 
 MAX_SECONDS = 16.0
 TRAIN_SPEED = 0.95
@@ -30,7 +30,7 @@ def with_reason(manifest: DataFrame, split: str = "train", factor: int = 8, max_
     """``manifest`` with reason (loaded, bad_duration, too_long, missing, ctc_too_long), target_len and encoder_len."""
     seconds = parsed_duration(F.col("duration"))
     text = F.coalesce(strip(F.col("text")), F.lit(""))
-    rows = computed(manifest, _d=seconds, _t=text)
+    rows = computed(spread(manifest), _d=seconds, _t=text)
     # the length of a NaN is that of nothing
     length = encoder_length(F.nanvl(F.col("_d"), F.lit(0.0)), factor, speed if split == "train" else 1.0)
     rows = computed(rows, target_len=F.when(F.col("_t") != "", tokens(F.col("_t"))), encoder_len=length)

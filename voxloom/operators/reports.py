@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import epoch_of, one_line, strip
-from voxloom.scale import hex_block, running_total, written
+from voxloom.scale import hex_block, running_total, spread, written
 
 # The letters whose coverage is reported for Polish.
 POLISH_LETTERS = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
@@ -89,7 +89,8 @@ def outcomes(df: DataFrame, status: str = "outcome") -> DataFrame:
 
 
 def _texts(manifest: DataFrame) -> DataFrame:
-    rows = manifest.select(F.coalesce("language", F.lit("None")).alias("language"), strip(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    rows = spread(manifest.select("language", "text"))
+    rows = rows.select(F.coalesce("language", F.lit("None")).alias("language"), strip(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     return rows.where(F.col("text") != "")
 
 

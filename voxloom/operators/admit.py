@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import encoder_length
-from voxloom.functions.text import BLANK, strip
+from voxloom.functions.text import BLANKS, strip
 from voxloom.scale import computed, spread
 
 MAX_SECONDS = 16.0
@@ -23,7 +23,9 @@ def parsed_duration(value: Column) -> Column:
 
 def whitespace_tokens(text: Column) -> Column:
     """Length under a stand-in tokenizer: words, at least one."""
-    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(rf"[^{BLANK}]+")))
+    # blanks between the words of the stripped text, after runs of them became one
+    bare = F.regexp_replace(F.translate(strip(text), BLANKS, " " * len(BLANKS)), "  +", " ")
+    return F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
 
 
 def with_reason(manifest: DataFrame, split: str = "train", factor: int = 8, max_seconds: float = MAX_SECONDS, tokens: Callable[[Column], Column] = whitespace_tokens, speed: float = TRAIN_SPEED) -> DataFrame:

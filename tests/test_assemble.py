@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import assemble as S
+from voxloom.plans import catalogue
 
 M = "ord bigint, uid string, audio_filepath string, text string, duration double, language string, dataset string, source string"
 
@@ -126,3 +127,15 @@ def test_limits_per_source_and_failures(spark):
     assert S.check_failures(status, 1) == 1
     with pytest.raises(RuntimeError):
         S.check_failures(status, 0)
+
+
+def test_queries_fill_buckets_to_the_whole_target(spark, tmp_path):
+    """Targets of 120 (binding, of 150 keys), 200 (short, of 130) and 300 (no rows); the last rows of A are second deliveries."""
+    items = [(i, "A", f"a{i % 150}") for i in range(160)] + [(i, "B", f"b{i}") for i in range(160, 290)]
+    rows(spark, *items).write.parquet(str(tmp_path / "train_final.parquet"))
+    specs = [("A", "train", 0, 120), ("A", "train", 1, 999), ("B", "train", 2, 200), ("C", "train", 3, 300), ("A", "val", 4, 7)]
+    spark.createDataFrame(specs, "name string, phase string, seq int, samples int").write.parquet(str(tmp_path / "source_spec.parquet"))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path))
+    assert kept(run("bucket_build")) == [*range(120), *range(160, 290)]
+    assert kept(run("bucket_build_hours")) == [*range(120), *range(160, 290)]
+    assert {r["name"]: (r["target"], r["kept"], r["short"]) for r in run("underdelivery").collect()} == {"A": (120, 120, False), "B": (200, 130, True), "C": (300, 0, True)}

@@ -345,7 +345,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ord) AS place FROM
 
 
 def _targets(spark, sf_dir):
-    return assemble.bucket_targets(_t(spark, sf_dir, "source_spec"), "train").withColumn("target", F.floor(F.col("target") / 100).cast("int"))
+    return assemble.bucket_targets(_t(spark, sf_dir, "source_spec"), "train")
 
 
 @query(f"WITH {_BUILT} SELECT ord, dataset, seq AS bucket_seq, place FROM f")

@@ -83,6 +83,16 @@ def test_budget(spark):
     assert B.with_tokens(rows.limit(0)).count() == 0
 
 
+def test_budget_per_combination(spark):
+    rows = [("s", "en", "d", "n", 3), ("s", "pl", "d", "n", 5), ("s", "en", "d", "n", 4), ("r", "pl", "d", None, 7), ("r", "pl", "e", None, 1), (None, None, None, None, 2)]
+    out = B.token_budget(spark.createDataFrame(rows, "source string, language string, dataset string, domain_tag string, n_tokens bigint")).collect()
+    cells = {(r["source"], r["language"], r["dataset"], r["domain_tag"]): (r["n_rows"], r["n_tokens"]) for r in out if r["dimension"] == "cell"}
+    assert cells == {("s", "en", "d", "n"): (2, 7), ("s", "pl", "d", "n"): (1, 5), ("r", "pl", "d", None): (1, 7), ("r", "pl", "e", None): (1, 1), (None,) * 4: (1, 2)}
+    totals = {(r["dimension"], r["value"]): (r["n_rows"], r["n_tokens"]) for r in out if r["dimension"] != "cell"}
+    assert totals[("all", None)] == (6, 22) and totals[("source", "s")] == (3, 12) and totals[("language", "pl")] == (3, 13) and totals[("domain_tag", None)] == (3, 10)
+    assert len(out) == 5 + 3 + 3 + 3 + 2 + 1
+
+
 def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a b", 2, 3, 4, 5)], "_rid int, text string, piece int, size int, _row int, n_tokens int")
     r = B.with_tokens(rows).first()

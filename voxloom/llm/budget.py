@@ -1,4 +1,4 @@
-"""Problem 1: tokens per row, and the totals per source, language, dataset and domain.
+"""Problem 1: tokens per row, and the totals per source, language, dataset and domain and per combination of these.
 
 Texts are cut into pieces by the tokenizer's own splitting pattern, in SQL. Distinct pieces (their number grows far
 more slowly than the corpus) are laid out by their first characters and sorted, so that each partition is a prefix
@@ -101,9 +101,14 @@ def with_domain(df: DataFrame, spec: DataFrame) -> DataFrame:
 
 
 def token_budget(tokens: DataFrame) -> DataFrame:
-    """(dimension, value, n_rows, n_tokens): totals per source, per language, per dataset, per domain, and over all."""
+    """(dimension, value, n_rows, n_tokens, source, language, dataset, domain_tag): totals per source, per language, per
+    dataset, per domain, over all, and (dimension ``cell``) per combination of the four, which the last columns name;
+    they are null in the other totals, as ``value`` is in cells."""
     dims = ["source", "language", "dataset", "domain_tag"]
     # one pre-aggregation to the few combinations; the single dimensions follow from those
     cells = tokens.groupBy(*dims).agg(F.count(F.lit(1)).alias("r"), F.sum("n_tokens").alias("t"))
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dims], F.struct(F.lit("all").alias("dimension"), F.lit(None).cast("string").alias("value"))))
-    return cells.select(each.alias("d"), "r", "t").groupBy("d.dimension", "d.value").agg(F.sum("r").alias("n_rows"), F.sum("t").alias("n_tokens"))
+    none = F.lit(None).cast("string")
+    total = lambda d, value, own=False: F.struct(F.lit(d).alias("dimension"), value.alias("value"), *[(F.col(c) if own else none).alias(c) for c in dims])
+    each = F.explode(F.array(*[total(d, F.col(d)) for d in dims], total("all", none), total("cell", none, True)))
+    sums = cells.select(each.alias("d"), "r", "t").select("d.*", "r", "t").groupBy("dimension", "value", *dims).agg(F.sum("r").alias("n_rows"), F.sum("t").alias("n_tokens"))
+    return sums.select("dimension", "value", "n_rows", "n_tokens", *dims)

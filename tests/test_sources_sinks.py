@@ -137,3 +137,23 @@ def test_stored_samples(spark, tmp_path):
     assert got == {"a": ("a.wav", 0.1), "b": ("b.wav", 0.1), "c": ("own.wav", 0.1)}
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.wav", "b.wav"]
     assert abs(G.read_wav((tmp_path / "out" / "b.wav").read_bytes())[0].max() - 1) < 1e-3
+
+
+def test_stored_samples_of_other_kinds_stay(spark, tmp_path):
+    from voxloom.operators.assemble import check_failures
+
+    flac, mp3, empty = b"fLaC\0\0\0\x22" + b"\1" * 40, b"ID3\4" + b"\0" * 40, G.write_wav(np.zeros(0), 8000)
+    (tmp_path / "own.mp3").write_bytes(mp3)
+    (tmp_path / "bad.wav").write_bytes(b"bad")
+    schema = "name string, audio struct<array:array<float>,sampling_rate:int,bytes:binary,path:string>"
+    rows = [
+        ("a", (None, None, flac, "x/y.flac")), ("b", (None, None, flac, None)), ("c", (None, None, mp3, "z.wav")), ("d", (None, None, None, str(tmp_path / "own.mp3"))),
+        ("e", (None, None, b"bad", "z.wav")), ("f", (None, None, None, str(tmp_path / "bad.wav"))), ("g", (None, None, empty, "z.wav")), ("h", None), ("i", ([0.1] * 800, 8000, None, None)),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["name"]: (r["audio_filepath"].rsplit("/", 1)[1], r["duration"], r["status"]) for r in sinks.store_samples(df, str(tmp_path / "out")).collect()}
+    assert got == {"a": ("a.flac", None, "unread"), "b": ("b.audio", None, "unread"), "c": ("c.wav", None, "unread"), "d": ("own.mp3", None, "unread"), "i": ("i.wav", 0.1, "ok")}
+    assert (tmp_path / "out" / "a.flac").read_bytes() == flac
+    every = sinks.sample_outcomes(df, str(tmp_path / "every"))
+    assert {r["name"]: r["status"] for r in every.collect() if r["name"] in "efgh"} == {"e": "failed", "f": "failed", "g": "empty", "h": "missing"}
+    assert every.where("duration is null").count() == 8 and check_failures(every, 2) == 2

@@ -130,7 +130,26 @@ def write_shards(manifest: DataFrame, folder: str, per_shard: int, max_shards: i
 def store_samples(samples: DataFrame, folder: str, rate: int = 16000, peak: bool = True) -> DataFrame:
     """``samples`` (name, ..., audio) with audio_filepath and duration of the files written for them. Records with bytes are
     stored as they are, under their own type; records with samples are resampled, normalised and stored as WAV; the
-    local path of others is taken over. Rows without audio or of no length are dropped, and leave no file."""
+    local path of others is taken over. Rows without audio or of no length are dropped, and leave no file; audio whose
+    header can't be read (see ``sample_outcomes``) is stored and stays, without duration and with the status ``unread``."""
+    return sample_outcomes(samples, folder, rate, peak).where(F.col("status").isin("ok", "unread"))
+
+
+def _readable(data: bytes, kind: str) -> tuple[str, float | None]:
+    """Status and length of a file's content with its suffix."""
+    seconds = wav_seconds(data)
+    if seconds:
+        return "ok", seconds
+    if seconds is not None or not data:
+        return "empty", None
+    marked = data[:4] in (b"RIFF", b"RF64", b"fLaC", b"OggS") or data[:3] == b"ID3" or data[4:8] == b"ftyp" or (data[0] == 0xFF and data[1:2] >= b"\xe0")
+    return "unread" if marked or kind.lower() != ".wav" else "failed", None
+
+
+def sample_outcomes(samples: DataFrame, folder: str, rate: int = 16000, peak: bool = True) -> DataFrame:
+    """Every row of ``samples`` as ``store_samples`` stores it, with ``status``: ``ok``; ``unread`` (audio of another kind than
+    PCM WAV: stored, its duration unknown); ``failed`` (called WAV but no audio file); ``empty`` (no length); ``missing``
+    (no audio, or its file isn't there). The last three have no file. ``check_failures`` counts any of them."""
     columns = [f for f in samples.schema.fields if f.name != "audio"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,30 +167,31 @@ def store_samples(samples: DataFrame, folder: str, rate: int = 16000, peak: bool
             os.replace(beside, target)
             return target
 
-        def one(name: str, audio) -> tuple[str | None, float | None]:
+        def one(name: str, audio) -> tuple[str | None, float | None, str]:
             if audio is None:
-                return None, None
+                return None, None, "missing"
             if audio["bytes"] is not None:
                 data = bytes(audio["bytes"])
                 kind = os.path.splitext(audio["path"] or "")[1] or ".audio"
-                seconds = wav_seconds(data)
-                return (put(name + kind, data), seconds) if seconds else (None, None)
+                status, seconds = _readable(data, kind)
+                return put(name + kind, data) if status in ("ok", "unread") else None, seconds, status
             if audio["array"] is not None:
                 x = resample(np.asarray(audio["array"], np.float32), int(audio["sampling_rate"]), rate)
                 top = float(np.abs(x).max()) if len(x) else 0.0
                 x = x / (top + 1e-6) if peak and top > 0 else x
-                return (put(name + ".wav", write_wav(x, rate)), len(x) / rate) if len(x) else (None, None)
+                return (put(name + ".wav", write_wav(x, rate)), len(x) / rate, "ok") if len(x) else (None, None, "empty")
             if audio["path"] and os.path.exists(audio["path"]):
                 with open(audio["path"], "rb") as f:
-                    return audio["path"], wav_seconds(f.read())
-            return None, None
+                    status, seconds = _readable(f.read(), os.path.splitext(audio["path"])[1])
+                return audio["path"] if status in ("ok", "unread") else None, seconds, status
+            return None, None, "missing"
 
         for part in parts:
             made = [one(n, a) for n, a in zip(part["name"], part["audio"])]
-            out = part[[c.name for c in columns]].assign(audio_filepath=[m[0] for m in made], duration=[m[1] for m in made])
-            yield out[out["audio_filepath"].notna() & (out["duration"].fillna(0) > 0)]
+            duration = pd.Series([m[1] for m in made], part.index, object)  # null, not NaN, where it is unknown
+            yield part[[c.name for c in columns]].assign(audio_filepath=[m[0] for m in made], duration=duration, status=[m[2] for m in made])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", audio_filepath string, duration double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", audio_filepath string, duration double, status string"
     return samples.mapInPandas(run, schema)
 
 

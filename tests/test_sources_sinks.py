@@ -157,3 +157,16 @@ def test_stored_samples_of_other_kinds_stay(spark, tmp_path):
     every = sinks.sample_outcomes(df, str(tmp_path / "every"))
     assert {r["name"]: r["status"] for r in every.collect() if r["name"] in "efgh"} == {"e": "failed", "f": "failed", "g": "empty", "h": "missing"}
     assert every.where("duration is null").count() == 8 and check_failures(every, 2) == 2
+
+
+def test_rebuild_splits_a_bucket_under_a_uri(spark, tmp_path):
+    row = lambda u, d, p="x.wav": ROW | {"uid": u, "dataset": d, "audio_filepath": p}
+    folders = pipeline.Folders((tmp_path / "buckets").as_uri(), (tmp_path / "finals").as_uri())
+    jsonl(tmp_path / "buckets" / "A.jsonl", row("1", "A"))
+    jsonl(tmp_path / "buckets" / "V.jsonl", row("7", "V", "far/1"), row("8", "V", "near/1"))
+    jsonl(tmp_path / "buckets" / "F.jsonl", row("9", "F", "far/2"))
+    spec = {"hf_id": "h", "split": "s", "lang": "pl", "samples": 1}
+    config = {"datasets": {"train": [spec | {"name": "A"}], "val": [spec | {"name": "V"}, spec | {"name": "F", "samples": 2}]}}
+    specs = manifests.specs_of(spark, config, "train").unionByName(manifests.specs_of(spark, config, "val"))
+    out = pipeline.rebuild(spark, folders, specs, mixed=("V", "far/", "F"))
+    assert [(r["uid"], r["dataset"]) for r in out["val"].orderBy("ord").collect()] == [("8", "V"), ("9", "F"), ("7", "F")]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,7 +12,7 @@ from voxloom.operators.assemble import assemble, assert_no_overlap, bucket_names
 from voxloom.operators.reports import compare, manifest_stats, repair
 from voxloom.operators.scoring import rollup, sorted_results, split_metrics
 from voxloom.scale import written
-from voxloom.sources.manifests import read_manifest, typed
+from voxloom.sources.manifests import _exists, read_manifest, typed
 from voxloom.sources.sinks import backup, write_manifest, write_results
 
 
@@ -68,7 +67,7 @@ def rebuild(spark: SparkSession, folders: Folders, specs: DataFrame, hours: floa
     if backups:
         for phase in ("train", "val"):
             backup(spark, folders.final(phase), backups)
-    if mixed and os.path.exists(folders.bucket(mixed[0])):
+    if mixed and _exists(spark, folders.bucket(mixed[0])):
         name, marker, moved = mixed
         rest, away = split_bucket(typed(read_manifest(spark, folders.bucket(name))), marker, name, moved, typed(read_manifest(spark, folders.bucket(moved), missing="empty")))
         # both read the bucket that is replaced, so both are written out before

@@ -54,16 +54,43 @@ def test_equals_brute_force(spark, monkeypatch, seed, group):
     assert check(spark, random_docs(seed))
 
 
-def test_small_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(S, "MIN_CELL_BITS", 16)
-    monkeypatch.setattr(S, "MAX_CELL_BITS", 16)
-    assert check(spark, random_docs(5))
-    assert check(spark, random_docs(5), exact=True)
+@pytest.mark.parametrize("cells, width", [(1, 2), (8, 4), (64, 6)])
+def test_a_sketch_of_any_width_loses_nothing(spark, monkeypatch, cells, width):
+    monkeypatch.setattr(S, "CELLS_PER_WINDOW", cells)
+    assert check(spark, random_docs(5), width=width)
 
 
-def test_sketches_are_merged_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(S, "MERGE_AT_ONCE", 1)
-    assert check(spark, random_docs(6))
+def test_windows_known_in_parts_of_a_partition(spark):
+    texts = spark.createDataFrame([(d, t) for d, t in random_docs(6) if t and len(t) >= S.SPAN], "doc bigint, text string")
+    every = lambda chunk: {(r["fp"], r["doc"]) for r in S.window_keys(texts, chunk).collect()}
+    assert every(3) == every(S.CHUNK)
+
+
+def test_blocks_follow_the_windows():
+    cells = lambda n: S.CELLS_PER_WINDOW * n / (1 << S.block_bits(n))
+    assert S.block_bits(0) == S.block_bits(1) == 0
+    assert all((1 << S.BLOCK_BITS - 1) <= cells(n) <= 1 << S.BLOCK_BITS for n in (10**5, 3 * 10**9, 2 * 10**12))
+
+
+def test_the_sketch_passes_every_repeated_window(spark):
+    texts = spark.createDataFrame([(d, t) for d, t in random_docs(8) if t and len(t) >= S.SPAN], "doc bigint, text string").repartition(7)
+    keys = S.window_keys(texts).cache()
+    everywhere = {}
+    for r in keys.collect():
+        everywhere.setdefault(r["fp"], set()).add(r["doc"])
+    passed = {(r["fp"], r["doc"]) for r in S.estimated_repeated(keys, 3).collect()} | {(r["fp"], r["doc"]) for r in keys.where("known").collect()}
+    assert {(f, d) for f, ds in everywhere.items() if len(ds) > 1 for d in ds} <= passed
+
+
+def test_links_count_what_pairs_expand(spark):
+    docs = random_docs(11) + [(300, None), (301, "short"), (302, "short")]
+    pairs, _ = brute(docs)
+    first = {}
+    for d, t in sorted(docs):
+        if t and len(t) >= S.SPAN:
+            first.setdefault(t, d)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in S.shared_links(spark.createDataFrame([(d, t, 0, 0) for d, t in docs], D)).collect()}
+    assert got == {d: (first.get(t, d), sum(d in p for p in pairs)) for d, t in docs}
 
 
 def test_segments_of_long_texts(spark, monkeypatch):
@@ -90,5 +117,5 @@ def test_repeated_rows_and_a_passage_in_many(spark, monkeypatch):
 
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], D)
-    assert S.shared_pairs(none).count() == 0 and S.shared_coverage(none).count() == 0
+    assert S.shared_links(none).count() == 0 and S.shared_pairs(none).count() == 0 and S.shared_coverage(none).count() == 0
     assert check(spark, [(1, "x" * 500), (2, "short")]) == set()

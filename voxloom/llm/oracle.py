@@ -41,6 +41,10 @@ n AS (SELECT doc_id, CAST(sum(least(200, coalesce(i - before, 200))) AS INTEGER)
 SELECT d.doc_id, CAST(coalesce(length(d.text), 0) AS INTEGER) AS n_chars, coalesce(n.shared, 0) AS shared_chars FROM documents d LEFT JOIN n USING (doc_id)
 """
 
+_LINKS = f"""
+WITH p AS ({_PAIRS}), n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_a AS doc_id FROM p UNION ALL SELECT doc_b FROM p) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN length(text) >= 200 THEN min(d.doc_id) OVER (PARTITION BY text) ELSE d.doc_id END AS class_id, coalesce(n, 0) AS n_links FROM documents d LEFT JOIN n USING (doc_id)
+"""
 
 
 def _class(pattern: str) -> str:
@@ -68,4 +72,4 @@ SELECT ord FROM e WHERE text <> nfc_normalize(text) OR regexp_matches(t, '[{_WRO
     OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}{_NEAR}]+'))))) > 0
 """
 
-ORACLE: dict[str, str] = {"p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE}
+ORACLE: dict[str, str] = {"p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}

@@ -14,7 +14,7 @@ from voxloom.llm.overlap import overlap_counts, overlaps
 from voxloom.llm.lookalike import rows_not_canonical, with_canonical
 from voxloom.llm.packing import batch_fill, pack_batches
 from voxloom.llm.quantiles import combine, partial_counts, percentiles
-from voxloom.llm.spans import shared_coverage, shared_pairs
+from voxloom.llm.spans import shared_coverage, shared_links, shared_pairs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,10 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_coverage(_table(spark, sf_dir, "documents"))
 
 
+def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_links(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_tokens": p1_tokens,
     "p1_budget": p1_budget,
@@ -118,4 +122,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_order": p7_order,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
+    "p8_links": p8_links,
 }

@@ -1,23 +1,28 @@
 """Problem 8: spans of at least 200 characters that stand verbatim in more than one document.
 
 Windows of 100 characters are chosen from every run of 101 of them (the one of least hash), so any 200 characters in a
-row hold at least one chosen window, and two documents that share the 200 characters choose the same one. First pass:
-each partition counts its chosen windows, once per document, in a two-row count-min sketch; the partition sketches are
-merged block by block, and what is left is one bit per cell: counted at least twice. The sketch overestimates, so no
-repeated window is lost. Second pass: only windows whose cells both have the bit are emitted, with the 100 characters on
-either side, grouped exactly, and grown to the left and right to see whether 200 characters agree. Windows in more
-documents than ``SMALL_GROUP`` (programme headings, stock passages) are not compared in pairs; each of the up to 101
-windows of 200 characters around them becomes a key of its own, so only documents that share one meet.
+row hold at least one chosen window, and two documents that share the 200 characters choose the same one.
 
-The sketch's width follows the number of windows up to a fixed bound (``MAX_CELL_BITS``: two rows of 16 MB of bits).
-Beyond it the sketch lets more single windows through; then the second pass first counts (window, document) pairs
-exactly, 16 bytes each, and only windows that two documents have are emitted with their surroundings.
+First pass: each partition writes its chosen windows, once per document, as (hash, document). Windows that two documents
+of the partition have are repeated for certain and marked so; only the others ask the rest of the corpus. The sketch is
+a two-row count-min sketch whose width follows the number of windows without any bound: it is cut into blocks of
+``2 ** BLOCK_BITS`` cells a row by the first bits of the hash, and both cells of a window lie in one block. Partitions
+send their sketches block by block; a block's sketches are merged where the asking windows of that block meet it, and only
+windows whose cells are both counted twice pass. The sketch overestimates, so no repeated window is lost. No part of it is
+ever in one place, and no asking window has more rows than there are partitions, however many documents hold it.
 
-Copies of a text are one class during all this (by a 128-bit digest), and are expanded at the end.
+Second pass: the windows that passed are counted exactly, and only those of two documents are read from the texts again,
+with the 100 characters on either side, grouped exactly, and grown to the left and right to see whether 200 characters
+agree. Windows in more documents than ``SMALL_GROUP`` (programme headings, stock passages) are not compared in pairs;
+each of the up to 101 windows of 200 characters around them becomes a key of its own, so only documents that share one
+meet. The plan is the same at every size.
+
+Copies of a text are one class during all this (by a 128-bit digest). ``links`` has one row per document with its class
+and the number of documents it shares a span with; ``pairs`` expands the classes.
 
 Defined results: null, empty and short texts (under 200 characters) take part in nothing and have 0 shared characters;
-a span repeated only inside one document makes no pair; rows are documents, a doc_id given twice counts once; other
-columns are not read.
+a span repeated only inside one document makes no pair; rows are documents, a doc_id given twice counts once; a document
+without doc_id shares nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.scale import fits, written
@@ -38,12 +43,12 @@ SIDE = SPAN - WINDOW
 #: Code points hashed at once; longer texts are cut into overlapping segments.
 SEGMENT = 1 << 19
 SMALL_GROUP = 64
+#: Cells of a block of the sketch, per row, and of these for each window; blocks are as many as the windows need.
+BLOCK_BITS = 18
 CELLS_PER_WINDOW = 8
-MIN_CELL_BITS, MAX_CELL_BITS = 18, 27
-BLOCK_BITS = 16
-MERGE_AT_ONCE = 256
+#: Windows of a partition that are looked through at once for those that two of its documents have.
+CHUNK = 1 << 22
 _BASE = 0x9E3779B97F4A7C15
-_ROW_FACTORS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -119,132 +124,141 @@ def _choose(units: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray,
     return np.array([i for i, _, _ in units])[unit], at - begin[unit] + np.array([a for _, a, _ in units])[unit], hashes[at]
 
 
-def _cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(hashes * np.uint64(f)) >> np.uint64(64 - bits) for f in _ROW_FACTORS]
+def window_keys(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(fp, doc, known) of the chosen windows of ``texts`` (doc, text), once per document; ``known`` where another document
+    of the same partition has the window too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            h, doc = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            same = h[1:] == h[:-1]
+            fresh = np.concatenate([[True], ~same | (doc[1:] != doc[:-1])])
+            h, doc = h[fresh], doc[fresh]
+            same = h[1:] == h[:-1]
+            known = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(known)], names=["fp", "doc", "known"])
 
-def _blocks(cell: np.ndarray, twice: np.ndarray, row: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted cells as blocks: (row and block number, offsets in the block, whether counted twice)."""
-    block = cell >> np.uint64(BLOCK_BITS)
-    edges = np.flatnonzero(np.diff(block)) + 1
-    for part, bit in zip(np.split(cell, edges), np.split(twice, edges)):
-        if len(part):
-            yield row << 32 | int(part[0] >> np.uint64(BLOCK_BITS)), (part & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint16).tobytes(), np.packbits(bit).tobytes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                docs = batch.column(0).slice(start, 1024).to_numpy()
+                for doc, _, h in chosen_windows(batch.column(1).slice(start, 1024).to_pylist()):
+                    held.append((h, docs[doc]))
+                    size += len(h)
+                    if size >= chunk:
+                        yield out()
+                        held, size = [], 0
+        if size:
+            yield out()
 
+    return texts.select("doc", "text").mapInArrow(run, "fp bigint, doc bigint, known boolean")
 
-_SKETCH = "block bigint, at binary, twice binary"
 
+def block_bits(windows: int, width: int = BLOCK_BITS) -> int:
+    """Bits of the number of blocks that so many windows need, ``2 ** width`` cells each."""
+    return max(0, -(-windows * CELLS_PER_WINDOW >> width) - 1).bit_length()
 
-def _sketch(texts: DataFrame, bits: int) -> DataFrame:
-    """Blocks of the partitions' sketches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per_doc: list[np.ndarray] = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                for doc, _, h in chosen_windows(batch.column(0).slice(start, 1024).to_pylist()):
-                    order = np.lexsort((h, doc))
-                    doc, h = doc[order], h[order]
-                    fresh = np.ones(len(h), bool)
-                    fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    per_doc.append(h[fresh])
-        if not per_doc:
-            return
-        for row, cells in enumerate(_cells(np.concatenate(per_doc), bits)):
-            cell, count = np.unique(cells, return_counts=True)
-            rows = list(_blocks(cell, count > 1, row))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["block", "at", "twice"])
-
-    return texts.select("text").mapInArrow(run, _SKETCH)
-
-
-def _merge(key, table: pa.Table) -> pa.Table:
-    count = np.zeros(1 << BLOCK_BITS, np.int64)
-    for at, twice in zip(table["at"].to_pylist(), table["twice"].to_pylist()):
-        at = np.frombuffer(at, np.uint16)
-        count[at] += 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at))
-    at = np.flatnonzero(count)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "at": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "twice": pa.array([np.packbits(count[at] > 1).tobytes()], pa.binary())})
-
-
-def repeated_cells(texts: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the cells counted at least twice, for both rows: at most two times 2^bits bits, whatever the data."""
-    merge = lambda key, table: _merge(key, table)
-    sketch = _sketch(texts, bits)
-    # with many partitions these are merged in parts first, so that no block gathers all of them at once
-    parts = -(-texts.rdd.getNumPartitions() // MERGE_AT_ONCE)
-    if parts > 1:
-        sketch = sketch.withColumn("part", F.spark_partition_id() % parts).groupBy("block", "part").applyInArrow(merge, _SKETCH)
-    out = np.zeros((2, (1 << bits) // 8), np.uint8)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for at, twice in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                at = np.frombuffer(at, np.uint16)
-                flags = np.zeros(1 << BLOCK_BITS, bool)
-                flags[at[np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at)).astype(bool)]] = True
-                packed.append(np.packbits(flags).tobytes() if flags.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["block", "bits"])
-
-    merged = sketch.groupBy("block").applyInArrow(merge, _SKETCH).mapInArrow(pack, "block bigint, bits binary").where("bits is not null")
-    size = (1 << BLOCK_BITS) // 8
-    for r in merged.toLocalIterator():
-        block = r["block"] & 0xFFFFFFFF
-        out[r["block"] >> 32, block * size : (block + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _let_through(bit: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(h), bool)
-    for row, cell in enumerate(_cells(h, bits)):
-        cell = cell.astype(np.int64)
-        keep &= (bit[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-    return keep
-
-
-def _counted_exactly(texts: DataFrame, bits: int, flags) -> DataFrame:
-    """``texts`` with ``fps``: the windows of each document that the sketch lets through and that another document has
-    too, by exact counts of (window, document). Only 16 bytes a window are shuffled, however narrow the sketch is."""
+def _block(fp: Column, bits: int) -> Column:
+    """The block of a window: the first bits of its hash."""
+    return F.shiftrightunsigned(fp, 64 - bits) if bits else F.lit(0).cast("bigint")
+
+
+def _cells(fp: np.ndarray, bits: int, width: int) -> list[np.ndarray]:
+    """The cells of windows in either row of their blocks: the two runs of bits behind those of the block."""
+    h = fp.view(np.uint64)
+    return [(h >> np.uint64(64 - bits - width * (row + 1))) & np.uint64((1 << width) - 1) for row in (0, 1)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                docs = batch.column(0).slice(start, 1024).to_numpy()
-                for doc, _, h in chosen_windows(batch.column(1).slice(start, 1024).to_pylist()):
-                    keep = _let_through(flags.value, bits, h)
-                    both = np.unique(np.stack([h[keep].view(np.int64), docs[doc[keep]]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["fp", "doc"])
 
-    keys = written(texts.select("doc", "text").mapInArrow(run, "fp bigint, doc bigint"), "keys")
-    repeated = keys.groupBy("fp").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("fp")
-    hits = written(keys.join(repeated, "fp").groupBy("doc").agg(F.collect_set("fp").alias("fps")), "hits")  # a document's own windows
-    return texts.join(hits, "doc")
+def _counted(cells: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different cells and whether each is counted twice or more."""
+    at, where = np.unique(cells, return_inverse=True)
+    return at, np.bincount(where, count) > 1
 
 
-def _repeated_windows(texts: DataFrame, bits: int, flags, exact: bool) -> DataFrame:
-    """(fp, doc, around, off, starts): windows that are let through, with up to ``SIDE`` characters on either side;
+def partition_sketches(keys: DataFrame, bits: int, width: int = BLOCK_BITS) -> DataFrame:
+    """(block, row, at, twice): the sketch of each partition of ``keys``, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if not parts or not sum(len(p[0]) for p in parts):
+            return
+        fp, known = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        block = (fp.view(np.uint64) >> np.uint64(64 - bits)) if bits else np.zeros(len(fp), np.uint64)
+        for row, cells in enumerate(_cells(fp, bits, width)):
+            at, twice = _counted(block << np.uint64(width) | cells, 1 + known)
+            own = at >> np.uint64(width)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(at)]])
+            inside = (at & np.uint64((1 << width) - 1)).astype(np.uint32)
+            spans = list(zip(edges[:-1].tolist(), edges[1:].tolist()))
+            for first in range(0, len(spans), 4096):
+                some = spans[first : first + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(own[a]) for a, _ in some], pa.int64()), pa.array([row] * len(some), pa.int32()),
+                        pa.array([inside[a:b].tobytes() for a, b in some], pa.binary()), pa.array([np.packbits(twice[a:b]).tobytes() for a, b in some], pa.binary()),
+                    ],
+                    names=["block", "row", "at", "twice"],
+                )
+
+    return keys.select("fp", "known").mapInArrow(run, "block bigint, row int, at binary, twice binary")
+
+
+def merged(sketches: pa.Table, width: int) -> np.ndarray:
+    """Whether each cell of a block, [row, cell], is counted twice or more by the sketches of all partitions together."""
+    count = np.zeros((2, 1 << width), np.int64)
+    for row, at, twice in zip(sketches["row"].to_pylist(), sketches["at"].to_pylist(), sketches["twice"].to_pylist()):
+        cells = np.frombuffer(at, np.uint32)
+        count[row, cells] += 1 + np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells))
+    return count > 1
+
+
+def estimated_repeated(keys: DataFrame, bits: int, width: int = BLOCK_BITS) -> DataFrame:
+    """(fp, doc) of the asking windows of ``keys`` that the merged sketch estimates repeated; loses none that is."""
+
+    def keep(asking: pa.Table, sketches: pa.Table) -> pa.Table:
+        if not asking.num_rows:
+            return asking.select(["fp", "doc"])
+        repeated = merged(sketches, width)
+        one, two = _cells(asking["fp"].to_numpy(), bits, width)
+        return asking.select(["fp", "doc"]).filter(pa.array(repeated[0][one] & repeated[1][two]))
+
+    asking = keys.where("not known").select(_block(F.col("fp"), bits).alias("block"), "fp", "doc")
+    return asking.groupBy("block").cogroup(partition_sketches(keys, bits, width).groupBy("block")).applyInArrow(lambda a, b: keep(a, b), "fp bigint, doc bigint")
+
+
+def _surrounded(texts: DataFrame) -> DataFrame:
+    """(fp, doc, around, off, starts): the windows ``fps`` of each text, with up to ``SIDE`` characters on either side;
     those of one document with the same surroundings are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
-                docs, texts_, *known = (batch.column(c).slice(start, 1024).to_pylist() for c in range(batch.num_columns))
-                known = [set(k) for k in known[0]] if known else None
+                docs, texts_ = (batch.column(c).slice(start, 1024).to_pylist() for c in (0, 1))
+                lists = batch.column(2).slice(start, 1024)
+                wanted, first = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 for doc, at, h in chosen_windows(texts_):
-                    keep = _let_through(flags.value, bits, h)
+                    if not len(doc):
+                        continue
+                    # a window is looked up among those of its own text
+                    low, high = int(doc.min()), int(doc.max())
+                    own = wanted[first[low] : first[high + 1]]
+                    owner = np.repeat(np.arange(low, high + 1), np.diff(first[low : high + 2]))
+                    mixed = lambda d, f: f ^ (d.astype(np.int64) * np.int64(0x1E3779B97F4A7C15))
+                    keep = np.isin(mixed(doc, h.view(np.int64)), mixed(owner, own))
                     found: dict[tuple, list[int]] = {}
                     for d, a, f in zip(doc[keep].tolist(), at[keep].tolist(), h[keep].view(np.int64).tolist()):
-                        if known is None or f in known[d]:
-                            low = max(0, a - SIDE)
-                            found.setdefault((f, docs[d], texts_[d][low : a + WINDOW + SIDE], a - low), []).append(a)
+                        left = max(0, a - SIDE)
+                        found.setdefault((f, docs[d], texts_[d][left : a + WINDOW + SIDE], a - left), []).append(a)
                     if found:
                         cols = [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array([k[2] for k in found], pa.string()), pa.array([k[3] for k in found], pa.int32()), pa.array(list(found.values()), pa.list_(pa.int32()))]
                         yield pa.RecordBatch.from_arrays(cols, names=["fp", "doc", "around", "off", "starts"])
 
-    if exact:
-        texts = _counted_exactly(texts, bits, flags)
-    return texts.select("doc", "text", *["fps"] * exact).mapInArrow(run, "fp bigint, doc bigint, around string, off int, starts array<int>")
+    return texts.select("doc", "text", "fps").mapInArrow(run, "fp bigint, doc bigint, around string, off int, starts array<int>")
 
 
 def _agree(a: str, b: str) -> int:
@@ -302,14 +316,12 @@ def _matches(windows: DataFrame) -> DataFrame:
 
 
 class SharedSpans:
-    """The shared spans of ``documents``; ``pairs`` and ``coverage`` read what is found once. ``exact`` says whether
-    windows are counted exactly before their surroundings are emitted; by default where the sketch is too narrow."""
+    """The shared spans of ``documents``; ``pairs``, ``links`` and ``coverage`` read what is found once."""
 
-    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", exact: bool | None = None):
-        spark = documents.sparkSession
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = BLOCK_BITS):
         docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
         self.lengths = docs.select("doc", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).distinct()
-        long = docs.where(F.char_length("text") >= SPAN)
+        long = docs.where((F.char_length("text") >= SPAN) & F.col("doc").isNotNull())
         digests = long.select("doc", F.md5("text").alias("digest")).distinct()
         classes = digests.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
         # (rep, doc) of all members of classes with several
@@ -317,11 +329,13 @@ class SharedSpans:
         copies = self.members.where("doc <> rep").select("doc")
         single = long.join(F.broadcast(copies) if fits(copies) else copies, "doc", "left_anti")
 
-        chars = single.agg(F.sum(F.char_length("text"))).first()[0] or 0
-        chosen = max(1, 2 * chars // RUN)
-        bits = min(MAX_CELL_BITS, max(MIN_CELL_BITS, (chosen * CELLS_PER_WINDOW - 1).bit_length()))
-        flags = spark.sparkContext.broadcast(repeated_cells(single, bits))
-        windows = written(_repeated_windows(single, bits, flags, chosen * 2 > 1 << bits if exact is None else exact), "windows")
+        keys = written(window_keys(single), "keys")
+        passed = written(estimated_repeated(keys, block_bits(keys.count(), width), width), "passed")
+        known = keys.where("known").select("fp", "doc")
+        repeated = known.unionByName(passed).groupBy("fp").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("fp")
+        hits = known.unionByName(passed.join(repeated, "fp", "left_semi"))
+        hits = hits.groupBy("doc").agg(F.collect_set("fp").alias("fps"))  # a document's own windows
+        windows = written(_surrounded(single.join(hits.hint("shuffle_hash"), "doc")), "windows")
         groups = windows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
         groups = written(groups.select("fp", "n"), "groups")
         of_groups = lambda cond: windows.join(groups.where(cond).select("fp"), "fp")
@@ -333,15 +347,31 @@ class SharedSpans:
         shared = spans.groupBy("span").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("span")
         self.spans = written(spans.join(shared, "span"), "spans")
 
-    def pairs(self) -> DataFrame:
-        """(doc_a, doc_b) of all pairs of documents that share a span."""
+    def class_pairs(self) -> DataFrame:
+        """(doc, other), doc < other: the classes that share a span, each pair once, by their representatives."""
         near = self.matches.where("doc < other").select("doc", "other").distinct()
         meet = written(self.spans.select("span", "doc").distinct(), "meet")
         # the windows along one long shared passage stand in the same documents: one of each such set is enough
         sets = meet.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("y"))
         meet = meet.join(sets.groupBy("n", "x", "y").agg(F.min("span").alias("span")).select("span"), "span")
         far = meet.join(meet.withColumnRenamed("doc", "other"), "span").where("doc < other").select("doc", "other").distinct()
-        found = near.union(far).distinct()
+        return near.union(far).distinct()
+
+    def links(self) -> DataFrame:
+        """(doc_id, class_id, n_links): each document's class, which is the least document with the same text, and the
+        number of other documents it shares a span with, counted from the sizes of classes without expanding them."""
+        sizes = self.members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+        pairs = self.class_pairs()
+        both = pairs.union(pairs.select("other", "doc"))
+        size_of = sizes.select(F.col("rep").alias("other"), "size")
+        linked = both.join(size_of, "other", "left").groupBy("doc").agg(F.sum(F.coalesce("size", F.lit(1))).alias("n")).withColumnRenamed("doc", "class_id")
+        own = self.lengths.join(self.members, "doc", "left").select(F.col("doc").alias("doc_id"), F.coalesce("rep", "doc").alias("class_id"))
+        counted = own.join(linked, "class_id", "left").join(sizes.withColumnRenamed("rep", "class_id"), "class_id", "left")
+        return counted.select("doc_id", "class_id", (F.coalesce("n", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("bigint").alias("n_links"))
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b) of all pairs of documents that share a span."""
+        found = self.class_pairs()
         # representatives stand for all their copies
         all_of = lambda s: self.members.select(F.col("rep").alias(s), F.col("doc").alias(f"{s}_member"))
         spread = found.join(all_of("doc"), "doc", "left").join(all_of("other"), "other", "left")
@@ -372,3 +402,7 @@ def shared_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 def shared_coverage(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return SharedSpans(documents, key, text).coverage()
+
+
+def shared_links(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return SharedSpans(documents, key, text).links()

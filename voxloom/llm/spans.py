@@ -121,7 +121,16 @@ def _choose(units: list[tuple[int, int, str]]) -> tuple[np.ndarray, np.ndarray,
     padded = np.concatenate([np.zeros(RUN - 1, np.uint64), least, np.zeros(RUN - 1, np.uint64)])
     at = np.flatnonzero((_sliding(padded, RUN, np.maximum) == hashes) & (hashes > 0))
     unit = np.searchsorted(begin, at, "right") - 1
-    return np.array([i for i, _, _ in units])[unit], at - begin[unit] + np.array([a for _, a, _ in units])[unit], hashes[at]
+    return np.array([i for i, _, _ in units])[unit], at - begin[unit] + np.array([a for _, a, _ in units])[unit], _mixed(hashes[at])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The hashes one to one over all of their range; those of chosen windows are small, being the least of a run."""
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0x9FB21C651E98DF25)
+    h ^= h >> np.uint64(28)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def window_keys(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,9 +22,13 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is named."""
+    """The folder all executors share, as the session names it. Only where all of Spark is one process on this machine a
+    temporary one does, if none is named; elsewhere that is an error, as each machine would have its own."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="voxloom-"))
     return _own_folder[0]
@@ -37,12 +43,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_tables: list[tuple[SparkSession, str]] = []
+_scopes: list[list[tuple[SparkSession, str]]] = [_tables]
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are ``written`` inside are removed at the end of the block, so a long session doesn't pile them up:
+    results have to be stored before. Outside of any block they stay until the interpreter ends."""
+    own: list[tuple[SparkSession, str]] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for spark, path in own:
+            _remove(spark, path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _tables:
+        _remove(spark, path)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, survives the loss of executors, its size known to the planner."""
+    """``df`` as a table in the shared folder: computed once, survives the loss of executors, its size known to the planner.
+    The job runs here, while a query is put together."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +90,43 @@ def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how:
     return big.join(F.broadcast(table) if fits(table, rows, size) else table.hint("merge"), on, how)
 
 
+#: Keys of a lookup table that always travel to the rows: the most frequent ones, of at most so many bytes each.
+HEAD_KEYS, HEAD_KEY_BYTES = 1 << 16, 64
+
+
+def _least_count(table: DataFrame, count: str, keys: int) -> int:
+    """The least count from which on at most ``keys`` rows of ``table`` have it, in classes of counts (exact up to 64, then
+    sixteen to each power of two)."""
+    n = F.col(count)
+    classes = table.groupBy(F.when(n <= 64, n).otherwise(64 + F.floor((F.log2(n) - 6) * 16)).alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.min(n).alias("least"))
+    total, least = 0, 1 << 62
+    for r in sorted(classes.collect(), key=lambda r: -r["c"]):  # at most 64 + 16 * 57 classes
+        total += r["rows"]
+        if total > keys:
+            break
+        least = r["least"]
+    return least
+
+
+def head_and_tail(table: DataFrame, key: str, count: str = "n", keys: int = HEAD_KEYS) -> tuple[DataFrame, DataFrame]:
+    """A written lookup table in two: the most frequent keys, at most ``keys`` of ``HEAD_KEY_BYTES``, which may be sent to
+    every task whatever the size of the data, and the rest, none of which is the key of more than one row in ``keys``
+    (but for longer keys, whose rows have to be long)."""
+    head = (F.col(count) >= _least_count(table, count, keys)) & (F.octet_length(F.col(key)) <= HEAD_KEY_BYTES)
+    return table.where(head), table.where(~head)
+
+
+def split_join(big: DataFrame, table: DataFrame, key: str, count: str = "n", keys: int = HEAD_KEYS) -> DataFrame:
+    """Left join of ``big`` with a written lookup table of unique keys. The frequent keys are joined where the rows are and
+    only rows of rare keys are shuffled, so there is no hot key, and the plan is the same at every size. ``big`` is read
+    twice, so it is a written table, or cheap."""
+    head, tail = (t.withColumn("_hit", F.lit(True)).drop(count) for t in head_and_tail(table, key, count, keys))
+    first = big.join(F.broadcast(head), key, "left")
+    new = [c for c in tail.columns if c not in (key, "_hit")]
+    rest = first.where("_hit is null").drop("_hit", *new).join(tail.hint("merge"), key, "left")
+    return first.where("_hit").unionByName(rest).drop("_hit")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where a small file would give a CPU-heavy step a single task; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,0 +1,7 @@
+import pytest
+
+
+@pytest.fixture(autouse=True, scope="session")
+def session(spark):
+    """The table of look-alike letters is read through a session."""
+    return spark

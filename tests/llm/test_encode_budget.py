@@ -65,13 +65,31 @@ def test_tokens_equal_the_tokenizer(spark, sf_dir):
     assert all(r["n_tokens"] == len(enc.encode_ordinary(r["copy"] or "")) for r in got)
 
 
-def test_the_shuffled_join_gives_the_same(spark, monkeypatch):
-    from voxloom import scale
-
+def test_rare_pieces_give_the_same(spark):
     rows = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts(50, 3))], "ord bigint, text string")
-    want = sorted(map(tuple, B.with_tokens(rows).collect()))
-    monkeypatch.setattr(scale, "fits", lambda *a, **k: False)
-    assert sorted(map(tuple, B.with_tokens(rows).collect())) == want and len(want) == 50
+    enc = encoding()
+    want = sorted((r["ord"], len(enc.encode_ordinary(r["text"]))) for r in rows.collect())
+    for head in (0, 5, 1 << 16):
+        assert sorted(map(tuple, B.with_tokens(rows, head_pieces=head).collect())) == want and len(want) == 50
+
+
+def test_rare_pieces_are_shuffled_once(spark):
+    """Frequent pieces meet the rows in a broadcast; both branches read one shuffle."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts(50, 3))], "ord bigint, text string")
+    df = B.with_tokens(rows, head_pieces=5)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan and "ReusedExchange" in plan
+
+
+def test_cells_equal_the_rows(spark):
+    rows = [("s" if i % 3 else None, "en", f"d{i % 2}", t) for i, t in enumerate([*texts(40, 5), None, ""])]
+    df = spark.createDataFrame(rows, "source string, language string, dataset string, text string")
+    spec = spark.createDataFrame([("d0", "s", "s1", "news")], "name string, config_name string, split string, domain_tag string")
+    joined = B.with_domain(df, spec)
+    want = sorted(map(repr, B.token_budget(B.with_tokens(joined)).collect()))
+    assert sorted(map(repr, B.totals(B.cell_budget(joined, B.DIMENSIONS)).collect())) == want
+    assert B.totals(B.cell_budget(joined.limit(0), B.DIMENSIONS)).count() == 0
 
 
 def test_budget(spark):

@@ -1,6 +1,10 @@
+import re
+
 import pytest
 
-from voxloom.llm.lookalike import canonical_values, plain_form, rows_not_canonical, with_canonical
+from voxloom.llm.lookalike import SUSPECT, canonical_values, letter_tables, plain_form, rows_not_canonical, with_canonical
+
+SUSPECT_PYTHON = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), SUSPECT))
 
 PLAIN = [
     "zażółć gęślą jaźń", "café naïve ça", "журнал", "ПРИВЕТ", "φωνή", "λόγος", "שלום", "東京", "ありがとう", "x² 10³ ½ ¾", "„cudzysłów” ’ “x”", "a – b — c…",
@@ -23,6 +27,30 @@ def test_mapped(text):
     assert plain_form(text) == MAPPED[text] and plain_form(MAPPED[text]) == MAPPED[text]
 
 
+STRANGERS = {"пpивeт": "привет", "Жyк": "Жук", "журнaл": "журнал", "λόγoς": "λόγος", "пpивeт wіll": "привет will", "жw": "жw", "жλ": "жλ", "Googleж": "Googleж"}
+
+
+@pytest.mark.parametrize("text", STRANGERS)
+def test_strangers_in_a_word_of_another_script(text):
+    assert plain_form(text) == STRANGERS[text] and plain_form(STRANGERS[text]) == STRANGERS[text]
+
+
+def test_the_tables_come_from_the_library():
+    letters = letter_tables()
+    assert len(letters.whole) > 100 and not set(letters.whole) & set(letters.near)
+    assert {c: letters.whole[c] for c in "аеорсхіјοΟΑԛ"} == dict(zip("аеорсхіјοΟΑԛ", "aeopcxijoOAq"))
+    assert all(c.isascii() and c.isalpha() for t in (letters.whole, letters.near) for c in t.values())
+    assert not any(c in letters.whole or c in letters.near for c in "łøđıßæœþąжи")
+    assert all(re.search("[\u0080-\U0001ffff]", c) and SUSPECT_PYTHON.search(c) for c in letters.whole | letters.near)
+
+
+def test_canonical_is_a_member_that_occurs(spark):
+    values = spark.createDataFrame([("wіll", 3), ("ѕо", 1)], "value string, n bigint")
+    plain = spark.createDataFrame([("will",), ("other",)], "value string")
+    got = {r["value"]: (r["n"], r["canonical"]) for r in canonical_values(values, plain).collect()}
+    assert got == {"wіll": (3, "will"), "ѕо": (1, "so")}
+
+
 def table(spark, texts):
     return spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "ord bigint, text string, canonical string")
 

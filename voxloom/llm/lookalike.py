@@ -1,14 +1,18 @@
 """Problem 5: text in one consistent form, in which what looks the same is the same.
 
-Values are the stretches between ordinary spaces. Only values that hold a character outside a plain set are looked at
-(a few per cent of rows), each distinct one once: its characters are mapped to their plain look-alikes, the mapped
-values are grouped under Spark's accent-sensitive Unicode collation in SQL, each class's canonical member is its
-shortest and then smallest one, and the choice is joined back to the values and to the rows.
+Values are the stretches between ordinary spaces. Each distinct value that holds a character outside a plain set has its
+characters mapped to their plain look-alikes; the mapped values and the plain values that occur are grouped under Spark's
+accent-sensitive Unicode collation in SQL. The canonical member of a class is one that occurs and is plain, the shortest
+and then smallest of these; only where no plain member occurs it is the mapped form. The choice is joined back to the
+values and to the rows: the most frequent values are sent to the rows, at every size of the data, the others shuffled.
 
 What is mapped (see ``plain_form``): full-width forms, joined letters, numeral and letter signs, decomposed letters,
-invisible characters outside emoji, other spaces, other hyphens, and letters of other scripts or phonetic signs in
-words that can be read as Latin ones throughout. Words truly written in another script, emoji with their joiners,
-quotes, dashes, ellipsis, superscripts, fractions and signs stay.
+invisible characters outside emoji, other spaces, other hyphens, and letters of other scripts or phonetic signs in words
+that can be read as Latin ones throughout. A word with a letter that no other script has is of that letter's script, and
+look-alikes of other scripts in it are mapped to that one. Words truly written in another script, emoji with their
+joiners, quotes, dashes, ellipsis, superscripts, fractions and signs stay. Which letters look alike is read from the
+table of confusable characters of the Unicode library that Spark ships (``letter_tables``); only what that table has
+otherwise, and letters that pass for a Latin one only beside Latin letters, are listed here.
 
 Defined results: null stays null, empty and blank texts are canonical, repeated rows each keep their result, and other
 columns are carried through whatever their names are (temporary columns are packed away from them).
@@ -19,27 +23,20 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.scale import lookup_join, written
-
-# Letters of other scripts beside the Latin letter each looks like. Whole words of these read as Latin.
-SAME = dict(
-    zip(
-        "аеорсухѕіјһԁԛԝӏѵАВЕКМНОРСТХЅІЈҮԚԜӀ"
-        "ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ"
-        "օսոհցզՕՍᎪᎬᎢᎫᏃᎷᎻᏂᎮᏞᏏᏢᏦᏴᎳᏙᏚ",
-        "aeopcyxsijhdqwlvABEKMHOPCTXSIJYQWI"
-        "ovcjABEZHIKMNOPTYXCJ"
-        "ounhgqOUAETJZMHhKLbPKBWVS",
-    )
-) | dict(zip("ɑɡᴏᴄᴠᴡᴢꜱᴜᴋ", "agocvwzsuk"))
-# Letters that pass for the Latin one only beside Latin letters.
-NEAR = dict(zip("αικρτυχωγУктмнвүгɩʋɪɴʀʟʙʜ", "aikptuxwyYktmhbyriviNRLBH"))
-SAME["Ꭲ"], SAME["Ꮒ"], SAME["Ꭾ"], SAME["Ꮟ"], SAME["Ꮶ"] = "i", "h", "E", "b", "K"
+from voxloom.scale import split_join, written
+
+# What the table of confusables has otherwise, or only by the look of upper-case letters.
+CORRECTED = dict(zip("κτχωӏʋԚ", "ktxwlvQ"))
+# Letters that pass for the Latin one only beside Latin letters, since ordinary words of their own script
+# consist of them and their like.
+BESIDE_LATIN = "αγικρστυχωϱϜϺУгктмнвүьЬѡҽագռքՏყჿ"
 
 _HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d"
 _SPACES = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
@@ -79,7 +76,6 @@ def _patterns() -> dict[str, re.Pattern]:
         "compat": re.compile(f"[{_COMPAT}]"),
         "font": re.compile(f"[{_FONT}]"),
         "word": re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*"),
-        "foreign": re.compile("[" + "".join({**SAME, **NEAR}) + "\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f]"),
     }
 
 
@@ -89,27 +85,97 @@ def _letter(found: re.Match) -> str:
     return plain if plain.isascii() and plain.isalnum() and unicodedata.decomposition(found[0]).startswith(("<font>", "004", "005", "006", "007")) else found[0]
 
 
-def _read_as_latin(found: re.Match) -> str:
-    """The word in Latin letters if all of its letters are Latin or look like Latin ones, else as it is."""
-    word = found[0]
-    if not _patterns()["foreign"].search(word):
+class Letters(NamedTuple):
+    """Letters beside the Latin one each looks like: ``whole`` in any word, ``near`` only beside Latin letters; and for
+    each script the letter that a Latin one looks like."""
+
+    whole: dict[str, str]
+    near: dict[str, str]
+    back: dict[str, dict[str, str]]
+
+
+def script_of(c: str) -> str:
+    """The script of a letter, by the first word of its name."""
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+def _small_capital(c: str) -> str | None:
+    found = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(c, ""))
+    return found[1].lower() if found else None
+
+
+def _phonetic(c: str) -> bool:
+    return "\u0250" <= c <= "\u02af" or "\u1d00" <= c <= "\u1dbf" or _small_capital(c) is not None
+
+
+#: Letters that a stranger in a word may stand for: those of the scripts' ordinary alphabets.
+_ORDINARY = "[\u0370-\u03ff\u0400-\u045f\u0531-\u0586]"
+#: Scripts with case, of which whole words may read as Latin; letters of others pass only beside Latin letters.
+_CASED = ("GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "COPTIC", "DESERET", "OSAGE", "ELBASAN")
+
+
+def letter_tables() -> Letters:
+    """The look-alike letters by the skeletons of the Unicode library beside Spark, read once through the driver."""
+    return _letter_tables(id(SparkContext._active_spark_context))
+
+
+@lru_cache(maxsize=1)
+def _letter_tables(_context: int) -> Letters:
+    latin = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
+    letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lo")]
+    letters = [c for c in letters if not unicodedata.decomposition(c) and script_of(c) not in ("CJK", "HANGUL", "HIRAGANA", "KATAKANA") and (script_of(c) != "LATIN" or _phonetic(c))]
+    checker = SparkContext._active_spark_context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join([*latin, *letters])).split("\n")  # one call for all
+    looks: dict[str, list[str]] = {}
+    for c, skeleton in zip(latin, skeletons):
+        looks.setdefault(skeleton, []).append(c)
+    whole, near = {}, {}
+    for c, skeleton in zip(letters, skeletons[len(latin) :]):
+        # where an upper-case and a lower-case letter look the same, case decides
+        plain = CORRECTED.get(c) or _small_capital(c) or _small_capital(skeleton) if len(skeleton) == 1 or c in CORRECTED else None
+        if plain is None and (alike := looks.get(skeleton)):
+            plain = next((a for a in alike if a.isupper() == c.isupper()), alike[-1])
+        if plain is not None:
+            only_near = c in BESIDE_LATIN or (script_of(c) not in _CASED and not (script_of(c) == "LATIN" and (_small_capital(c) or ord(c) in (0x251, 0x261))))
+            (near if only_near else whole)[c] = plain
+    back: dict[str, dict[str, str]] = {}
+    for c, plain in sorted({**near, **whole}.items()):
+        if re.match(_ORDINARY, c):
+            back.setdefault(script_of(c), {}).setdefault(plain, c)
+    return Letters(whole, near, back)
+
+
+def _in_one_script(word: str, letters: Letters) -> str:
+    """The word in Latin letters if all of its letters are Latin or look like Latin ones; in the script of its other letters
+    if these are of one script and all the rest look like letters of that script; else as it is."""
+    if word.isascii():
         return word
     parts = unicodedata.normalize("NFD", word)
-    table = SAME
-    if any(c.isascii() and c.isalpha() for c in parts):
-        table = SAME | NEAR
+    beside = any(c.isascii() and c.isalpha() for c in parts)
+    own, out = set(), []
+    for c in parts:
+        if c in letters.whole or (beside and c in letters.near):
+            out.append(letters.whole.get(c) or letters.near[c])
+        elif c.isascii() or unicodedata.combining(c) or (script := script_of(c)) == "LATIN":
+            out.append(c)
+        else:
+            own.add(script)
+    if not own:
+        return unicodedata.normalize("NFC", "".join(out))
+    if len(own) > 1 or not (back := letters.back.get(script := own.pop())):
+        return word
     out = []
     for c in parts:
-        if c in table:
-            out.append(table[c])
-        elif c.isascii() or unicodedata.combining(c) or unicodedata.name(c, "").startswith("LATIN "):
+        if script_of(c) == script or unicodedata.combining(c):
             out.append(c)
+        elif (plain := letters.whole.get(c) or letters.near.get(c) or c) in back:
+            out.append(back[plain])
         else:
             return word
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def _plain_piece(text: str) -> str:
+def _plain_piece(text: str, letters: Letters) -> str:
     p = _patterns()
     text = p["hidden"].sub("", text)
     text = p["space"].sub(" ", text)
@@ -117,40 +183,65 @@ def _plain_piece(text: str) -> str:
     text = p["compat"].sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
     text = p["font"].sub(_letter, text)
     text = unicodedata.normalize("NFC", text)
-    return p["word"].sub(_read_as_latin, text)
+    return p["word"].sub(lambda m: _in_one_script(m[0], letters), text)
 
 
-def plain_form(text: str) -> str:
+def plain_form(text: str, letters: Letters | None = None) -> str:
     """``text`` with every character written as its plain look-alike; idempotent."""
     if text.isascii() and text.isprintable():
         return text
+    letters = letters or letter_tables()
     out, at = [], 0
     for emoji in _patterns()["emoji"].finditer(text):
-        out += _plain_piece(text[at : emoji.start()]), emoji[0]
+        out += _plain_piece(text[at : emoji.start()], letters), emoji[0]
         at = emoji.end()
-    out.append(_plain_piece(text[at:]))
+    out.append(_plain_piece(text[at:], letters))
     # marks and letters may only meet once what stood between them is gone
     return unicodedata.normalize("NFC", "".join(out))
 
 
-@F.pandas_udf(T.StringType())
-def plain_form_udf(texts):
-    return texts.map(plain_form, na_action="ignore")
+def plain_form_udf(text: Column) -> Column:
+    """``plain_form`` of a column; the table of letters, of a fixed size, travels with the function."""
+    letters = letter_tables()
+
+    @F.pandas_udf(T.StringType())
+    def run(texts):
+        return texts.map(lambda t: plain_form(t, letters), na_action="ignore")
+
+    return run(text)
 
 
 def suspect(text: Column) -> Column:
     return text.rlike(SUSPECT)
 
 
-def canonical_values(values: DataFrame, value: str = "value") -> DataFrame:
-    """``value`` and ``canonical`` of every distinct suspect value. Classes are groups of mapped values that are equal
-    under the Unicode collation (case- and accent-sensitive; canonical equivalents are equal). What that collation
-    ignores but the eye sees, the joiners inside emoji, stays a key of its own."""
-    mapped = written(values.select(value).distinct().select(value, plain_form_udf(F.col(value)).alias("_mapped")), "lookalike")
-    keyed = mapped.select(value, "_mapped", F.collate("_mapped", "UNICODE").alias("_class"), F.regexp_replace("_mapped", r"[^\u200d\ufe0e\ufe0f]", "").alias("_joiners"))
-    # the class has as many members as there are spellings, so the choice is an aggregate, joined back, and no list
-    classes = keyed.groupBy("_class", "_joiners").agg(F.min(F.struct(F.length("_mapped").alias("n"), F.col("_mapped").alias("text"))).alias("_best"))
-    return keyed.join(classes, ["_class", "_joiners"]).select(value, F.col("_best.text").alias("canonical"))
+def _keyed(values: DataFrame, form: str) -> DataFrame:
+    """``values`` with the key of its class: the form under the collation (case- and accent-sensitive; canonical equivalents
+    are equal). What that collation ignores but the eye sees, the joiners inside emoji, is a key of its own."""
+    return values.withColumns({"_class": F.collate(F.col(form), "UNICODE"), "_joiners": F.regexp_replace(F.col(form), r"[^\u200d\ufe0e\ufe0f]", "")})
+
+
+def canonical_values(values: DataFrame, plain: DataFrame | None = None, value: str = "value") -> DataFrame:
+    """``value``, ``n`` (its rows, if ``values`` counts them) and ``canonical`` of every distinct suspect value; ``plain``
+    (``value``) are the values that occur and need no look."""
+    counted = values if "n" in values.columns else values.withColumn("n", F.lit(1).cast("bigint"))
+    counted = counted.groupBy(value).agg(F.sum("n").alias("n"))
+    mapped = written(counted.select(value, "n", plain_form_udf(F.col(value)).alias("_mapped")), "lookalike")
+    keyed = _keyed(mapped, "_mapped")
+    # the members of a class that a row may be written as: those that occur and are plain, then the mapped forms
+    members = keyed.select("_class", "_joiners", (F.col("_mapped") != F.col(value)).alias("made"), F.col("_mapped").alias("text"))
+    if plain is not None:
+        occurring = _keyed(plain.select(F.col(value).alias("text")), "text").select("_class", "_joiners", F.lit(False).alias("made"), "text")
+        members = members.unionByName(occurring)
+    # the choice is an aggregate, joined back, and no list, so a class may have any number of members
+    best = F.min(F.struct("made", F.char_length("text").alias("n"), "text"))
+    classes = members.groupBy("_class", "_joiners").agg(best.alias("_best"))
+    return keyed.join(classes, ["_class", "_joiners"]).select(value, "n", F.col("_best.text").alias("canonical"))
+
+
+def _plain_values(df: DataFrame, text: str) -> DataFrame:
+    """(value): the distinct values of ``df`` that need no look."""
+    return df.select(F.explode(F.split(F.col(text), " ", -1)).alias("value")).where(~suspect(F.col("value"))).distinct()
 
 
 def _spread(df: DataFrame, text: str) -> DataFrame:
@@ -162,11 +253,11 @@ def _spread(df: DataFrame, text: str) -> DataFrame:
 def with_canonical(df: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
     """All rows and columns of ``df`` and the canonical form of ``text`` as ``out`` (which replaces a column of that name)."""
     cols = [c for c in df.columns if c != out]
-    values = written(_spread(df.select(text), text).where(suspect(F.col("value"))).select("value").distinct(), "values")
-    canonical = written(canonical_values(values), "canonical")
+    parts = written(_spread(df, text), "parts")
+    values = parts.where(suspect(F.col("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    canonical = written(canonical_values(values, _plain_values(df, text)), "canonical")
     plain = df.where(F.col(text).isNull() | ~suspect(F.col(text))).select(*[F.col(f"`{c}`") for c in cols], F.col(text).alias(out))
-    spread = lookup_join(_spread(df, text), canonical, "value", "left")
-    fixed = spread.groupBy("_rid").agg(
+    fixed = split_join(parts, canonical, "value").groupBy("_rid").agg(
         F.first("_row").alias("_row"),
         F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("canonical", "value").alias("v")))), lambda x: x["v"])).alias("_text"),
     )
@@ -178,5 +269,7 @@ def rows_not_canonical(df: DataFrame, key: str = "ord", text: str = "text") -> D
     parts = df.select(F.col(key), F.monotonically_increasing_id().alias("_rid"), F.col(text).alias("_text")).where(suspect(F.col("_text")))
     parts = parts.select(key, "_rid", F.explode(F.array_distinct(F.split("_text", " ", -1))).alias("value")).where(suspect(F.col("value")))
     tokens = written(parts, "tokens")
-    wrong = written(canonical_values(tokens).where(~F.col("canonical").eqNullSafe(F.col("value"))).select("value"), "wrong")
-    return lookup_join(tokens, wrong, "value", "left_semi").groupBy("_rid").agg(F.first(key).alias(key)).select(key)
+    values = tokens.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    canonical = canonical_values(values, _plain_values(df, text))
+    wrong = written(canonical.where(~F.col("canonical").eqNullSafe(F.col("value"))).select("value", "n", F.lit(True).alias("wrong")), "wrong")
+    return split_join(tokens, wrong, "value").where("wrong").groupBy("_rid").agg(F.first(key).alias(key)).select(key)

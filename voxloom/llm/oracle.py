@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 
-from voxloom.llm import lookalike as L
 from voxloom.llm.quantiles import RELATIVE_ERROR, ZERO_AT, gamma
 
 _LN = repr(math.log(gamma(RELATIVE_ERROR)))
@@ -60,16 +58,28 @@ def _class(pattern: str) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
-_SIGNS = "".join(chr(c) for c in [*range(0x2100, 0x2150), *range(0x1D400, 0x1D800)] if unicodedata.decomposition(chr(c)).startswith("<font>") and unicodedata.normalize("NFKC", chr(c)).isascii())
-_WRONG = _class(L._hidden_class()) + "\\x{e0001}-\\x{e01ef}" + _class(L._SPACES + L._HYPHENS + L._COMPAT + re.escape(_SIGNS))
-_SAME, _NEAR = _class("".join(L.SAME)), _class("".join(L.NEAR))
+# Fixed values of the problem's statement, written down apart from the operator's rules and tables.
+_INVISIBLE = "\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻"
+_SPACES = "\u0085   -     　"
+_HYPHENS = "‐‑⁃﹣－"
+_JOINED = "ĲĳǄ-ǌǱ-ǳⅠ-ⅿﬀ-ﬆ！-～￠-￦"
+_LETTER_SIGNS = "ℂℊℋℌℍℎℐℑℒℓℕℙℚℛℜℝℤℨKℬℭℯℰℱℳℴℹⅅⅆⅇⅈⅉ"
+_PICTURES = "©®‼⁉™ℹ←-⯿〰〽㊗㊙\U0001f000-\U0001faff"
+_WHOLE = "аеорсухѕіјһԁԛԝӏѵАВЕКМНОРСТХЅІЈҮԚԜӀονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿօսոհցՕՍᎪᎬᎢᎫᏃᎷᎻᏂᏞᏢᏦᏴᎳᏙᏚɑɡᴏᴄᴠᴡᴢꜱᴜᴋ"
+_BESIDE = "αικρτυχωγУктмнвүгɩʋɪɴʀʟʙʜ"
+# letters of the Cyrillic and of the Greek alphabet that no Latin letter looks like, and Latin letters that look like one of theirs
+_ONLY = {"Cyrillic": ("бджзийлпфцчшщъыэюяёђєїљњћБДЖЗИЙЛПФЦЧШЩЪЫЭЮЯЁЂЄЇЉЊЋ", "aeopcyxhijsktmbrABEKMHOPCTXYISJ"), "Greek": ("βδεζηθλμξπφψςΓΔΘΛΞΠΣΦΨΩ", "oviapukxtywABEZHIKMNOPTYX")}
+
+_WRONG = "\\x{e0001}-\\x{e01ef}\\x{1d400}-\\x{1d7ff}" + _class(_INVISIBLE + _SPACES + _HYPHENS + _JOINED + _LETTER_SIGNS)
+_SAME, _NEAR = _class(_WHOLE), _class(_BESIDE)
 _MARKS = "\\x{fe0e}\\x{fe0f}\\x{1f3fb}-\\x{1f3ff}"
-_EMOJI = f"[{_class(L._EMOJI)}][{_MARKS}]*(\\x{{200d}}[{_class(L._EMOJI)}][{_MARKS}]*)*|[0-9#*]\\x{{fe0f}}?\\x{{20e3}}"
+_EMOJI = f"[{_class(_PICTURES)}][{_MARKS}]*(\\x{{200d}}[{_class(_PICTURES)}][{_MARKS}]*)*|[0-9#*]\\x{{fe0f}}?\\x{{20e3}}"
+_STRANGE = " OR ".join(f"(regexp_matches(w, '[{only}]') AND regexp_matches(w, '[A-Za-z]') AND regexp_full_match(w, '[\\p{{{script}}}\\p{{M}}{alike}]+'))" for script, (only, alike) in _ONLY.items())
 _DISGUISED = f"""
 WITH e AS (SELECT ord, text, regexp_replace(text, '{_EMOJI}', ' ', 'g') AS t FROM train_final WHERE text IS NOT NULL)
 SELECT ord FROM e WHERE text <> nfc_normalize(text) OR regexp_matches(t, '[{_WRONG}]') OR len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+'), lambda w:
-  regexp_matches(strip_accents(w), '[{_SAME}{_NEAR}]') AND (regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}]+')
-    OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}{_NEAR}]+'))))) > 0
+  (regexp_matches(strip_accents(w), '[{_SAME}{_NEAR}]') AND (regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}]+')
+    OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}{_NEAR}]+')))) OR {_STRANGE})) > 0
 """
 
 ORACLE: dict[str, str] = {"p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}

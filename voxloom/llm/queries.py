@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.budget import token_budget, with_domain, with_tokens
+from voxloom.llm.budget import DIMENSIONS, cell_budget, totals, with_domain, with_tokens
 from voxloom.llm.encode import encode_corpus
 from voxloom.llm.mixing import Mix
 from voxloom.llm.overlap import overlap_counts, overlaps
@@ -27,7 +27,7 @@ def p1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = _table(spark, sf_dir, "train_final").select("source", "language", "dataset", "text")
-    return token_budget(with_tokens(with_domain(train, _table(spark, sf_dir, "source_spec"))))
+    return totals(cell_budget(with_domain(train, _table(spark, sf_dir, "source_spec")), DIMENSIONS))
 
 
 def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

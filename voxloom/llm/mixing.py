@@ -1,15 +1,17 @@
 """Problem 7: a mix of sources in which each has its target share of the wanted tokens.
 
-A source whose wanted tokens are w and whose documents hold t goes in whole floor(w / t) times (at most its cap), and
-once more with the first documents of a fixed random permutation that fill what is left, to within half a document.
-The running sums behind this are taken over permuted blocks of some 256 documents, over blocks of blocks, and over
-those, so no source is ever ordered in one task.
-
-For the output, each source's quota is counted in blocks. A splitting tree halves the output shards and draws, with the
-multivariate hypergeometric distribution, how many blocks of each source go to the left half: exact quotas that add up
-at every node. The top of the tree is split on the driver (at most ``DRIVER_LEAVES`` nodes), the subtrees on the
-executors. Each leaf owns a range of positions per source; a permutation of the positions makes the ranges disjoint
-random draws, and each shard is shuffled by itself.
+Documents of a source lie in permuted blocks of some 256. A source whose wanted tokens are w and whose documents hold t
+has a quota of blocks: all of them floor(w / t) times (at most its cap), and those at the beginning of the permutation
+that hold what is left. A splitting tree halves the output shards and draws, with the multivariate hypergeometric
+distribution, how many blocks of each source go to the left half: exact quotas that add up at every node. The top of the
+tree is split on the driver (at most ``DRIVER_LEAVES`` nodes), the subtrees on the executors. Each leaf owns a range of
+positions per source; a permutation of the positions makes the ranges disjoint random draws. The choice, the shares and
+the order are all read from the drawn blocks: a document comes as often as its block was drawn, but that of the block
+in which the quota ends only the documents up to the wanted tokens count, to within half a document. Each shard is
+shuffled by itself.
+
+The running sums behind the quotas are taken over blocks, over blocks of blocks, and over those, so no source is ever
+ordered in one task.
 
 Defined results: sources of a mix without documents, or whose documents hold no tokens, have 0 actual tokens; where
 the cap keeps a source below its target the report shows it; documents without source, of other sources or without a
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,16 +51,13 @@ def _wanted(targets: DataFrame, sources: DataFrame) -> DataFrame:
     return t.withColumn("rest", rest).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS).cast("bigint"))
 
 
-def _before(docs: DataFrame) -> DataFrame:
-    """``docs`` (source, block, at, n_tokens) with the tokens before each document in its source's permutation."""
-    inside = W.partitionBy("source", "block").orderBy("at", "rid").rowsBetween(W.unboundedPreceding, -1)
-    docs = docs.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+def _starts(docs: DataFrame) -> DataFrame:
+    """(source, block, start): the tokens before each block in its source's permutation."""
     blocks = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("t")).withColumn("super", F.floor(F.col("block") / SUPER))
     upto = blocks.withColumn("b", F.coalesce(F.sum("t").over(W.partitionBy("source", "super").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     supers = blocks.groupBy("source", "super").agg(F.sum("t").alias("t"))
     supers = supers.select("source", "super", F.coalesce(F.sum("t").over(W.partitionBy("source").orderBy("super").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    starts = upto.join(supers, ["source", "super"]).select("source", "block", (F.col("b") + F.col("s")).alias("start"))
-    return docs.join(starts, ["source", "block"]).withColumn("before", F.col("start") + F.col("inside")).drop("start", "inside")
+    return upto.join(supers, ["source", "super"]).select("source", "block", (F.col("b") + F.col("s")).alias("start"))
 
 
 def split(counts: np.ndarray, low: np.ndarray, shards: int, node: int, seed: list[int], depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,21 +111,55 @@ class Mix:
         self.docs = written(count_tokens(docs, ["doc_id", "source"], **tokenizer).where("n_tokens > 0"), "tokens")
         sources = self.docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
         self.plan = written(_wanted(targets, sources), "plan")
+        # tables as large as the targets travel to the rows
         sized = self.docs.withColumn("rid", F.monotonically_increasing_id()).join(F.broadcast(self.plan.select("source", "blocks").distinct()), "source")
         sized = sized.withColumn("at", F.xxhash64(F.lit(seed), "doc_id"))
         placed = sized.withColumn("block", F.pmod(F.col("at"), F.col("blocks"))).drop("blocks")
-        run = _before(placed)
-        plan = F.broadcast(self.plan.select("mix_name", "source", "whole", "rest"))
-        repeats = F.col("whole") + (F.col("before") + F.col("n_tokens") / 2 < F.col("rest")).cast("bigint")
-        self.chosen = run.join(plan, "source").withColumn("repeats", repeats).where("repeats > 0")
+        self.starts = written(_starts(placed), "starts")
+        inside = W.partitionBy("source", "block").orderBy("at", "rid").rowsBetween(W.unboundedPreceding, -1)
+        run = placed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        self.run = run.join(self.starts, ["source", "block"]).withColumn("before", F.col("start") + F.col("inside")).drop("start", "inside")
+        self.draws = written(self._drawn(), "draws")
+
+    def _drawn(self) -> DataFrame:
+        """(mix_name, source, shard, copy, block, whole, rest): the blocks of each quota, dealt to the shards."""
+        plan = self.plan.select("mix_name", "source", "whole", "rest", "blocks")
+        cut = F.count_if(F.col("start") < F.col("rest"))  # blocks that the last, partial copy reaches into
+        used = self.starts.join(F.broadcast(plan), "source").groupBy("mix_name", "source").agg(cut.alias("n_cut"))
+        used = used.join(plan, ["mix_name", "source"]).withColumn("n", F.col("whole") * F.col("blocks") + F.col("n_cut")).where("n > 0")
+        totals = used.orderBy("mix_name", "source").collect()  # as many as targets
+        schema = "mix_name string, source string, shard bigint, copy bigint, block bigint, whole bigint, rest double"
+        if not totals:
+            return self.spark.createDataFrame([], schema)
+        quotas = []
+        for mix in sorted({r["mix_name"] for r in totals}):
+            own = [r for r in totals if r["mix_name"] == mix]
+            quotas.append((mix, [r["source"] for r in own], np.array([r["n"] for r in own], np.int64)))
+        sizes = self.spark.createDataFrame(
+            [(r["mix_name"], r["source"], r["n"], _coprime_step(r["n"]), r["blocks"], r["whole"], r["rest"]) for r in totals],
+            "mix_name string, source string, n bigint, step bigint, blocks bigint, whole bigint, rest double",
+        )
+        ranges = _leaves(quotas, self.spark, self.seed).join(F.broadcast(sizes), ["mix_name", "source"])
+        places = ranges.select("*", F.explode(F.expr("sequence(low, high - 1)")).alias("pos"))
+        index = F.pmod(F.col("pos") * F.col("step") + F.lit(self.seed), F.col("n"))
+        # the quota counts all blocks of the first copy, then of the second, and so on
+        return places.select("mix_name", "source", "shard", F.floor(index / F.col("blocks")).alias("copy"), F.pmod(index, F.col("blocks")).alias("block"), "whole", "rest")
 
     def choice(self) -> DataFrame:
         """(mix_name, source, doc_id, n_tokens, repeats)."""
-        return self.chosen.select("mix_name", "source", "doc_id", "n_tokens", F.col("repeats").cast("int").alias("repeats"))
+        drawn = self.draws.groupBy("mix_name", "source", "block", "rest").agg(F.count_if(F.col("copy") < F.col("whole")).alias("full"), F.count_if(F.col("copy") == F.col("whole")).alias("cut"))
+        repeats = F.col("full") + F.col("cut") * self._within().cast("bigint")
+        chosen = self.run.join(drawn, ["source", "block"]).withColumn("repeats", repeats).where("repeats > 0")
+        return chosen.select("mix_name", "source", "doc_id", "n_tokens", F.col("repeats").cast("int").alias("repeats"))
+
+    @staticmethod
+    def _within() -> Column:
+        """Whether a document of the partial copy counts: its middle lies before the end of the quota."""
+        return F.col("before") + F.col("n_tokens") / 2 < F.col("rest")
 
     def shares(self) -> DataFrame:
         """(mix_name, source, target_share, wanted_tokens, actual_tokens, actual_share, share_of_wanted, documents, copies)."""
-        got = self.chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.count(F.lit(1)).alias("documents"), F.sum("repeats").alias("copies"))
+        got = self.choice().groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.count(F.lit(1)).alias("documents"), F.sum("repeats").alias("copies"))
         all_ = self.plan.join(got, ["mix_name", "source"], "left").na.fill({"actual_tokens": 0, "documents": 0, "copies": 0})
         mix = W.partitionBy("mix_name")
         ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -138,30 +171,20 @@ class Mix:
 
     def order(self) -> DataFrame:
         """(mix_name, shard, position, source, doc_id, copy): the mix as it is read, shard by shard."""
-        chosen = written(self.chosen.select("mix_name", "source", "block", "doc_id", "rid", "repeats"), "chosen")
-        copies = chosen.select("*", F.explode(F.sequence(F.lit(0), F.col("repeats").cast("int") - 1)).alias("copy"))
-        # blocks that give something, counted through per copy
-        drawn = copies.groupBy("mix_name", "source", "copy", "block").agg(F.count(F.lit(1)).alias("docs"))
-        per_copy = drawn.groupBy("mix_name", "source", "copy").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("top"))
-        # whole copies hold every block that has documents; numbering by rank keeps positions without gaps
-        super_ = W.partitionBy("mix_name", "source", "copy", "super")
-        drawn = drawn.withColumn("super", F.floor(F.col("block") / SUPER)).withColumn("rank", F.row_number().over(super_.orderBy("block")) - 1)
-        supers = drawn.groupBy("mix_name", "source", "copy", "super").agg(F.count(F.lit(1)).alias("n"))
-        upto = W.partitionBy("mix_name", "source").orderBy("copy", "super").rowsBetween(W.unboundedPreceding, -1)
-        supers = supers.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-        totals = per_copy.groupBy("mix_name", "source").agg(F.sum("n").alias("n")).orderBy("mix_name", "source").collect()  # as many as targets
-        quotas = []
-        for mix in sorted({r["mix_name"] for r in totals}):
-            own = [r for r in totals if r["mix_name"] == mix]
-            quotas.append((mix, [r["source"] for r in own], np.array([r["n"] for r in own], np.int64)))
-        if not quotas:
-            return self.spark.createDataFrame([], "mix_name string, shard bigint, position int, source string, doc_id bigint, copy int")
-        steps = self.spark.createDataFrame([(r["mix_name"], r["source"], r["n"], _coprime_step(r["n"])) for r in totals], "mix_name string, source string, n bigint, step bigint")
-        drawn = drawn.join(supers, ["mix_name", "source", "copy", "super"]).join(F.broadcast(steps), ["mix_name", "source"])
-        index = F.col("first") + F.col("rank")
-        drawn = drawn.select("mix_name", "source", "copy", "block", F.pmod(index * F.col("step") + F.lit(self.seed), F.col("n")).alias("pos"))
-        ranges = _leaves(quotas, self.spark, self.seed).select("mix_name", "source", "shard", F.explode(F.expr("sequence(low, high - 1)")).alias("pos"))
-        where = drawn.join(ranges, ["mix_name", "source", "pos"]).select("mix_name", "source", "copy", "block", "shard")
-        placed = copies.join(where, ["mix_name", "source", "copy", "block"])
+        placed = self.run.join(self.draws, ["source", "block"]).where((F.col("copy") < F.col("whole")) | self._within())
         local = W.partitionBy("mix_name", "shard").orderBy(F.xxhash64(F.lit(self.seed), "doc_id", "copy"), "doc_id", "rid", "copy")
-        return placed.select("mix_name", "shard", (F.row_number().over(local) - 1).alias("position"), "source", "doc_id", "copy")
+        return placed.select("mix_name", "shard", (F.row_number().over(local) - 1).alias("position"), "source", "doc_id", F.col("copy").cast("int").alias("copy"))
+
+    def kept(self) -> DataFrame:
+        """(mix_name, source, near_target, within_cap, dealt_once) of every target: whether its tokens are within half of its
+        longest document of what its target and cap allow, no document is used more often than allowed, and the shards
+        hold each chosen copy exactly once."""
+        longest = self.docs.groupBy("source").agg(F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("there"))
+        got = self.choice().groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual"), F.max("repeats").alias("most"), F.sum("repeats").alias("copies"))
+        dealt = self.order().groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("dealt"), F.count_distinct("shard", "position").alias("places"))
+        both = self.plan.select("mix_name", "source", "wanted", "max_repeats").join(longest, "source", "left").join(got, ["mix_name", "source"], "left").join(dealt, ["mix_name", "source"], "left").na.fill(0)
+        allowed = F.least(F.col("wanted"), F.col("max_repeats") * F.col("there"))
+        return both.select(
+            "mix_name", "source", (F.abs(F.col("actual") - allowed) <= F.col("longest") / 2 + 1e-6 * allowed).alias("near_target"),
+            (F.col("most") <= F.col("max_repeats")).alias("within_cap"), ((F.col("dealt") == F.col("copies")) & (F.col("places") == F.col("copies"))).alias("dealt_once"),
+        )

@@ -82,4 +82,6 @@ SELECT ord FROM e WHERE text <> nfc_normalize(text) OR regexp_matches(t, '[{_WRO
     OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}{_NEAR}]+')))) OR {_STRANGE})) > 0
 """
 
-ORACLE: dict[str, str] = {"p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}
+_KEPT = "SELECT mix_name, source, true AS near_target, true AS within_cap, true AS dealt_once FROM mix_targets"
+
+ORACLE: dict[str, str] = {"p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}

@@ -93,6 +93,10 @@ def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).order()
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).kept()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_pairs(_table(spark, sf_dir, "documents"))
 
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_choice": p7_choice,
     "p7_shares": p7_shares,
     "p7_order": p7_order,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
     "p8_links": p8_links,

@@ -102,17 +102,60 @@ def test_empty_tables_and_counts(spark):
     assert [tuple(r) for r in O.overlap_counts(pairs, evaluation).collect()] == [("val", "d", None, 3, 2)]
 
 
-def test_the_bound_on_known_words(spark):
-    counts = spark.createDataFrame([("a", 100), ("b", 90), ("c", 5), ("d", 4), ("e", 1)], "w string, n bigint")
-    assert O._most_frequent(counts, 9) == {"a": 100, "b": 90, "c": 5, "d": 4, "e": 1}
-    assert O._most_frequent(counts, 3) == {"a": 100, "b": 90} and O._most_frequent(counts, 1) == {}
-
-
-def test_unknown_words_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(O, "_most_frequent", lambda counts: {})
+def test_words_rare_and_frequent_lose_no_pair(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(50)]
     base = [rng.choices(vocabulary, k=rng.randint(8, 16)) for _ in range(30)]
     train = [(i, " ".join(w), None) for i, w in enumerate(base)]
     evaluation = [(1000 + i, " ".join(changed(rng, rng.choice(base), vocabulary)), None) for i in range(60)]
-    assert run(spark, train, evaluation) == brute(train, evaluation)
+    want = brute(train, evaluation)
+    T = "ord bigint, text string, audio_filepath string"
+    for head in (0, 20):
+        found = O.Overlaps(spark.createDataFrame(train, T), spark.createDataFrame(evaluation, T), head_words=head)
+        assert {tuple(r) for r in found.pairs().collect()} == want
+
+
+@pytest.mark.parametrize("longest", [0, 3, 10**9])
+def test_lists_of_one_and_of_two_terms(monkeypatch, longest):
+    """The postings of any two texts within the bound meet, on a key at which both reach the bounds of both."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(O, "LONG_LIST", longest)
+    rng = random.Random(longest)
+    vocabulary = [f"w{int(i ** 1.5)}" for i in range(40)]
+    base = [rng.choices(vocabulary, k=rng.randint(8, 30)) for _ in range(80)]
+    sides = [(w, 1) for w in base] + [(changed(rng, w, vocabulary), 2) for w in base for _ in range(3)]
+    sides = [(w, s) for w, s in sides if len(w) >= 8]
+    known = {}
+    for w, s in sides:
+        for x in set(w):
+            n, both = known.get(x, (0, 0))
+            known[x] = (n + 1, both | s)
+    words = pa.array([" ".join(w) for w, _ in sides])
+    rare = pa.array([[]] * len(sides), pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64()), ("sides", pa.int32())])))
+    t = O._Terms(words, rare, known, len(sides))
+    lists = {}
+    for side in (1, 2):
+        key, text, reach, least = O._postings(t, 3 - side)
+        for k, i, r in zip(key.tolist(), text.tolist(), reach.tolist()):
+            if sides[i][1] == side:
+                lists.setdefault(k, ([], []))[side - 1].append((i, r))
+    met = {(i, j) for a, b in lists.values() for i, r in a for j, q in b if min(r, q) >= max(least[i], least[j])}
+    want = {(i, j) for i, (x, s) in enumerate(sides) if s == 1 for j, (y, u) in enumerate(sides) if u == 2 and lev(x, y) * 5 <= max(len(x), len(y))}
+    assert want <= met and want
+    assert len(met) < sum(s == 1 for _, s in sides) * sum(s == 2 for _, s in sides)
+
+
+def test_counts_equal_the_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    base = [" ".join(rng.choices(vocabulary, k=10)) for _ in range(12)]
+    paths = [None, "", *[f"/r/a/b/{i}.wav" for i in range(6)]]
+    train = [(i, rng.choice([*base, None, "short"]), rng.choice(paths)) for i in range(60)]
+    evaluation = [(100 + i, rng.choice([*base, None]), rng.choice(paths), rng.choice("vt"), rng.choice(["d", None]), "s") for i in range(40)]
+    T = "ord bigint, text string, audio_filepath string"
+    df = spark.createDataFrame(evaluation + evaluation[:2], T + ", split string, dataset string, source string")
+    found = O.Overlaps(spark.createDataFrame(train + train[:3], T), df)
+    want = sorted(map(repr, O.overlap_counts(found.pairs(), df).collect()))
+    assert sorted(map(repr, found.counts(df).collect())) == want and want

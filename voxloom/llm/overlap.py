@@ -3,17 +3,24 @@
 Same recording: equal keys of bucket folder, source folder and file name (``recording_key``), an equi-join.
 
 Near-same sentence: a cosine join over inverted lists of weighted vectors. A term is a word together with its
-how-manieth occurrence, its weight the logarithm of its rarity. Of two texts whose word edit distance is at most a fifth
-of the longer, each lacks at most d = floor(own words/5) terms of the other, so their dot product is at least a text's
-squared norm less its d greatest squared weights. Terms are therefore indexed from the greatest weight on only until
-the residual norm of the rest is below that bound, which is after d + 1 terms; one more is taken, so that partners share
-two of them, and the lists are keyed by such pairs of terms, which keeps them short. Postings carry the length and a
-64-bit parity signature of the words, which bound the common terms from above. The exact dot product against the same
-bound, and the exact edit distance, follow on distinct texts; copies come back at the end. The bound depends on the text
-because a fixed least cosine would lose pairs that differ in rare words.
-
-The rarities of at most ``FREQUENT_WORDS`` words are sent to the executors, the most frequent ones whatever the size of
-the data; all others count as equally rare. That decides how short the lists are, never which pairs are found.
+how-manieth occurrence; its squared weight is the square of the logarithm of its rarity, in whole 4096ths, so sums are
+exact. Of two texts whose word edit distance is at most a fifth of the longer, each lacks at most d = floor(own words/5)
+terms of the other, so their dot product is at least a text's own least dot product: its squared norm less its d greatest
+squared weights. (A fixed least cosine would lose pairs that differ in rare words.)
+
+Pruning. A term's greatest weight in the other split is its own weight, or nothing where the other split hasn't the word.
+Terms are taken from the greatest weight on, and only those the other split has; the residual norm behind a place is
+what the terms from there on can still add to a dot product at most. A text is listed under a term only while that
+residual reaches its least dot product, which the first term that a pair shares always does, on both sides. Under a
+frequent term it is listed together with each term behind it that, as the second shared one, can still reach the bound;
+that keeps lists short. Postings carry what a pair that meets there can reach at most, the least dot product, the number
+of words and a 64-bit parity signature of them: either side's reach has to satisfy the other side's least dot product
+too. Candidates are verified by their exact dot product and by their exact word edit distance, as TESTDATA.md defines the
+pair by the latter.
+
+The rarity of a fixed number of most frequent words is sent to the executors, at every size; that of each other word comes
+by a join of its occurrences. All of this is between distinct texts. ``Overlaps.counts`` adds up sizes of classes of copies;
+only ``Overlaps.pairs`` expands them.
 
 Defined results: null, empty, blank and short texts make no text pair; null and empty paths, or such with fewer than
 three folders and names, no recording pair; each ord pair comes once even if rows are repeated; empty tables give no rows.
@@ -31,15 +38,15 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.lookalike import plain_form_udf, suspect
 from voxloom.llm.tokenizers import WHITE
-from voxloom.scale import written
+from voxloom.scale import HEAD_KEYS, head_and_tail, written
 
 MIN_WORDS = 8
 #: Two texts may differ by one word in so many.
 ONE_IN = 5
-#: Words whose rarity is known to the executors.
-FREQUENT_WORDS = 200_000
-#: Up to so many words a text is listed under pairs of terms, from four fifths of it on under single terms.
-PAIRED_WORDS = 60
+#: A term of a word that more texts have is no list of its own, but one with each term behind it.
+LONG_LIST = 64
+#: Squared weights are whole multiples of one over this.
+UNIT = 4096
 
 
 def recording_key(path: Column) -> Column:
@@ -73,62 +80,95 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _postings(words: pa.Array, text_id: np.ndarray, frequent: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """key, text id, words and signature of each posting of a batch of texts."""
-    import xxhash
-
-    lists = pc.split_pattern(words, " ")
-    length = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    word_hash = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
-    count = np.array([frequent.get(w, 0) for w in names], np.int64)
-    row = np.repeat(np.arange(len(length)), length)
-    start = np.concatenate([[0], np.cumsum(length)[:-1]])
-    sign = np.bitwise_xor.reduceat(np.uint64(1) << (word_hash[code] & np.uint64(63)), start)
-
-    order = np.lexsort((code, row))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1])
-    at = np.arange(len(order))
-    nth = np.empty(len(order), np.int64)
-    nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
-    term = _mix(word_hash[code] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((term, count[code] // (nth + 1), row))  # rarest first; the same order in every text
-    term = term[order]
-
-    prefix = length // ONE_IN + 2
-    paired = length <= PAIRED_WORDS
-    for size in np.unique(prefix[paired]):
-        rows = np.flatnonzero(paired & (prefix == size))
-        terms = term[start[rows][:, None] + np.arange(size)]
-        a, b = np.triu_indices(size, 1)
-        keys = _mix(terms[:, a] * np.uint64(0xD6E8FEB86659FD93) + terms[:, b])
-        yield keys.ravel(), np.repeat(rows, len(a))
-    rows = np.flatnonzero(length * ONE_IN >= PAIRED_WORDS * (ONE_IN - 1))
-    if len(rows):
-        size = prefix[rows] - 1
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        yield _mix(term[np.repeat(start[rows], size) + inside]), np.repeat(rows, size)
-    yield length, sign
-
-
-def postings(texts: DataFrame, frequent) -> DataFrame:
-    """Inverted lists (key, h, n, sign) of ``texts`` (h, words)."""
+def squared_weight(texts: np.ndarray | int, count: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Of the ``nth`` occurrence (from 0) of a word that ``count`` of ``texts`` have, in units of 1 / ``UNIT``."""
+    return np.maximum(1, np.rint(np.log1p(texts * (nth + 1) / np.maximum(count, 1)) ** 2 * UNIT)).astype(np.int64)
+
+
+class _Terms:
+    """The terms of a batch of texts, flat, each text's from the greatest weight on."""
+
+    def __init__(self, words: pa.Array, rare: pa.Array, head: dict[str, tuple[int, int]], n_texts: int):
+        import xxhash
+
+        known = dict(head)
+        for w in rare.flatten().to_pylist():
+            known[w["w"]] = (w["n"], w["sides"])
+        lists = pc.split_pattern(words, " ")
+        self.length = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        word_hash = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
+        count, sides = (np.array([known[w][k] for w in names], np.int64) for k in (0, 1))
+        row = np.repeat(np.arange(len(self.length)), self.length)
+        self.start = np.cumsum(self.length) - self.length
+        self.sign = np.bitwise_xor.reduceat(np.uint64(1) << (word_hash[code] & np.uint64(63)), self.start) if len(row) else np.zeros(0, np.uint64)
+        order = np.lexsort((code, row))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1])
+        at = np.arange(len(order))
+        nth = np.empty(len(order), np.int64)
+        nth[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+        term = _mix(word_hash[code] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        weight = squared_weight(n_texts, count[code], nth)
+        order = np.lexsort((term, -weight, row))  # the same order in every text
+        self.row, self.term, self.weight = row, term[order], weight[order]
+        self.count, self.sides = count[code][order], sides[code][order]
+
+
+def _from_here(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each place the sum of its list's ``values`` from there on."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return np.repeat(total[start + length], length) - total[:-1]
+
+
+def _postings(t: _Terms, other: int) -> tuple[np.ndarray, ...]:
+    """key, text, reach of each posting of a batch's texts, and the least dot product of each text; ``other`` is the side
+    the postings are to meet."""
+    inside = np.arange(len(t.row)) - np.repeat(t.start, t.length)
+    heavy = np.repeat(t.length // ONE_IN, t.length) > inside  # the d greatest weights
+    least = np.bincount(t.row, np.where(heavy, 0, t.weight), len(t.length)).astype(np.int64)
+    # only terms that the other side has can add to a dot product
+    has = (t.sides & other) > 0
+    row, term, weight, count = t.row[has], t.term[has], t.weight[has], t.count[has]
+    length = np.bincount(row, minlength=len(t.length))
+    start = np.cumsum(length) - length
+    residual = _from_here(weight, start, length)
+    listed = residual >= least[row]
+    single = np.flatnonzero(listed & (count <= LONG_LIST))
+    keys, texts, reach = [term[single]], [row[single]], [residual[single]]
+    first = np.flatnonzero(listed & (count > LONG_LIST))
+    end = (start + length)[row]
+    step = 1
+    while len(first):
+        second = first + step
+        first = first[second < end[first]]
+        second = first + step
+        # what the pair can reach falls with every step, so a term that can't reach the bound is done
+        most = weight[first] + residual[second]
+        first, second, most = (x[most >= least[row[first]]] for x in (first, second, most))
+        keys.append(_mix(term[first] * np.uint64(0xD6E8FEB86659FD93) + term[second]))
+        texts.append(row[first])
+        reach.append(most)
+        step += 1
+    return np.concatenate(keys), np.concatenate(texts), np.concatenate(reach), least
+
+
+def postings(vectors: DataFrame, side: int, head, n_texts: int) -> DataFrame:
+    """Inverted lists (key, h, n, sign, least, reach) of ``vectors`` (h, words, rare), which meet those of the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(0).to_numpy()
-            *lists, (length, sign) = _postings(batch.column(1), h, frequent.value)
-            for key, row in lists:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(h[row]), pa.array(length[row].astype(np.int32)), pa.array(sign[row].view(np.int64))],
-                    names=["key", "h", "n", "sign"],
-                )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                t = _Terms(batch.column(1), batch.column(2), head.value, n_texts)
+                key, text, reach, least = _postings(t, 3 - side)
+                h = batch.column(0).to_numpy()
+                cols = [key.view(np.int64), h[text], t.length[text].astype(np.int32), t.sign[text].view(np.int64), least[text], reach]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "n", "sign", "least", "reach"])
 
-    return texts.select("h", "words").mapInArrow(run, "key bigint, h bigint, n int, sign bigint")
+    rows = vectors.where(F.col("sides").bitwiseAND(side) > 0)
+    return rows.select("h", "words", "rare").mapInArrow(run, "key bigint, h bigint, n int, sign bigint, least bigint, reach bigint")
 
 
 def _edits_within(a: Column, b: Column) -> Column:
@@ -145,64 +185,52 @@ def _edits_within(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0] >= 0
 
 
-def _most_frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[str, int]:
-    """The counts of the most frequent words, in classes of counts between powers of two, as far as ``most`` words reach."""
-    classes = counts.groupBy(F.floor(F.log2("n")).alias("c")).count().orderBy(F.col("c").desc()).collect()  # at most 62
-    least, total = 62, 0
-    for r in classes:
-        total += r["count"]
-        if total > most:
-            break
-        least = r["c"]
-    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= 1 << least).toLocalIterator()}
+def with_rare_words(texts: DataFrame, counts: DataFrame, keys: int = HEAD_KEYS) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """``texts`` (h, words, ...) with ``rare``, the (w, n, sides) of those of their words that aren't among the most frequent
+    ones, and these frequent ones with their n and sides, at most ``keys``. ``counts`` (w, n, sides) is a written table."""
+    head, tail = head_and_tail(counts, "w", keys=keys)
+    own = texts.select("h", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    rare = own.join(F.broadcast(head.select("w")), "w", "left_anti").join(tail.hint("merge"), "w").groupBy("h").agg(F.collect_list(F.struct("w", "n", "sides")).alias("rare"))
+    none = F.array().cast("array<struct<w:string,n:bigint,sides:int>>")
+    joined = texts.join(rare, "h", "left").withColumn("rare", F.coalesce("rare", none))
+    return joined, {r["w"]: (r["n"], r["sides"]) for r in head.toLocalIterator()}
 
 
-def near_texts(texts: DataFrame) -> DataFrame:
+def near_texts(texts: DataFrame, head_words: int = HEAD_KEYS) -> DataFrame:
     """Pairs (h_a, g_a, h_b, g_b, cosine) of near-same texts, a of the training and b of an evaluation side, among ``texts``
     (h, g, words, sides): h and g are two hashes of the words, sides is 1, 2 or 3 (both)."""
     spark = texts.sparkSession
     n_texts = texts.count()
-    counts = texts.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    frequent = spark.sparkContext.broadcast(_most_frequent(written(counts, "counts")))
-    a = postings(texts.where("sides & 1 > 0"), frequent).select("key", F.col("h").alias("h_a"), F.col("n").alias("n_a"), F.col("sign").alias("s_a"))
-    b = postings(texts.where("sides & 2 > 0"), frequent).select("key", F.col("h").alias("h_b"), F.col("n").alias("n_b"), F.col("sign").alias("s_b"))
+    counts = texts.select("sides", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.bit_or("sides").alias("sides"))
+    vectors, head = with_rare_words(texts, written(counts, "counts"), head_words)
+    vectors = written(vectors, "vectors")
+    head = spark.sparkContext.broadcast(head)
+    named = lambda side, s: postings(vectors, side, head, n_texts).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("h", "n", "sign", "least", "reach")])
     longer = F.greatest("n_a", "n_b")
-    least = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
-    bound = (F.least("n_a", "n_b") >= least) & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
-    candidates = written(a.join(b, "key").where(bound).select("h_a", "h_b").distinct(), "candidates")
-    return _verified(candidates, texts, frequent, n_texts)
+    common = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
+    alike = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= F.col("n_a") + F.col("n_b") - 2 * common
+    reached = F.least("reach_a", "reach_b") >= F.greatest("least_a", "least_b")
+    met = named(1, "a").join(named(2, "b"), "key").where(reached & (F.least("n_a", "n_b") >= common) & alike)
+    return _verified(written(met.select("h_a", "h_b").distinct(), "candidates"), vectors, head, n_texts)
 
 
-def similar(pairs: DataFrame, frequent, n_texts: int) -> DataFrame:
-    """Of ``pairs`` (..., words_a, words_b) those whose exact dot product of weighted term vectors reaches what either
-    side must have in common with a text so few edits away: its squared norm less its d greatest squared weights,
-    d = floor(n/5). No pair within the edit bound is below that, whatever the weights. Adds ``cosine``."""
+def similar(pairs: DataFrame, head, n_texts: int) -> DataFrame:
+    """Of ``pairs`` (..., words_a, rare_a, words_b, rare_b) those whose exact dot product of weighted term vectors reaches the
+    least dot product of either side. No pair within the edit bound is below that, whatever the weights. Adds ``cosine``."""
     import math
 
-    rarest = math.log1p(n_texts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
-        weights: dict[str, float] = {}
-
-        def terms(words: str) -> tuple[dict[tuple[str, int], float], float, float]:
-            seen: dict[str, int] = {}
-            out = {}
-            for w in words.split(" "):
-                nth = seen[w] = seen.get(w, 0) + 1
-                if w not in weights:
-                    weights[w] = math.log1p(n_texts / known[w]) ** 2 if w in known else rarest**2
-                out[(w, nth)] = weights[w]
-            square = math.fsum(out.values())
-            return out, square, square - math.fsum(sorted(out.values(), reverse=True)[: len(out) // ONE_IN])
-
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (_Terms(batch.column(f"words_{s}"), batch.column(f"rare_{s}"), head.value, n_texts) for s in "ab")
             keep, cosine = [], []
-            for a, b in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist()):
-                (x, square_x, least_x), (y, square_y, least_y) = terms(a), terms(b)
-                dot = math.fsum(v for t, v in x.items() if t in y)
-                keep.append(dot >= max(least_x, least_y) - 1e-9 * (square_x + square_y))
-                cosine.append(dot / math.sqrt(square_x * square_y))
+            for i in range(batch.num_rows):
+                a, b = (slice(t.start[i], t.start[i] + t.length[i]) for t in (x, y))
+                dot = int(x.weight[a][np.isin(x.term[a], y.term[b], assume_unique=True)].sum())
+                least = max(int(t.weight[s][t.length[i] // ONE_IN :].sum()) for t, s in ((x, a), (y, b)))
+                keep.append(dot >= least)
+                cosine.append(dot / math.sqrt(int(x.weight[a].sum()) * int(y.weight[b].sum())))
             table = pa.Table.from_batches([batch]).append_column("cosine", pa.array(cosine, pa.float64())).filter(pa.array(keep, pa.bool_()))
             yield from table.to_batches()
 
@@ -210,40 +238,74 @@ def similar(pairs: DataFrame, frequent, n_texts: int) -> DataFrame:
     return pairs.mapInArrow(run, schema + ", cosine double")
 
 
-def _verified(candidates: DataFrame, texts: DataFrame, frequent, n_texts: int) -> DataFrame:
+def _verified(candidates: DataFrame, vectors: DataFrame, head, n_texts: int) -> DataFrame:
     def side(s: str) -> DataFrame:
-        return texts.select(F.col("h").alias(f"h_{s}"), F.col("g").alias(f"g_{s}"), F.col("words").alias(f"words_{s}"))
+        return vectors.select(*[F.col(c).alias(f"{c}_{s}") for c in ("h", "g", "words", "rare")])
 
-    pairs = similar(candidates.join(side("a"), "h_a").join(side("b"), "h_b"), frequent, n_texts)
+    pairs = similar(candidates.join(side("a"), "h_a").join(side("b"), "h_b"), head, n_texts)
     apart = _edits_within(F.split("words_a", " "), F.split("words_b", " "))
     return pairs.where((F.col("words_a") == F.col("words_b")) | apart).select("h_a", "g_a", "h_b", "g_b", "cosine")
 
 
+class Overlaps:
+    """What rows of ``train`` and ``evaluation`` share; ``pairs`` and ``counts`` read what is found once."""
+
+    def __init__(self, train: DataFrame, evaluation: DataFrame, key: str = "ord", text: str = "text", path: str = "audio_filepath", head_words: int = HEAD_KEYS):
+        rows = train.select(key, text, path, F.lit(1).alias("side")).unionByName(evaluation.select(key, text, path, F.lit(2).alias("side")))
+        rows = rows.select(F.col(key).alias("k"), "side", recording_key(F.col(path)).alias("rec"), comparable_words(F.col(text)).alias("words"))
+        self.rows = written(rows, "rows")  # unfiltered: a filter would evaluate the expressions once more
+        long = self.rows.where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= MIN_WORDS - 1)
+        long = long.select("k", "side", "rec", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"))
+        texts = written(long.groupBy("words").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.bit_or("side").alias("sides")), "texts")
+        #: (h_a, g_a, h_b, g_b): near-same texts of the two sides, each once
+        self.links = written(near_texts(texts, head_words), "links")
+        self.members = long.select("k", "side", "rec", "h", "g")
+
+    def _recordings(self, side: int) -> DataFrame:
+        return self.rows.where((F.col("side") == side) & F.col("rec").isNotNull()).select("rec", "k").distinct()
+
+    def _members(self, side: int, s: str) -> DataFrame:
+        return self.members.where(F.col("side") == side).select("k", "rec", F.col("h").alias(f"h_{s}"), F.col("g").alias(f"g_{s}"))
+
+    def pairs(self) -> DataFrame:
+        """(train_ord, eval_ord) of every pair of rows that share recording or sentence."""
+        named = lambda df, c: df.withColumnRenamed("k", c)
+        by_path = named(self._recordings(1), "train_ord").join(named(self._recordings(2), "eval_ord"), "rec").drop("rec")
+        by_text = self.links.join(named(self._members(1, "a").drop("rec"), "train_ord"), ["h_a", "g_a"]).join(named(self._members(2, "b").drop("rec"), "eval_ord"), ["h_b", "g_b"])
+        return by_path.unionByName(by_text.select("train_ord", "eval_ord")).distinct()
+
+    def per_row(self) -> DataFrame:
+        """(k, n): the number of training rows that each evaluation row shares recording or sentence with, if any, from the
+        sizes of classes of copies and of recordings; no pair of rows is made."""
+        a, b = ["h_a", "g_a"], ["h_b", "g_b"]
+        train = self._members(1, "a").distinct()
+        own = self._members(2, "b").distinct()
+        size = train.select("k", *a).distinct().groupBy(*a).agg(F.count(F.lit(1)).alias("n"))
+        by_text = self.links.join(size, a).groupBy(*b).agg(F.sum("n").alias("n"))
+        by_text = own.select("k", *b).distinct().join(by_text, b).select("k", "n")
+        size = self._recordings(1).groupBy("rec").agg(F.count(F.lit(1)).alias("n"))
+        by_path = self._recordings(2).join(size, "rec").select("k", "n")
+        # rows that share both: a row's class and recording against the linked classes' recordings
+        size = train.where("rec is not null").groupBy(*a, "rec").agg(F.count(F.lit(1)).alias("n"))
+        both = self.links.join(size, a).groupBy(*b, "rec").agg(F.sum("n").alias("n"))
+        both = own.join(both, [*b, "rec"]).select("k", (-F.col("n")).alias("n"))
+        return by_text.unionByName(by_path).unionByName(both).groupBy("k").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def counts(self, evaluation: DataFrame, key: str = "ord") -> DataFrame:
+        """Pairs and touched evaluation rows per split, dataset and source of the evaluation row (null groups included)."""
+        return _counted(self.per_row().withColumnRenamed("k", key), evaluation, key)
+
+
 def overlaps(train: DataFrame, evaluation: DataFrame, key: str = "ord", text: str = "text", path: str = "audio_filepath") -> DataFrame:
-    """(train_ord, eval_ord) of every pair of a training and an evaluation row that share recording or sentence."""
-    rows = train.select(key, text, path, F.lit(1).alias("side")).unionByName(evaluation.select(key, text, path, F.lit(2).alias("side")))
-    rows = rows.select(F.col(key).alias("k"), "side", recording_key(F.col(path)).alias("rec"), comparable_words(F.col(text)).alias("words"))
-    rows = written(rows, "rows")  # unfiltered: a filter would evaluate the expressions once more
-    long = rows.where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= MIN_WORDS - 1)
-    long = long.select("k", "side", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"))
-
-    recordings = rows.where("rec is not null").select("k", "side", "rec").distinct()
-    by_path = recordings.where("side = 1").select("rec", F.col("k").alias("train_ord")).join(recordings.where("side = 2").select("rec", F.col("k").alias("eval_ord")), "rec").drop("rec")
-
-    texts = written(long.groupBy("words").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.bit_or("side").alias("sides")), "texts")
-    found = near_texts(texts)
-    members = long.select("k", "side", "h", "g")
-    by_text = (
-        found.join(members.where("side = 1").select(F.col("k").alias("train_ord"), F.col("h").alias("h_a"), F.col("g").alias("g_a")), ["h_a", "g_a"])
-        .join(members.where("side = 2").select(F.col("k").alias("eval_ord"), F.col("h").alias("h_b"), F.col("g").alias("g_b")), ["h_b", "g_b"])
-        .select("train_ord", "eval_ord")
-    )
-    return by_path.unionByName(by_text).distinct()
+    return Overlaps(train, evaluation, key, text, path).pairs()
 
 
 def overlap_counts(pairs: DataFrame, evaluation: DataFrame, key: str = "ord") -> DataFrame:
     """Pairs and touched evaluation rows per split, dataset and source of the evaluation row (null groups included)."""
-    per_row = pairs.groupBy(F.col("eval_ord").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    return _counted(pairs.groupBy(F.col("eval_ord").alias(key)).agg(F.count(F.lit(1)).alias("n")), evaluation, key)
+
+
+def _counted(per_row: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
     return (
         evaluation.select(key, "split", "dataset", "source").join(per_row, key).groupBy("split", "dataset", "source").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("eval_rows"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.llm.budget import DIMENSIONS, cell_budget, totals, with_domain, with_tokens
 from voxloom.llm.encode import encode_corpus
 from voxloom.llm.mixing import Mix
-from voxloom.llm.overlap import overlap_counts, overlaps
+from voxloom.llm.overlap import Overlaps, overlaps
 from voxloom.llm.lookalike import rows_not_canonical, with_canonical
 from voxloom.llm.packing import batch_fill, pack_batches
 from voxloom.llm.quantiles import combine, partial_counts, percentiles
@@ -62,7 +62,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap_counts(p4_found(spark, sf_dir), _evaluation(spark, sf_dir))
+    evaluation = _evaluation(spark, sf_dir)
+    return Overlaps(_table(spark, sf_dir, "train_final"), evaluation).counts(evaluation)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

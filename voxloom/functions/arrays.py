@@ -63,8 +63,9 @@ def mono(channels: Column) -> Column:
 
 
 def peak_normalise(samples: Column) -> Column:
-    peak = F.array_max(F.transform(samples, F.abs))
-    return F.when(peak > 0, F.transform(samples, lambda x: x / (peak + F.lit(1e-6)))).otherwise(samples)
+    # the peak is bound once; inside the lambda over the samples it would be found again for each of them
+    peak = F.array(F.array_max(F.transform(samples, F.abs)))
+    return F.when(F.size(samples) > 0, F.transform(peak, lambda top: F.transform(samples, lambda x: F.when(top > 0, x / (top + F.lit(1e-6))).otherwise(x)))[0]).otherwise(samples)
 
 
 def pcm_to_float(samples: Column, kind: str) -> Column:
@@ -103,12 +104,19 @@ def length_mask(size: Column, length: Column) -> Column:
 
 def mask_frames(matrix: Column, first: Column, width: Column) -> Column:
     """Time mask: the rows from ``first`` on are zero."""
-    return F.transform(matrix, lambda row, t: F.when((t >= first) & (t < first + width), F.transform(row, lambda x: x * 0)).otherwise(row))
+    masked = lambda at: F.transform(matrix, lambda row, t: F.when((t >= at["a"]) & (t < at["b"]), F.transform(row, lambda x: x * 0)).otherwise(row))
+    return _bound(first, width, masked)
 
 
 def mask_bands(matrix: Column, first: Column, width: Column) -> Column:
     """Frequency mask: the same columns of every row are zero."""
-    return F.transform(matrix, lambda row: F.transform(row, lambda x, m: F.when((m >= first) & (m < first + width), x * 0).otherwise(x)))
+    masked = lambda at: F.transform(matrix, lambda row: F.transform(row, lambda x, m: F.when((m >= at["a"]) & (m < at["b"]), x * 0).otherwise(x)))
+    return _bound(first, width, masked)
+
+
+def _bound(first: Column, width: Column, mask) -> Column:
+    """``mask`` of the span's ends, which are drawn once and not again for every element."""
+    return F.transform(F.array(F.struct(first.alias("a"), (first + width).alias("b"))), mask)[0]
 
 
 def spec_augment(matrix: Column, seed: Column, freq_masks: int = 2, freq_width: int = 30, time_masks: int = 10, time_share: float = 0.05) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,10 +90,14 @@ def json_get(doc: Column, field: str, default: str) -> Column:
     return F.coalesce(F.get_json_object(doc, f"$.{field}"), F.lit(default))
 
 
+# What error texts of a source that asks for slower requests contain.
+RATE_LIMIT_PHRASES = ("429", "too many requests", "rate limit")
+
+
 def is_rate_limit(message: Column) -> Column:
     """Whether an error text tells that the source asks for slower requests."""
     text = F.lower(message)
-    return text.contains("429") | text.contains("too many requests") | text.contains("rate limit")
+    return reduce(Column.__or__, [text.contains(phrase) for phrase in RATE_LIMIT_PHRASES])
 
 
 def fixed(number: Column, digits: int = 2) -> Column:

@@ -57,25 +57,25 @@ def append_new(existing: DataFrame, incoming: DataFrame, target: int | None = No
     return fresh.drop("key")
 
 
-def _contested(first: DataFrame) -> DataFrame | None:
-    """(key, seq) of rows whose key was kept in a bucket before theirs. Only keys of several buckets can be; the walk
-    over the buckets, which the rule asks for, looks at those alone."""
-    shared = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    rows = written(first.join(shared, "key", "left_semi").select("key", "seq", "ord", "pos", "target"), "contested")
-    order = [r["seq"] for r in rows.select("seq").distinct().orderBy("seq").collect()]  # at most one per bucket
-    taken, skipped = None, None
-    for seq in order:
-        here = rows.where(F.col("seq") == seq)
-        lost = here.join(taken, "key", "left_semi") if taken is not None else here.limit(0)
-        # a kept row's place is its place in the bucket less the skipped rows before it
-        passed = here.join(taken, "key", "left_anti") if taken is not None else here
-        marks = lost.select("ord", F.lit(1).alias("m")).unionByName(passed.select("ord", F.lit(0).alias("m")))
-        counted = running_total(marks, [], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.col("m"), "before").where("m = 0").select("ord", "before")
-        kept = written(passed.join(counted, "ord").where("pos - before <= target").select("key"), "kept")
-        lost = written(lost.select("key", "seq", "ord"), "lost")
-        taken = kept if taken is None else taken.unionByName(kept)
-        skipped = lost if skipped is None else skipped.unionByName(lost)
-    return skipped
+def _contested(placed: DataFrame) -> DataFrame | None:
+    """(key, seq) of rows whose key was kept in a bucket before theirs, or None. Only keys of several buckets can be, so
+    the rounds see those alone. A round keeps what has its place within the target after the rows that the last round
+    skipped, and skips every row whose key it keeps in an earlier bucket. What the first buckets keep is right after as many
+    rounds, so the first round that changes nothing is right throughout; mostly that is the second or third."""
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = written(placed.join(shared, "key", "left_semi").select("key", "seq", "ord", "pos", "target"), "contested")
+    if rows.isEmpty():
+        return None
+    skipped, before = rows.limit(0).select("key", "seq"), (0, None)
+    while True:
+        marks = rows.join(skipped.withColumn("m", F.lit(1)), ["key", "seq"], "left").na.fill({"m": 0})
+        counted = running_total(marks, ["seq"], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.col("m"), "passed")
+        first = counted.where("m = 0 and pos - passed <= target").groupBy("key").agg(F.min("seq").alias("first"))
+        skipped = written(rows.join(first, "key").where("seq > first").select("key", "seq"), "skipped")
+        now = tuple(skipped.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("key", "seq"))).first())
+        if now == before:
+            return skipped
+        before = now
 
 
 def assemble(manifests: DataFrame, targets: DataFrame, max_hours: float | None = None) -> DataFrame:
@@ -92,25 +92,37 @@ def assemble(manifests: DataFrame, targets: DataFrame, max_hours: float | None =
     first = written(rows.groupBy("seq", "key").agg(F.min("ord").alias("ord"), F.max("target").alias("target")), "first")
     placed = written(running_total(first, ["seq"], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.lit(1), "pos"), "placed")
     skipped = _contested(placed)
-    if skipped is not None and not skipped.isEmpty():
+    if skipped is not None:
         rest = placed.join(skipped, ["key", "seq"], "left_anti")
         placed = running_total(rest.drop("pos"), ["seq"], F.floor(F.col("ord") / ORD_BLOCK), ["ord"], F.lit(1), "pos")
     kept = placed.where("pos <= target").select("seq", "key", "ord", F.col("pos").alias("place"))
     out = rows.join(kept, ["seq", "key", "ord"]).withColumnRenamed("seq", "bucket_seq").drop("key", "target")
-    return hour_cap(out, max_hours) if max_hours is not None and max_hours > 0 else out
+    return hour_cap(out, max_hours) if max_hours is not None else out
 
 
-def hour_cap(final: DataFrame, max_hours: float) -> DataFrame:
-    """The rows before the first at which the running hours would go over the cap."""
+def hour_stop(final: DataFrame, max_hours: float | None) -> tuple[int, int] | None:
+    """(bucket_seq, place) of the first row at which the running hours would go over the cap; None if none does. Only
+    lengths and places are summed, not the rows."""
+    if max_hours is None or max_hours <= 0:
+        return None
     seconds = F.coalesce(F.nanvl(F.col("duration"), F.lit(0.0)), F.lit(0.0))
     micro = F.round(seconds * 1e6).cast("bigint")  # whole microseconds add up alike in any grouping
+    lengths = written(final.select("bucket_seq", "place", micro.alias("micro")), "lengths")
     per_bucket = F.col("bucket_seq").cast("bigint") * (1 << 40) + F.floor(F.col("place") / ORD_BLOCK)
-    summed = written(running_total(written(final, "final"), [], per_bucket, ["place"], micro, "upto"), "summed")
+    summed = running_total(lengths, [], per_bucket, ["place"], F.col("micro"), "upto")
     over = summed.where(F.col("upto") > F.lit(round(max_hours * 3.6e9))).agg(F.min(F.struct("bucket_seq", "place")).alias("stop")).first()["stop"]
-    if over is None:
-        return summed.drop("upto")
-    before = (F.col("bucket_seq") < over["bucket_seq"]) | ((F.col("bucket_seq") == over["bucket_seq"]) & (F.col("place") < over["place"]))
-    return summed.where(before).drop("upto")
+    return None if over is None else (over["bucket_seq"], over["place"])
+
+
+def before_stop(final: DataFrame, stop: tuple[int, int] | None) -> DataFrame:
+    if stop is None:
+        return final
+    return final.where((F.col("bucket_seq") < stop[0]) | ((F.col("bucket_seq") == stop[0]) & (F.col("place") < stop[1])))
+
+
+def hour_cap(final: DataFrame, max_hours: float | None) -> DataFrame:
+    """The rows before the first at which the running hours would go over the cap."""
+    return before_stop(final, hour_stop(final, max_hours))
 
 
 def delivery(final: DataFrame, targets: DataFrame) -> DataFrame:
@@ -169,7 +181,7 @@ def split_bucket(manifest: DataFrame, marker: str, rest: str, moved: str, existi
     if existing is not None:
         top = existing.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
         low = away.agg(F.min("ord")).first()[0]
-        away = existing.unionByName(away.withColumn("ord", F.col("ord") + F.lit(max(0, top + 1 - low))))
+        away = existing.unionByName(away.withColumn("ord", F.col("ord") + F.lit(max(0, top + 1 - low))), allowMissingColumns=True)
     return manifest.where(~has).withColumn("dataset", F.lit(rest)), last_of_key(away)
 
 

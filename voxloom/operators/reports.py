@@ -132,22 +132,33 @@ def balance(rows: DataFrame, key: str = "ord", seed: int = 0) -> DataFrame:
     return out.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("cycle"))
 
 
-def corpus_lines(manifest: DataFrame, most: int | None = None) -> DataFrame:
+def corpus_lines(manifest: DataFrame, most: int | None = None, order: bool = True) -> DataFrame:
     """(value): one line per text, in order, for a tokenizer's training."""
-    rows = manifest.select("ord", one_line(strip(F.coalesce(F.col("text"), F.lit("")))).alias("value")).where("value <> ''").orderBy("ord")
+    rows = manifest.select("ord", one_line(strip(F.coalesce(F.col("text"), F.lit("")))).alias("value")).where("value <> ''")
+    rows = rows.orderBy("ord") if order or most is not None else rows
     return (rows if most is None else rows.limit(most)).select("value")
 
 
-def average_parameters(checkpoints: DataFrame) -> DataFrame:
+#: Elements of a parameter that are averaged in one row.
+PARAMETER_BLOCK = 1 << 16
+
+
+def average_parameters(checkpoints: DataFrame, block: int = PARAMETER_BLOCK) -> DataFrame:
     """(name, values) of ``checkpoints`` (epoch, name, values[, floating]): for each name of the first epoch the mean of
-    each element over the epochs that have it; what isn't ``floating`` keeps the values of the first epoch."""
+    each element over the epochs that have it; what isn't ``floating`` keeps the values of the first epoch. Parameters
+    are cut into blocks, each summed element by element as one row, so only the blocks of a name are put together again."""
     start = checkpoints.agg(F.min("epoch")).first()[0]
     rows = checkpoints.join(checkpoints.where(F.col("epoch") == start).select("name"), "name", "left_semi")
     if "floating" in checkpoints.columns:
         rows = rows.where(F.col("floating") | (F.col("epoch") == start))
-    each = rows.select("name", F.posexplode("values").alias("pos", "v"))
-    mean = each.groupBy("name", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return mean.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("values"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("values") - 1) / block).cast("int"), F.lit(0))), lambda i: F.slice("values", i * block + 1, block))
+    parts = rows.select("name", "epoch", F.posexplode(blocks).alias("at", "v"))
+    # as many vectors of a block as there are epochs, a few; each is bound by its position
+    lists = parts.groupBy("name", "at").agg(F.collect_list(F.transform("v", lambda x: x.cast("double"))).alias("all"))
+    longest = F.array_max(F.transform("all", F.size))
+    sums = F.aggregate("all", F.array_repeat(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), longest), lambda acc, v: F.zip_with(acc, v, lambda a, x: F.when(x.isNull(), a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")))))
+    means = lists.select("name", "at", F.transform(sums, lambda a: a["s"] / F.when(a["n"] > 0, a["n"])).alias("v"))
+    return means.groupBy("name").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).alias("values"))
 
 
 def last_checkpoints(files: DataFrame, n: int, name: str = "name") -> DataFrame:

@@ -16,11 +16,16 @@ _SAMPLES = T.ArrayType(T.FloatType())
 
 
 def read_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and the sampling rate of a PCM file."""
+    """Mono samples in [-1, 1] and the sampling rate of a PCM file of 8, 16, 24 or 32 bit."""
     with wave.open(io.BytesIO(content)) as f:
-        kind = {1: np.uint8, 2: np.int16, 4: np.int32}[f.getsampwidth()]
-        x = np.frombuffer(f.readframes(f.getnframes()), kind).astype(np.float64)
-        x = (x - 128) / 128 if kind is np.uint8 else x / (32768.0 if kind is np.int16 else 2147483648.0)
+        width, data = f.getsampwidth(), f.readframes(f.getnframes())
+        if width == 1:
+            x = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) / 128
+        else:
+            # samples of two to four bytes are the upper bytes of 32-bit ones
+            upper = np.zeros((len(data) // width, 4), np.uint8)
+            upper[:, 4 - width :] = np.frombuffer(data, np.uint8).reshape(-1, width)
+            x = upper.view("<i4").ravel() / 2147483648.0
         return x.reshape(-1, f.getnchannels()).mean(axis=1).astype(np.float32), f.getframerate()
 
 
@@ -34,10 +39,10 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def wav_seconds(content: bytes) -> float | None:
-    """Length by the header; None where there is none to read."""
+def wav_seconds(content) -> float | None:
+    """Length by the header of bytes or of an open file, of which no more is read; None where there is no header."""
     try:
-        with wave.open(io.BytesIO(content)) as f:
+        with wave.open(io.BytesIO(content) if isinstance(content, bytes) else content) as f:
             return f.getnframes() / f.getframerate()
     except (wave.Error, EOFError, ZeroDivisionError):
         return None
@@ -96,7 +101,11 @@ def telephone(x: np.ndarray, rate: int = 16000, band: int = 8000) -> np.ndarray:
 
 
 def reverberate(x: np.ndarray, response: np.ndarray) -> np.ndarray:
-    return np.convolve(x, response)[: len(x)].astype(np.float32)
+    """By the spectrum where the response is long, in time in proportion to n log n."""
+    if min(len(x), len(response)) < 64:
+        return np.convolve(x, response)[: len(x)].astype(np.float32)
+    size = 1 << (len(x) + len(response) - 2).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(response, size), size)[: len(x)].astype(np.float32)
 
 
 def add_noise(x: np.ndarray, noise: np.ndarray, snr_db: float, offset: int = 0) -> np.ndarray:
@@ -113,14 +122,15 @@ def add_gaussian(x: np.ndarray, scale: float, rng: np.random.Generator) -> np.nd
 
 
 def mute_gaps(x: np.ndarray, seed: int, gaps: int = 10, share: float = 0.05, hop: int = 160, level: float = 0.02) -> np.ndarray:
-    """A way to listen to time masks: gaps of whole frames, nearly muted."""
-    rng, out = np.random.default_rng(seed), x.copy()
+    """A way to listen to time masks: ``gaps`` spans of at most ``share`` of the frames are nearly muted. All are drawn at
+    once, and a frame's depth is the running sum of spans that begin and end there."""
     frames = max(1, len(x) // hop)
-    for _ in range(gaps):
-        width = int(rng.integers(0, max(1, int(frames * share)) + 1))
-        start = int(rng.integers(0, max(1, frames - width) + 1))
-        out[start * hop : (start + width) * hop] *= level
-    return out
+    draws = np.random.default_rng(seed).random((2, gaps))
+    width = np.floor(draws[0] * (max(1, int(frames * share)) + 1)).astype(int)
+    first = np.floor(draws[1] * (np.maximum(1, frames - width) + 1)).astype(int)
+    edges = np.bincount(first, minlength=2 * frames + 2)[: 2 * frames + 2] - np.bincount(first + width, minlength=2 * frames + 2)[: 2 * frames + 2]
+    depth = np.cumsum(edges)[np.arange(len(x)) // hop]
+    return (x * level ** depth).astype(x.dtype)
 
 
 def room_response(x: np.ndarray, rate: int, least_s: float = 0.05, most_s: float = 0.5, least_rms: float = 1e-4) -> np.ndarray | None:

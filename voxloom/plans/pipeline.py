@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators.assemble import assemble, assert_no_overlap, bucket_names_in, bucket_targets, check_delivery, delivery, split_bucket
+from voxloom.operators.assemble import assemble, assert_no_overlap, before_stop, bucket_names_in, bucket_targets, check_delivery, delivery, hour_stop, split_bucket
 from voxloom.operators.reports import compare, manifest_stats, repair
 from voxloom.operators.scoring import rollup, sorted_results, split_metrics
 from voxloom.scale import written
@@ -34,23 +34,31 @@ def max_hours(argument: float | None, config: dict[str, Any]) -> float | None:
 
 
 def read_buckets(spark: SparkSession, folders: Folders, targets: DataFrame) -> DataFrame:
-    """The rows of all buckets that have a manifest, each under its bucket's name."""
+    """The rows of all buckets that have a manifest, each under its bucket's name, with all their fields."""
     found = None
     for r in targets.orderBy("seq").collect():  # a configuration's buckets
-        rows = typed(read_manifest(spark, folders.bucket(r["name"]), missing="empty")).withColumn("dataset", F.lit(r["name"]))
-        found = rows if found is None else found.unionByName(rows)
+        rows = typed(read_manifest(spark, folders.bucket(r["name"]), missing="empty", extra=True)).withColumn("dataset", F.lit(r["name"]))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
     return found
 
 
 def build_final(spark: SparkSession, folders: Folders, specs: DataFrame, phase: str, policy: str, hours: float | None = None) -> DataFrame:
-    """Fill the buckets of a phase, write the final manifest, report what fell short (the cap's victims are no failure)."""
+    """Fill the buckets of a phase, write the final manifest, report what fell short. A bucket that the hour cap ended, or
+    kept from being read, is no failure; those filled before the cap was reached are, as are all where it never was.
+    Buckets without a manifest are passed over."""
     targets = bucket_targets(specs, phase)
-    final = assemble(read_buckets(spark, folders, targets), targets, hours)
+    rows = read_buckets(spark, folders, targets)
+    if rows is None:
+        raise ValueError(f"no specifications for {phase}")
+    filled = assemble(rows, targets)
+    stop = hour_stop(filled, hours)
+    final = before_stop(filled, stop)
     ordered = final.withColumn("ord", F.col("bucket_seq").cast("bigint") * (1 << 40) + F.col("place")).drop("bucket_seq", "place")
     write_manifest(ordered, folders.final(phase))
     out = spark.read.schema(ordered.schema).json(folders.final(phase))
-    if not hours:
-        check_delivery(delivery(out, targets), policy)
+    there = [r["name"] for r in targets.select("name").collect() if _exists(spark, folders.bucket(r["name"]))]  # a configuration's buckets
+    due = targets.where(F.col("name").isin(there) & (F.lit(stop is None) | (F.col("seq") < F.lit(stop[0] if stop else 0))))
+    check_delivery(delivery(out, due), policy)
     return out
 
 
@@ -69,7 +77,7 @@ def rebuild(spark: SparkSession, folders: Folders, specs: DataFrame, hours: floa
             backup(spark, folders.final(phase), backups)
     if mixed and _exists(spark, folders.bucket(mixed[0])):
         name, marker, moved = mixed
-        rest, away = split_bucket(typed(read_manifest(spark, folders.bucket(name))), marker, name, moved, typed(read_manifest(spark, folders.bucket(moved), missing="empty")))
+        rest, away = split_bucket(typed(read_manifest(spark, folders.bucket(name), extra=True)), marker, name, moved, typed(read_manifest(spark, folders.bucket(moved), missing="empty", extra=True)))
         # both read the bucket that is replaced, so both are written out before
         rest, away = written(rest, "rest"), written(away, "moved")
         write_manifest(away, folders.bucket(moved))

@@ -6,25 +6,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import from_peak, unit_energy
-from voxloom.operators.signal import read_wav_udf, wav_seconds_udf
+from voxloom.operators.signal import read_wav_udf, wav_seconds
 
 # The file types that count as audio.
 AUDIO_TYPES = (".wav", ".flac", ".mp3", ".ogg", ".opus", ".m4a")
 
 
 def audio_files(spark: SparkSession, *folders: str, listed: DataFrame | None = None) -> DataFrame:
-    """(path, modificationTime, length, content) of the audio files below the folders and in a list, each once."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
+    """(path, modificationTime, length, content) of the audio files below the folders and of those of a list (path, a list
+    of file names is small beside the files), each once."""
+    reader = lambda: spark.read.format("binaryFile")
+    parts = [reader().option("recursiveFileLookup", "true").load(list(folders))] if folders else []
+    if listed is not None and (names := [r["path"] for r in listed.select("path").distinct().toLocalIterator()]):
+        parts.append(reader().load(names))
+    if not parts:
+        raise ValueError("neither a folder nor a listed file is given")
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     is_audio = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*AUDIO_TYPES)
-    out = found.where(is_audio)
-    if listed is not None:
-        out = out.join(listed.select("path").distinct(), "path", "left_semi")
-    return out.dropDuplicates(["path"])
+    return found.where(is_audio).dropDuplicates(["path"])
 
 
 def probe(files: DataFrame) -> DataFrame:
-    """(path, seconds): lengths by the headers, null where there is none to read."""
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), wav_seconds_udf("content").alias("seconds"))
+    """(path, seconds): lengths by the headers, null where there is none to read. Each task opens its files and reads no
+    more of them than the header; the content column of ``files`` isn't asked for, so Spark doesn't load it."""
+
+    @F.pandas_udf("double")
+    def seconds(paths):
+        from voxloom.sources.store import opened
+
+        def one(path: str) -> float | None:
+            with opened(path) as f:
+                return wav_seconds(f)
+
+        return paths.map(one, na_action="ignore").astype("object")
+
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path")).withColumn("seconds", seconds("path"))
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -57,6 +73,25 @@ def response_from_peak(samples: Column, rate: int, most_s: float) -> Column:
     return from_peak(samples, int(most_s * rate))
 
 
+def load_bank(spark: SparkSession, folder: str, rate: int = 16000, key: str = "path", **limits) -> DataFrame:
+    """The ``bank`` of the audio files of a folder, at one sampling rate; a folder that isn't there is an empty bank."""
+    from voxloom.operators.signal import resample
+    from voxloom.sources.manifests import _exists
+
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], "path string, samples array<float>")
+
+    @F.pandas_udf("array<float>")
+    def at_rate(samples, rates):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series([resample(np.asarray(x, np.float32), int(r), rate) for x, r in zip(samples, rates)])
+
+    clips = decoded(audio_files(spark, folder)).select("path", at_rate("samples", "rate").alias("samples"))
+    return bank(clips, rate, key=key, **limits)
+
+
 def packed_bank(clips: DataFrame, samples: str = "samples") -> DataFrame:
     """Clips padded with zeros to the longest, with their lengths. One aggregate finds the longest."""
     longest = clips.agg(F.max(F.size(samples))).first()[0] or 0

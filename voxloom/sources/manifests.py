@@ -30,18 +30,27 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.col("value").rlike(rf"^[{BLANK}]*$"))
 
 
-def read_manifest(spark: SparkSession, path: str, missing: str = "error", strict: bool = False) -> DataFrame:
-    """The raw manifest of a file of JSON lines; unknown fields are ignored, numbers come as text. A missing file is an
-    error or an empty manifest (``missing="empty"``); a line that isn't JSON has only nulls, or is an error naming the
-    line if ``strict``."""
+def fields_of(rows: DataFrame, column: str = "value") -> list[str]:
+    """The names of all fields that the JSON objects of a column have: one aggregate of as many values as there are names."""
+    names = rows.select(F.explode(F.json_object_keys(column)).alias("k")).distinct()
+    return [r["k"] for r in names.orderBy("k").collect()]
+
+
+def read_manifest(spark: SparkSession, path: str, missing: str = "error", strict: bool = False, extra: bool = False) -> DataFrame:
+    """The raw manifest of a file of JSON lines; numbers come as text. Unknown fields are ignored, or with ``extra`` carried
+    along as text columns of their names (nested ones as JSON), so that jobs write them back. A missing file is an error
+    or an empty manifest (``missing="empty"``); a line that isn't JSON has only nulls, or is an error naming the line if
+    ``strict``."""
     if missing == "empty" and not _exists(spark, path):
         return spark.createDataFrame([], MANIFEST_RAW)
-    fields = ", ".join(f"{f} string" for f in _FIELDS)
-    rows = lines(spark, path).select("ord", "value", F.from_json("value", fields + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    read = lines(spark, path)
+    names = _FIELDS + ([k for k in fields_of(read) if k not in (*_FIELDS, "ord", "_bad")] if extra else [])
+    fields = ", ".join(f"`{f}` string" for f in names)
+    rows = read.select("ord", "value", F.from_json("value", fields + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     if strict:
         message = F.concat(F.lit("invalid JSON at line position "), F.col("ord").cast("string"), F.lit(": "), F.substring("value", 1, 80))
         rows = rows.withColumn("r", F.when(F.col("r._bad").isNotNull() | F.col("r").isNull(), F.raise_error(message).cast(rows.schema["r"].dataType)).otherwise(F.col("r")))
-    return rows.select("ord", *[F.col(f"r.{f}").alias(f) for f in _FIELDS])
+    return rows.select("ord", *[F.col(f"r.`{f}`").alias(f) for f in names])
 
 
 def typed(raw: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 import uuid
+import wave
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
@@ -17,6 +18,7 @@ from voxloom.functions.text import stable_name
 from voxloom.operators.batching import in_order
 from voxloom.operators.reports import corpus_lines
 from voxloom.operators.signal import read_wav, resample, wav_seconds, write_wav
+from voxloom.sources.store import exists, opened, put
 
 
 def _fs(spark: SparkSession, path: str):
@@ -25,15 +27,35 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_folder(df: DataFrame, path: str, write: Callable[[DataFrame, str], None]) -> None:
-    """Write to a folder beside ``path`` and put it in its place: readers see the old or the new one."""
+    """Write to a folder beside ``path``, move what is there aside, the new one in, and only then delete the old one. A
+    crash at any point leaves the old or the new folder whole, in its place or aside; ``recover_folder`` puts it back."""
     spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
+    place = path.rstrip("/")
+    recover_folder(spark, place)
+    beside = f"{place}.tmp-{uuid.uuid4().hex}"
     write(df, beside)
     new, fs = _fs(spark, beside)
-    old, _ = _fs(spark, path)
-    fs.delete(old, True)
+    old, _ = _fs(spark, place)
+    aside, _ = _fs(spark, f"{place}.old")
+    if fs.exists(old) and not fs.rename(old, aside):
+        raise OSError(f"{place} could not be moved aside")
     if not fs.rename(new, old):
-        raise OSError(f"{beside} could not be moved to {path}")
+        recover_folder(spark, place)
+        raise OSError(f"{beside} could not be moved to {place}")
+    fs.delete(aside, True)
+
+
+def recover_folder(spark: SparkSession, path: str) -> bool:
+    """Put back the folder that a replacement which was stopped between its two moves left aside; drop it where the new
+    one is in place. Says whether something was put back."""
+    old, fs = _fs(spark, path.rstrip("/"))
+    aside, _ = _fs(spark, f"{path.rstrip('/')}.old")
+    if not fs.exists(aside):
+        return False
+    if fs.exists(old):
+        fs.delete(aside, True)
+        return False
+    return fs.rename(aside, old)
 
 
 def write_manifest(df: DataFrame, path: str, mode: str = "overwrite", keep_nulls: bool = True) -> None:
@@ -72,7 +94,7 @@ def report_json(df: DataFrame) -> str:
 def write_corpus(manifest: DataFrame, path: str, most: int | None = None) -> int:
     """One text per line, at most ``most``; returns the number of lines (for a limit of 0 that of all texts)."""
     corpus_lines(manifest, most).write.mode("overwrite").text(path)
-    n = corpus_lines(manifest).count()
+    n = corpus_lines(manifest, order=False).count()
     return min(n, most or n)
 
 
@@ -100,27 +122,24 @@ def write_shards(manifest: DataFrame, folder: str, per_shard: int, max_shards: i
         raise ValueError("missing must be error or skip")
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        import os
-
         part = part.sort_values("record")
         shard, done, skipped = part["shard"].iloc[0], 0, 0
-        os.makedirs(folder, exist_ok=True)
-        beside = f"{folder}/{shard}.tar.{uuid.uuid4().hex}"
-        with tarfile.open(beside, "w") as tar:
-            for r in part.itertuples():
-                if r.content is None:
+        archive = io.BytesIO()
+        with tarfile.open(fileobj=archive, mode="w") as tar:
+            for record, path, text, language, duration, content in zip(*(part[c] for c in ("record", "audio_filepath", "text", "language", "duration", "content"))):
+                if content is None:
                     if missing == "error":
-                        raise FileNotFoundError(r.audio_filepath)
+                        raise FileNotFoundError(path)
                     skipped += 1
                     continue
-                meta = json.dumps({"text": r.text, "language": r.language, "duration": None if pd.isna(r.duration) else r.duration}, ensure_ascii=False).encode()
-                suffix = "." + r.audio_filepath.rsplit(".", 1)[-1] if r.audio_filepath and "." in r.audio_filepath else ".audio"
-                for name, data in ((f"{r.record}{suffix}", bytes(r.content)), (f"{r.record}.json", meta)):
+                meta = json.dumps({"text": text, "language": language, "duration": None if pd.isna(duration) else duration}, ensure_ascii=False).encode()
+                suffix = "." + path.rsplit(".", 1)[-1] if path and "." in path else ".audio"
+                for name, data in ((f"{record}{suffix}", bytes(content)), (f"{record}.json", meta)):
                     info = tarfile.TarInfo(name)
                     info.size = len(data)
                     tar.addfile(info, io.BytesIO(data))
                 done += 1
-        os.replace(beside, f"{folder}/{shard}.tar")
+        put(f"{folder}/{shard}.tar", archive.getvalue())
         return pd.DataFrame({"shard": [shard], "records": [done], "skipped": [skipped]})
 
     planned = shard_plan(manifest, per_shard, max_shards).select("shard", "record", "audio_filepath", "text", "language", F.col("duration").cast("double").alias("duration"), "content")
@@ -157,16 +176,6 @@ def sample_outcomes(samples: DataFrame, folder: str, rate: int = 16000, peak: bo
 
         import numpy as np
 
-        os.makedirs(folder, exist_ok=True)
-
-        def put(name: str, data: bytes) -> str:
-            target = f"{folder}/{name}"
-            beside = f"{target}.{uuid.uuid4().hex}"
-            with open(beside, "wb") as f:
-                f.write(data)
-            os.replace(beside, target)
-            return target
-
         def one(name: str, audio) -> tuple[str | None, float | None, str]:
             if audio is None:
                 return None, None, "missing"
@@ -174,14 +183,14 @@ def sample_outcomes(samples: DataFrame, folder: str, rate: int = 16000, peak: bo
                 data = bytes(audio["bytes"])
                 kind = os.path.splitext(audio["path"] or "")[1] or ".audio"
                 status, seconds = _readable(data, kind)
-                return put(name + kind, data) if status in ("ok", "unread") else None, seconds, status
+                return put(f"{folder}/{name}{kind}", data) if status in ("ok", "unread") else None, seconds, status
             if audio["array"] is not None:
                 x = resample(np.asarray(audio["array"], np.float32), int(audio["sampling_rate"]), rate)
                 top = float(np.abs(x).max()) if len(x) else 0.0
                 x = x / (top + 1e-6) if peak and top > 0 else x
-                return (put(name + ".wav", write_wav(x, rate)), len(x) / rate, "ok") if len(x) else (None, None, "empty")
-            if audio["path"] and os.path.exists(audio["path"]):
-                with open(audio["path"], "rb") as f:
+                return (put(f"{folder}/{name}.wav", write_wav(x, rate)), len(x) / rate, "ok") if len(x) else (None, None, "empty")
+            if audio["path"] and exists(audio["path"]):
+                with opened(audio["path"]) as f:
                     status, seconds = _readable(f.read(), os.path.splitext(audio["path"])[1])
                 return audio["path"] if status in ("ok", "unread") else None, seconds, status
             return None, None, "missing"
@@ -200,26 +209,21 @@ def write_resampled(manifest: DataFrame, folder: str, rate: int = 16000) -> Data
     fails keeps its values and is counted as failed."""
     columns = [c for c in manifest.columns if c != "content"]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+    def one(name: str, content) -> tuple[str | None, float | None]:
+        try:
+            x, own = read_wav(bytes(content))
+        except (wave.Error, EOFError, ValueError, TypeError, ZeroDivisionError):  # no audio that can be read
+            return None, None
+        return put(f"{folder}/{name}.wav", write_wav(resample(x, own, rate), rate)), len(x) / own
 
-        os.makedirs(folder, exist_ok=True)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            status = []
-            for i, r in part.iterrows():
-                try:
-                    x, own = read_wav(bytes(r["content"]))
-                    data = write_wav(resample(x, own, rate), rate)
-                    target = f"{folder}/{r['_name']}.wav"
-                    beside = f"{target}.{uuid.uuid4().hex}"
-                    with open(beside, "wb") as f:
-                        f.write(data)
-                    os.replace(beside, target)
-                    part.at[i, "audio_filepath"], part.at[i, "duration"] = target, len(x) / own
-                    status.append("ok")
-                except Exception:
-                    status.append("failed")
-            yield part[columns].assign(status=status)
+            made = [one(n, c) for n, c in zip(part["_name"], part["content"])]
+            ok = pd.Series([m[0] is not None for m in made], part.index, bool)
+            paths, seconds = (pd.Series([m[k] for m in made], part.index, object) for k in (0, 1))
+            yield part[columns].assign(
+                audio_filepath=paths.where(ok, part["audio_filepath"]), duration=seconds.where(ok, part["duration"]), status=ok.map({True: "ok", False: "failed"})
+            )
 
     named = manifest.withColumn("_name", stable_name(F.col("audio_filepath")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.schema.fields if f.name != "content") + ", status string"

@@ -3,7 +3,7 @@
 Same recording: equal keys of bucket folder, source folder and file name (``recording_key``), an equi-join.
 
 Near-same sentence: a cosine join over inverted lists of weighted vectors. A term is a word together with its
-how-manieth occurrence; its squared weight is the square of the logarithm of its rarity, in whole 4096ths, so sums are
+how-manieth occurrence; its squared weight is the square of the logarithm of its rarity, in whole 64ths, so sums are
 exact. Of two texts whose word edit distance is at most a fifth of the longer, each lacks at most d = floor(own words/5)
 terms of the other, so their dot product is at least a text's own least dot product: its squared norm less its d greatest
 squared weights. (A fixed least cosine would lose pairs that differ in rare words.)
@@ -14,7 +14,7 @@ what the terms from there on can still add to a dot product at most. A text is l
 residual reaches its least dot product, which the first term that a pair shares always does, on both sides. Under a
 frequent term it is listed together with each term behind it that, as the second shared one, can still reach the bound;
 that keeps lists short. Postings carry what a pair that meets there can reach at most, the least dot product, the number
-of words and a 64-bit parity signature of them: either side's reach has to satisfy the other side's least dot product
+of words and a 32-bit parity signature of them: either side's reach has to satisfy the other side's least dot product
 too. Candidates are verified by their exact dot product and by their exact word edit distance, as TESTDATA.md defines the
 pair by the latter.
 
@@ -46,7 +46,7 @@ ONE_IN = 5
 #: A term of a word that more texts have is no list of its own, but one with each term behind it.
 LONG_LIST = 64
 #: Squared weights are whole multiples of one over this.
-UNIT = 4096
+UNIT = 64
 
 
 def recording_key(path: Column) -> Column:
@@ -102,7 +102,7 @@ class _Terms:
         count, sides = (np.array([known[w][k] for w in names], np.int64) for k in (0, 1))
         row = np.repeat(np.arange(len(self.length)), self.length)
         self.start = np.cumsum(self.length) - self.length
-        self.sign = np.bitwise_xor.reduceat(np.uint64(1) << (word_hash[code] & np.uint64(63)), self.start) if len(row) else np.zeros(0, np.uint64)
+        self.sign = np.bitwise_xor.reduceat(np.uint32(1) << (word_hash[code] & np.uint64(31)).astype(np.uint32), self.start) if len(row) else np.zeros(0, np.uint32)
         order = np.lexsort((code, row))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (code[order][1:] != code[order][:-1]) | (row[order][1:] != row[order][:-1])
@@ -155,7 +155,7 @@ def _postings(t: _Terms, other: int) -> tuple[np.ndarray, ...]:
 
 
 def postings(vectors: DataFrame, side: int, head, n_texts: int) -> DataFrame:
-    """Inverted lists (key, h, n, sign, least, reach) of ``vectors`` (h, words, rare), which meet those of the other side."""
+    """Inverted lists (key, id, n, sign, least, reach) of ``vectors`` (id, words, rare), which meet those of the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -163,12 +163,12 @@ def postings(vectors: DataFrame, side: int, head, n_texts: int) -> DataFrame:
                 batch = whole.slice(at, 4096)
                 t = _Terms(batch.column(1), batch.column(2), head.value, n_texts)
                 key, text, reach, least = _postings(t, 3 - side)
-                h = batch.column(0).to_numpy()
-                cols = [key.view(np.int64), h[text], t.length[text].astype(np.int32), t.sign[text].view(np.int64), least[text], reach]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "n", "sign", "least", "reach"])
+                ids = batch.column(0).to_numpy()
+                cols = [key.view(np.int64), ids[text], t.length[text].astype(np.int32), t.sign[text].view(np.int32), least[text], reach]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "n", "sign", "least", "reach"])
 
     rows = vectors.where(F.col("sides").bitwiseAND(side) > 0)
-    return rows.select("h", "words", "rare").mapInArrow(run, "key bigint, h bigint, n int, sign bigint, least bigint, reach bigint")
+    return rows.select("id", "words", "rare").mapInArrow(run, "key bigint, id bigint, n int, sign int, least bigint, reach bigint")
 
 
 def _edits_within(a: Column, b: Column) -> Column:
@@ -203,15 +203,15 @@ def near_texts(texts: DataFrame, head_words: int = HEAD_KEYS) -> DataFrame:
     n_texts = texts.count()
     counts = texts.select("sides", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.bit_or("sides").alias("sides"))
     vectors, head = with_rare_words(texts, written(counts, "counts"), head_words)
-    vectors = written(vectors, "vectors")
+    vectors = written(vectors.withColumn("id", F.monotonically_increasing_id()), "vectors")
     head = spark.sparkContext.broadcast(head)
-    named = lambda side, s: postings(vectors, side, head, n_texts).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("h", "n", "sign", "least", "reach")])
+    named = lambda side, s: postings(vectors, side, head, n_texts).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sign", "least", "reach")])
     longer = F.greatest("n_a", "n_b")
     common = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
     alike = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= F.col("n_a") + F.col("n_b") - 2 * common
     reached = F.least("reach_a", "reach_b") >= F.greatest("least_a", "least_b")
     met = named(1, "a").join(named(2, "b"), "key").where(reached & (F.least("n_a", "n_b") >= common) & alike)
-    return _verified(written(met.select("h_a", "h_b").distinct(), "candidates"), vectors, head, n_texts)
+    return _verified(written(met.select("id_a", "id_b").distinct(), "candidates"), vectors, head, n_texts)
 
 
 def similar(pairs: DataFrame, head, n_texts: int) -> DataFrame:
@@ -240,9 +240,9 @@ def similar(pairs: DataFrame, head, n_texts: int) -> DataFrame:
 
 def _verified(candidates: DataFrame, vectors: DataFrame, head, n_texts: int) -> DataFrame:
     def side(s: str) -> DataFrame:
-        return vectors.select(*[F.col(c).alias(f"{c}_{s}") for c in ("h", "g", "words", "rare")])
+        return vectors.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "h", "g", "words", "rare")])
 
-    pairs = similar(candidates.join(side("a"), "h_a").join(side("b"), "h_b"), head, n_texts)
+    pairs = similar(candidates.join(side("a"), "id_a").join(side("b"), "id_b"), head, n_texts)
     apart = _edits_within(F.split("words_a", " "), F.split("words_b", " "))
     return pairs.where((F.col("words_a") == F.col("words_b")) | apart).select("h_a", "g_a", "h_b", "g_b", "cosine")
 

@@ -135,11 +135,11 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", out: str = "n_tokens", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
-    """The columns ``keep`` and the number of tokens of ``text`` (0 for null)."""
+    """The columns ``keep`` and the number of tokens of ``text`` (0 for null), by the tokenizer at once: no ids are kept."""
 
     @F.pandas_udf(T.IntegerType())
     def size(texts):
-        encode = _encoder(tokenizer, folder)
-        return texts.map(lambda t: len(encode_tree(t, encode)) if t else 0).astype("int32")
+        enc = encoding(tokenizer, folder)
+        return texts.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int32")
 
     return df.select(*keep, size(F.col(text).cast("string")).alias(out))

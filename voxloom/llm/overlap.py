@@ -208,7 +208,9 @@ def near_texts(texts: DataFrame, head_words: int = HEAD_KEYS) -> DataFrame:
     named = lambda side, s: postings(vectors, side, head, n_texts).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sign", "least", "reach")])
     longer = F.greatest("n_a", "n_b")
     common = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
-    alike = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= F.col("n_a") + F.col("n_b") - 2 * common
+    # an int is counted as the long it widens to, so its sign isn't
+    differ = F.col("sign_a").bitwiseXOR(F.col("sign_b")).cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))
+    alike = F.bit_count(differ) <= F.col("n_a") + F.col("n_b") - 2 * common
     reached = F.least("reach_a", "reach_b") >= F.greatest("least_a", "least_b")
     met = named(1, "a").join(named(2, "b"), "key").where(reached & (F.least("n_a", "n_b") >= common) & alike)
     return _verified(written(met.select("id_a", "id_b").distinct(), "candidates"), vectors, head, n_texts)

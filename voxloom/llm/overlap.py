@@ -155,7 +155,7 @@ def _postings(t: _Terms, other: int) -> tuple[np.ndarray, ...]:
 
 
 def postings(vectors: DataFrame, side: int, head, n_texts: int) -> DataFrame:
-    """Inverted lists (key, id, n, sign, least, reach) of ``vectors`` (id, words, rare), which meet those of the other side."""
+    """Inverted lists (key, id, n, sign, least, reach) of ``vectors`` (id, words, sides, rare), which meet those of the other side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -185,35 +185,63 @@ def _edits_within(a: Column, b: Column) -> Column:
     return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0] >= 0
 
 
-def with_rare_words(texts: DataFrame, counts: DataFrame, keys: int = HEAD_KEYS) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """``texts`` (h, words, ...) with ``rare``, the (w, n, sides) of those of their words that aren't among the most frequent
-    ones, and these frequent ones with their n and sides, at most ``keys``. ``counts`` (w, n, sides) is a written table."""
-    head, tail = head_and_tail(counts, "w", keys=keys)
-    own = texts.select("h", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
-    rare = own.join(F.broadcast(head.select("w")), "w", "left_anti").join(tail.hint("merge"), "w").groupBy("h").agg(F.collect_list(F.struct("w", "n", "sides")).alias("rare"))
-    none = F.array().cast("array<struct<w:string,n:bigint,sides:int>>")
-    joined = texts.join(rare, "h", "left").withColumn("rare", F.coalesce("rare", none))
-    return joined, {r["w"]: (r["n"], r["sides"]) for r in head.toLocalIterator()}
+_RARE = "array<struct<w:string,n:bigint,sides:int>>"
+
+
+def by_rarity(texts: DataFrame, tail: DataFrame, head) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (id, words, sides) in two, both with ``rare``: those of words in ``head`` only, whose list is empty, and
+    those with other words, which are shuffled alone to get (w, n, sides) of these from ``tail``."""
+
+    def kept(common: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = pa.array(list(head.value), pa.string())
+            for batch in batches:
+                lists = pc.split_pattern(batch.column("words"), " ")
+                found = np.concatenate([[0], np.cumsum(pc.is_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False))])
+                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                only = found[ends[1:]] - found[ends[:-1]] == np.diff(ends)
+                yield batch.filter(pa.array(only if common else ~only))
+
+        return run
+
+    plain = texts.select("id", "words", "sides")
+    schema = "id bigint, words string, sides int"
+    common = plain.mapInArrow(kept(True), schema).withColumn("rare", F.array().cast(_RARE))
+    rest = written(plain.mapInArrow(kept(False), schema), "rest")
+    words = rest.select("id", F.explode(F.array_distinct(F.split("words", " "))).alias("w"))
+    rare = words.join(tail.hint("merge"), "w").groupBy("id").agg(F.collect_list(F.struct("w", "n", F.col("sides").cast("int").alias("sides"))).alias("rare"))
+    return common, written(rest.join(rare, "id"), "rare")
 
 
 def near_texts(texts: DataFrame, head_words: int = HEAD_KEYS) -> DataFrame:
-    """Pairs (h_a, g_a, h_b, g_b, cosine) of near-same texts, a of the training and b of an evaluation side, among ``texts``
-    (h, g, words, sides): h and g are two hashes of the words, sides is 1, 2 or 3 (both)."""
-    spark = texts.sparkSession
+    """Pairs (h_a, g_a, h_b, g_b, cosine) of near-same texts, a of the training and b of an evaluation side, among the written
+    ``texts`` (id, h, g, words, sides): h and g are two hashes of the words, sides is 1, 2 or 3 (both)."""
     n_texts = texts.count()
     counts = texts.select("sides", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.bit_or("sides").alias("sides"))
-    vectors, head = with_rare_words(texts, written(counts, "counts"), head_words)
-    vectors = written(vectors.withColumn("id", F.monotonically_increasing_id()), "vectors")
-    head = spark.sparkContext.broadcast(head)
-    named = lambda side, s: postings(vectors, side, head, n_texts).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sign", "least", "reach")])
+    frequent, tail = head_and_tail(written(counts, "counts"), "w", keys=head_words)
+    head = texts.sparkSession.sparkContext.broadcast({r["w"]: (r["n"], r["sides"]) for r in frequent.toLocalIterator()})
+    common, rest = by_rarity(texts, tail, head)
+
+    def named(side: int, s: str) -> DataFrame:
+        every = postings(common, side, head, n_texts).unionByName(postings(rest, side, head, n_texts))
+        return every.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sign", "least", "reach")])
+
     longer = F.greatest("n_a", "n_b")
-    common = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
+    must = longer - F.floor(longer / ONE_IN)  # terms that a pair must share
     # an int is counted as the long it widens to, so its sign isn't
     differ = F.col("sign_a").bitwiseXOR(F.col("sign_b")).cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))
-    alike = F.bit_count(differ) <= F.col("n_a") + F.col("n_b") - 2 * common
+    alike = F.bit_count(differ) <= F.col("n_a") + F.col("n_b") - 2 * must
     reached = F.least("reach_a", "reach_b") >= F.greatest("least_a", "least_b")
-    met = named(1, "a").join(named(2, "b"), "key").where(reached & (F.least("n_a", "n_b") >= common) & alike)
-    return _verified(written(met.select("id_a", "id_b").distinct(), "candidates"), vectors, head, n_texts)
+    met = named(1, "a").join(named(2, "b"), "key").where(reached & (F.least("n_a", "n_b") >= must) & alike)
+    candidates = written(met.select("id_a", "id_b").distinct(), "candidates")
+
+    pairs = candidates
+    for side, s in ((2, "b"), (1, "a")):
+        own = texts.where(F.col("sides").bitwiseAND(side) > 0).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "h", "g", "words")])
+        pairs = pairs.join(own, f"id_{s}").join(rest.select(F.col("id").alias(f"id_{s}"), F.col("rare").alias(f"rare_{s}")), f"id_{s}", "left")
+    pairs = pairs.withColumns({f"rare_{s}": F.coalesce(f"rare_{s}", F.array().cast(_RARE)) for s in "ab"})
+    apart = _edits_within(F.split("words_a", " "), F.split("words_b", " "))
+    return similar(pairs, head, n_texts).where((F.col("words_a") == F.col("words_b")) | apart).select("h_a", "g_a", "h_b", "g_b", "cosine")
 
 
 def similar(pairs: DataFrame, head, n_texts: int) -> DataFrame:
@@ -240,15 +268,6 @@ def similar(pairs: DataFrame, head, n_texts: int) -> DataFrame:
     return pairs.mapInArrow(run, schema + ", cosine double")
 
 
-def _verified(candidates: DataFrame, vectors: DataFrame, head, n_texts: int) -> DataFrame:
-    def side(s: str) -> DataFrame:
-        return vectors.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "h", "g", "words", "rare")])
-
-    pairs = similar(candidates.join(side("a"), "id_a").join(side("b"), "id_b"), head, n_texts)
-    apart = _edits_within(F.split("words_a", " "), F.split("words_b", " "))
-    return pairs.where((F.col("words_a") == F.col("words_b")) | apart).select("h_a", "g_a", "h_b", "g_b", "cosine")
-
-
 class Overlaps:
     """What rows of ``train`` and ``evaluation`` share; ``pairs`` and ``counts`` read what is found once."""
 
@@ -258,7 +277,7 @@ class Overlaps:
         self.rows = written(rows, "rows")  # unfiltered: a filter would evaluate the expressions once more
         long = self.rows.where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= MIN_WORDS - 1)
         long = long.select("k", "side", "rec", "words", F.xxhash64("words").alias("h"), F.xxhash64(F.lit(1), "words").alias("g"))
-        texts = written(long.groupBy("words").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.bit_or("side").alias("sides")), "texts")
+        texts = written(long.groupBy("words").agg(F.first("h").alias("h"), F.first("g").alias("g"), F.bit_or("side").alias("sides")).withColumn("id", F.monotonically_increasing_id()), "texts")
         #: (h_a, g_a, h_b, g_b): near-same texts of the two sides, each once
         self.links = written(near_texts(texts, head_words), "links")
         self.members = long.select("k", "side", "rec", "h", "g")

@@ -99,6 +99,8 @@ def collate(batches: DataFrame, rows: DataFrame, key: str = "ord", audio: str =
 
 
 def clean_pass(df: DataFrame, share: float = 0.08, start_epoch: int = 0, epoch: int = 0, seed: int = 0, key: str = "ord") -> DataFrame:
-    """``df`` with the seeded flag ``clean_pass``; false throughout before the start epoch."""
-    draw = F.pmod(F.xxhash64(F.lit(seed + epoch), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)
+    """``df`` with the seeded flag ``clean_pass``; false throughout before the start epoch. Digests draw it, as they do the
+    shuffles, so any engine can repeat it."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), F.col(key).cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1_000_000 < int(share * 1_000_000)
     return df.withColumn("clean_pass", F.lit(epoch >= start_epoch) & draw)

@@ -67,14 +67,19 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder that is removed with the tables of the current scope."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` as a table in the shared folder: computed once, survives the loss of executors, its size known to the planner.
     The job runs here, while a query is put together."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append((spark, path))
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:

@@ -137,3 +137,23 @@ def test_mix(spark, monkeypatch):
     assert sorted(map(tuple, again)) == sorted(map(tuple, choice))
     empty = X.Mix(documents.limit(0), targets)
     assert empty.choice().count() == 0 and empty.order().count() == 0 and empty.shares().count() == 5
+
+
+def test_lengths_are_chosen_by_cost():
+    lengths = np.array([3.9, 3.9, 3.9, 1.9, 1.9, 1.4])
+    few = P.pack(lengths, 10.0, [2.0, 4.0, 5.0])
+    tight = P.pack(lengths, 10.0, [2.0, 4.0, 5.0], bin_cost=0.0)
+    assert len(few[1]) == 2 and len(tight[1]) == 6
+    assert set(tight[2]) == {2.0, 4.0} and set(few[2]) <= {2.0, 4.0, 5.0, 10.0}
+    assert (tight[2] - tight[1]).sum() <= (few[2] - few[1]).sum()
+    assert P.permitted_lengths(10.0, [3]) == [3.0, 10.0]
+    for wrong in ([11.0], [0.0], [float("nan")]):
+        with pytest.raises(ValueError):
+            P.permitted_lengths(10.0, wrong)
+
+
+def test_profiles_with_their_own_lengths(spark):
+    rows = spark.createDataFrame([(i, float(1 + i % 7)) for i in range(200)], "ord bigint, duration double")
+    out = P.pack_batches(rows, {"a": 10.0, "b": 9.0}, permitted={"a": [3.0, 7.0]}, bin_cost=0.0).collect()
+    assert len(out) == 400 and {r["batch_size"] for r in out if r["profile"] == "a"} <= {3.0, 7.0, 10.0}
+    assert all(r["batch_seconds"] <= r["batch_size"] * (1 + 1e-9) for r in out)

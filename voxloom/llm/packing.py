@@ -2,8 +2,10 @@
 
 Rows are dealt at random to shards of a bounded number of items. Each shard is packed for every profile by best fit in
 order of falling length: an item goes into the open bin that it leaves the least space in; where none holds it, the
-bin size of least cost is opened, cost being a fixed part per bin plus its size, spread over what is still there to fill
-it. At last each bin is given the smallest permitted size that holds its contents. What a shard can't fill well, its
+permitted bin length of least cost is opened, cost being a fixed part per bin plus its length, spread over what is still
+there to fill it. At last each bin is given the smallest permitted length that holds its contents. Lengths and the
+fixed part are parameters: without a fixed part the shortest bin that holds an item is opened, which wastes least space
+but makes many bins; the one used puts few bins before little space. What a shard can't fill well, its
 few loosest bins, is handed on and packed again together with that of ``FAN_IN`` other shards, until one group is
 left, so the loss of dealing to shards doesn't add up.
 
@@ -30,19 +32,27 @@ SHARD_ITEMS = 1 << 16
 FAN_IN = 256
 #: The emptiest bins of a shard that are filled to less than that share, with about so many items, are packed again.
 LOOSE_ITEMS, LOOSE_FILL = 1024, 0.98
-#: Permitted sizes as shares of the capacity, and the fixed cost of a bin as such a share: so high that few bins come
-#: before little unused space, and a smaller size is opened only for what is left at the end.
+#: Permitted lengths where none are given, as shares of the capacity, and the fixed cost of a bin as such a share: so high
+#: that few bins come before little unused space, and a shorter one is opened only for what is left at the end.
 SIZES = (0.25, 0.5, 0.75, 1.0)
 BIN_COST = 100.0
 #: Space left free in each bin, as a share, so that sums in another order don't exceed the capacity.
 _SLACK = 1e-12
 
 
-def pack(lengths: np.ndarray, capacity: float, sizes: Sequence[float] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bin of each item; the fill and the permitted size of each bin."""
+def permitted_lengths(capacity: float, lengths: Sequence[float] | None = None) -> list[float]:
+    """The bin lengths of a capacity, rising; the capacity is always one, longer or unusable ones are an error."""
+    given = [capacity * s for s in SIZES] if lengths is None else [*map(float, lengths), float(capacity)]
+    if not all(0 < s <= capacity for s in given):
+        raise ValueError(f"permitted lengths must be above 0 and at most {capacity}")
+    return sorted(set(given))
+
+
+def pack(lengths: np.ndarray, capacity: float, permitted: Sequence[float] | None = None, bin_cost: float = BIN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bin of each item; the fill and the permitted length of each bin. ``bin_cost`` is in capacities."""
     order = np.argsort(-lengths, kind="stable")
     left = np.cumsum(lengths[order][::-1])[::-1]  # what is still to be placed, from each item on
-    permitted = sorted(capacity * s for s in sizes)
+    permitted = permitted_lengths(capacity, permitted)
     slack = capacity * _SLACK
     bins = np.empty(len(lengths), np.int64)
     space: list[tuple[float, int]] = []
@@ -55,7 +65,7 @@ def pack(lengths: np.ndarray, capacity: float, sizes: Sequence[float] = SIZES) -
         else:
             # the size that costs least per second of what can still fill it; the full one where nothing else holds the item
             fitting = [s for s in permitted if s >= length + slack] or permitted[-1:]
-            free, b = min(fitting, key=lambda s: (capacity * BIN_COST + s) / min(s, rest)), n_bins
+            free, b = min(fitting, key=lambda s: (capacity * bin_cost + s) / min(s, rest)), n_bins
             n_bins += 1
         out[k] = b
         insort(space, (free - length, b))
@@ -65,12 +75,12 @@ def pack(lengths: np.ndarray, capacity: float, sizes: Sequence[float] = SIZES) -
     return bins, fill, size
 
 
-def _packer(capacities: dict[str, float], level: int, last: bool):
+def _packer(capacities: dict[str, float], level: int, last: bool, permitted: dict[str, Sequence[float]], bin_cost: float):
     """Packs one group of items; flags the items of the loosest bins unless this is the last level."""
 
     def one(part: pd.DataFrame, profile: str, group: int) -> pd.DataFrame:
         capacity = capacities[profile]
-        bins, fill, size = pack(part["seconds"].to_numpy(), capacity)
+        bins, fill, size = pack(part["seconds"].to_numpy(), capacity, permitted.get(profile), bin_cost)
         loose = np.zeros(len(fill), bool)
         if not last:
             emptiest = np.argsort(fill, kind="stable")
@@ -81,8 +91,8 @@ def _packer(capacities: dict[str, float], level: int, last: bool):
     return one
 
 
-def _repacker(capacities: dict[str, float], level: int, last: bool):
-    packer = _packer(capacities, level, last)
+def _repacker(*how):
+    packer = _packer(*how)
 
     def again(ids, part: pd.DataFrame) -> pd.DataFrame:
         return packer(part, ids[0], int(ids[1]))[_OUT]
@@ -93,16 +103,18 @@ def _repacker(capacities: dict[str, float], level: int, last: bool):
 _OUT = ["profile", "key", "piece", "seconds", "batch", "fill", "size", "loose"]
 
 
-def pack_batches(df: DataFrame, capacities: dict[str, float], key: str = "ord", length: str = "duration") -> DataFrame:
+def pack_batches(df: DataFrame, capacities: dict[str, float], key: str = "ord", length: str = "duration", permitted: dict[str, Sequence[float]] | None = None, bin_cost: float = BIN_COST) -> DataFrame:
     """(profile, key, piece, seconds, batch, batch_seconds, batch_size) of every usable item and profile.
-    ``capacities`` has the capacity of each profile, a handful of them."""
+    ``capacities`` has the capacity of each profile, a handful of them; ``permitted`` the bin lengths of those profiles
+    that have their own."""
+    own = {p: permitted_lengths(c, (permitted or {}).get(p)) for p, c in capacities.items()}
     kind = df.schema[key].dataType.simpleString()
     schema = f"profile string, key {kind}, piece bigint, seconds double, batch bigint, fill double, size double, loose boolean"
     usable = df.select(F.col(key).alias("key"), F.col(length).cast("double").alias("d")).where("d > 0 and not isnan(d) and d < double('infinity')")
     shards = max(1, -(-usable.count() // SHARD_ITEMS))
     items = usable.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
 
-    first = _packer(capacities, 1, shards == 1)
+    first = _packer(capacities, 1, shards == 1, own, bin_cost)
 
     def pack_shard(ids, part: pd.DataFrame) -> pd.DataFrame:
         d, group = part["d"].to_numpy(), int(part["group"].iloc[0])
@@ -117,7 +129,7 @@ def pack_batches(df: DataFrame, capacities: dict[str, float], key: str = "ord",
     done, level, groups = [packed.where("not loose")], 1, shards
     while groups > 1:
         level, groups = level + 1, -(-groups // FAN_IN)
-        again = _repacker(capacities, level, groups == 1)
+        again = _repacker(capacities, level, groups == 1, own, bin_cost)
         loose = packed.where("loose").withColumn("group", F.floor((F.col("batch").bitwiseAND((1 << 56) - 1) / (1 << 24)) / FAN_IN).cast("int"))
         packed = written(loose.groupBy("profile", "group").applyInPandas(again, schema), "packed")
         done.append(packed.where("not loose"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import arrays as A
 from voxloom.functions import text as X
-from voxloom.operators import admit, assemble, augment, batching, decode, reports, signal, tokens
+from voxloom.operators import admit, assemble, batching, beam, decode, reports, signal, tokens
 from voxloom.plans.catalogue import _B, _KEY, _MICRO, _USABLE, _batchable, _strip, _t, _words, query
 from voxloom.scale import scratch_path
 from voxloom.sources import audio, manifests, sinks
@@ -409,3 +409,21 @@ def tdt_greedy(spark, sf_dir):
 def transcripts(spark, sf_dir):
     model = lambda: lambda waves: [f"{len(w)} samples" for w in waves]
     return decode.transcribe(_clips(spark, sf_dir).withColumnRenamed("vec_id", "path"), model)
+
+
+_PATHS = """
+p AS (SELECT vec_id, unnest(range(3)) AS t, embedding FROM embeddings),
+e AS (SELECT vec_id, t, list_transform(embedding[t * 3 + 1:t * 3 + 3], lambda x: exp(4 * x::DOUBLE)) AS w FROM p),
+q AS (SELECT vec_id, t, list_transform(w, lambda x: x / list_sum(w)) AS w FROM e),
+f AS (SELECT vec_id, max(w) FILTER (WHERE t = 0) AS a, max(w) FILTER (WHERE t = 1) AS b, max(w) FILTER (WHERE t = 2) AS c FROM q GROUP BY vec_id),
+s AS (SELECT vec_id, a[i + 1] * b[j + 1] * c[k + 1] AS v, concat(CASE WHEN i <> 0 THEN i END, CASE WHEN j <> 0 AND j <> i THEN j END, CASE WHEN k <> 0 AND k <> j THEN k END) AS ids
+  FROM f, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(3)) AS k)),
+g AS (SELECT vec_id, ids, sum(v) AS v FROM s GROUP BY ALL)"""
+
+
+@query(f"WITH {_PATHS} SELECT vec_id, arg_max(ids, v) AS ids FROM g GROUP BY vec_id")
+def beam_decode(spark, sf_dir):
+    x = F.transform("embedding", lambda v: 4 * v.cast("double"))
+    frames = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: F.slice(x, t * 3 + 1, 3))
+    norm = F.transform(frames, lambda r: F.transform(r, lambda v: v - F.log(F.aggregate(r, F.lit(0.0), lambda a, y: a + F.exp(y)))))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(beam.beam_ids(40)(norm), "").alias("ids"))

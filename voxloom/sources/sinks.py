@@ -7,7 +7,7 @@ import json
 import tarfile
 import uuid
 import wave
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -58,14 +58,63 @@ def recover_folder(spark: SparkSession, path: str) -> bool:
     return fs.rename(aside, old)
 
 
-def write_manifest(df: DataFrame, path: str, mode: str = "overwrite", keep_nulls: bool = True) -> None:
-    """JSON lines in the order of ``ord``; null fields are written."""
-    rows = df.orderBy("ord") if "ord" in df.columns else df
-    save = lambda d, p, m: d.write.mode(m).option("ignoreNullFields", str(not keep_nulls).lower()).json(p)
+def write_manifest(df: DataFrame, path: str, mode: str = "overwrite", keep_nulls: bool = True, drop: Sequence[str] = ()) -> None:
+    """JSON lines in the order of ``ord``; null fields are written. ``drop`` names columns that aren't written, such as the
+    order. Appended files get names that come behind those that are there, so the lines keep their order."""
+    rows = (df.orderBy("ord") if "ord" in df.columns else df).drop(*drop)
+    save = lambda d, p: d.write.mode("overwrite").option("ignoreNullFields", str(not keep_nulls).lower()).json(p)
     if mode == "append":
-        save(rows, path, "append")
+        _append(rows, path.rstrip("/"), save)
     else:
-        replace_folder(rows, path, lambda d, p: save(d, p, "overwrite"))
+        replace_folder(rows, path, save)
+
+
+def _append(df: DataFrame, path: str, save: Callable[[DataFrame, str], None]) -> None:
+    spark = df.sparkSession
+    beside = f"{path}.tmp-{uuid.uuid4().hex}"
+    save(df, beside)
+    new, fs = _fs(spark, beside)
+    place, _ = _fs(spark, path)
+    fs.mkdirs(place)
+    names = lambda folder: sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    times = [int(n[6:14]) for n in names(place) if n.startswith("part-z")]
+    at = max(times, default=0) + 1
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for k, name in enumerate(names(new)):
+        if not fs.rename(target(new, name), target(place, f"part-z{at:08d}-{k:06d}.json")):
+            raise OSError(f"{name} could not be moved to {path}")
+    fs.delete(new, True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, fs = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: the old one stays until the new one is written."""
+    target, fs = _fs(spark, path)
+    beside, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    fs.mkdirs(target.getParent())
+    out = fs.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"{beside} could not be moved to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it isn't there."""
+    target, fs = _fs(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode()
+    finally:
+        stream.close()
 
 
 def backup(spark: SparkSession, path: str, folder: str) -> str | None:

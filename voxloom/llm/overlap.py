@@ -45,6 +45,8 @@ MIN_WORDS = 8
 ONE_IN = 5
 #: A term of a word that more texts have is no list of its own, but one with each term behind it.
 LONG_LIST = 64
+#: Texts' postings that meet in one task, about a dozen from each text.
+TASK_TEXTS = 1 << 14
 #: Squared weights are whole multiples of one over this.
 UNIT = 64
 
@@ -222,8 +224,11 @@ def near_texts(texts: DataFrame, head_words: int = HEAD_KEYS) -> DataFrame:
     head = texts.sparkSession.sparkContext.broadcast({r["w"]: (r["n"], r["sides"]) for r in frequent.toLocalIterator()})
     common, rest = by_rarity(texts, tail, head)
 
+    # tasks as many as the texts need, so that none grows with the data, whatever number the session sets
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_texts // TASK_TEXTS))
+
     def named(side: int, s: str) -> DataFrame:
-        every = postings(common, side, head, n_texts).unionByName(postings(rest, side, head, n_texts))
+        every = postings(common, side, head, n_texts).unionByName(postings(rest, side, head, n_texts)).repartition(tasks, "key")
         return every.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sign", "least", "reach")])
 
     longer = F.greatest("n_a", "n_b")

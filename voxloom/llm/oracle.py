@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+from voxloom.llm.tokenizers import TOKENIZER_DIR
 from voxloom.llm.quantiles import RELATIVE_ERROR, ZERO_AT, gamma
 
 _LN = repr(math.log(gamma(RELATIVE_ERROR)))
@@ -82,6 +83,44 @@ SELECT ord FROM e WHERE text <> nfc_normalize(text) OR regexp_matches(t, '[{_WRO
     OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND regexp_full_match(strip_accents(w), '[\\p{{Latin}}{_SAME}{_NEAR}]+')))) OR {_STRANGE})) > 0
 """
 
+# The tokenizer in SQL: the published splitting pattern, whose look-ahead RE2 hasn't, so a sign that stands nowhere parts the
+# last white space of a run from the rest; then merges of neighbours by rank, one at a time, over the distinct pieces.
+_WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_PART = "\U0010fffd"
+_SPLIT = f"''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_WHITE}{_PART}\\p{{L}}\\p{{N}}]+|[{_WHITE}]+"
+
+
+def _merged(table: str, key: str) -> str:
+    """CTEs ``pieces`` (key, piece, place) and ``done`` (piece, toks: hexadecimal tokens) of a table's texts, and ``v`` (h, r)."""
+    return f"""RECURSIVE
+v AS (SELECT hex(from_base64(t)) AS h, CAST(r AS INTEGER) AS r FROM read_csv('{TOKENIZER_DIR}/byte_bpe_50k.tiktoken', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'BIGINT'}})),
+cut AS (SELECT {key}, regexp_extract_all(regexp_replace(text, '([{_WHITE}])([{_WHITE}][^{_WHITE}])', '\\1{_PART}\\2', 'g'), '{_SPLIT}') AS l FROM {table} WHERE text <> ''),
+pieces AS (SELECT {key}, unnest(l) AS piece, generate_subscripts(l, 1) AS place FROM cut),
+state AS (SELECT piece, regexp_extract_all(hex(piece), '..') AS toks FROM (SELECT DISTINCT piece FROM pieces)
+  UNION ALL
+  SELECT piece, list_concat(toks[:i - 1], [toks[i] || toks[i + 1]], toks[i + 2:]) FROM (
+    SELECT piece, any_value(toks) AS toks, arg_min(i, CAST(r AS BIGINT) * 1000000 + i) AS i FROM (SELECT piece, toks, unnest(range(1, len(toks))) AS i FROM state) u JOIN v ON v.h = toks[i] || toks[i + 1] GROUP BY piece)),
+done AS (SELECT piece, arg_min(toks, len(toks)) AS toks FROM state GROUP BY piece)"""
+
+
+_ROW_TOKENS = f"""{_merged("train_final", "ord")},
+tok AS (SELECT ord, CAST(sum(len(toks)) AS BIGINT) AS n FROM pieces JOIN done USING (piece) GROUP BY ord)"""
+_TOKENS = f"WITH {_ROW_TOKENS} SELECT ord, coalesce(n, 0) AS n_tokens FROM train_final LEFT JOIN tok USING (ord)"
+_DIMS = ("source", "language", "dataset", "domain_tag")
+_BUDGET = f"""WITH {_ROW_TOKENS},
+tag AS (SELECT name, config_name || '__' || split AS source, min(domain_tag) AS domain_tag FROM source_spec GROUP BY ALL),
+x AS (SELECT t.source, language, dataset, tag.domain_tag, coalesce(n, 0) AS n FROM train_final t LEFT JOIN tok USING (ord) LEFT JOIN tag ON tag.name = t.dataset AND tag.source = t.source),
+{", ".join(f"d_{c} AS (SELECT '{c}' AS dimension, {c} AS value, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens FROM x GROUP BY {c})" for c in _DIMS)}
+{" UNION ALL ".join(f"SELECT *, NULL AS source, NULL AS language, NULL AS dataset, NULL AS domain_tag FROM d_{c}" for c in _DIMS)}
+UNION ALL SELECT 'all', NULL, count(*), CAST(sum(n) AS BIGINT), NULL, NULL, NULL, NULL FROM x
+UNION ALL SELECT 'cell', NULL, count(*), CAST(sum(n) AS BIGINT), source, language, dataset, domain_tag FROM x GROUP BY source, language, dataset, domain_tag
+"""
+_DIGEST = f"""WITH {_merged("documents", "doc_id")},
+ranked AS (SELECT piece, list(r ORDER BY k) AS ids FROM (SELECT piece, unnest(toks) AS h, generate_subscripts(toks, 1) AS k FROM done) JOIN v USING (h) GROUP BY piece),
+d AS (SELECT doc_id, flatten(list(ids ORDER BY place)) AS ids FROM pieces JOIN ranked USING (piece) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS INTEGER) AS n_ids, md5(coalesce(array_to_string(ids, ','), '')) AS digest FROM documents LEFT JOIN d USING (doc_id)
+"""
+
 _KEPT = "SELECT mix_name, source, true AS near_target, true AS within_cap, true AS dealt_once FROM mix_targets"
 
-ORACLE: dict[str, str] = {"p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}
+ORACLE: dict[str, str] = {"p1_tokens": _TOKENS, "p1_budget": _BUDGET, "p6_digest": _DIGEST, "p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}

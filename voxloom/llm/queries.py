@@ -78,6 +78,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = p6_ids(spark, sf_dir)
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.array_join("ids", ",").cast("binary")).alias("digest"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> Mix:
     return Mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
 
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
+    "p6_digest": p6_digest,
     "p7_choice": p7_choice,
     "p7_shares": p7_shares,
     "p7_order": p7_order,

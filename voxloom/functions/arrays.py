@@ -196,6 +196,16 @@ def warmup_steps(total: int, share: float) -> int:
     return max(1, int(total * share))
 
 
+def schedule(kind: str, step: Column, total: int, share: float, least: float = 0.0) -> Column:
+    """The factor of a scheduler by name (``noam`` or ``cosine``), its warm-up a share of all steps."""
+    warmup = warmup_steps(total, share)
+    if kind == "noam":
+        return noam(step, warmup)
+    if kind == "cosine":
+        return cosine(step, warmup, total, least)
+    raise ValueError(f"unknown scheduler {kind!r}")
+
+
 def drop_path(layers: int, most: float) -> Column:
     """Drop probability of each layer, rising in equal steps."""
     return F.transform(F.sequence(F.lit(0), F.lit(layers - 1)), lambda i: F.lit(float(most)) * i / F.lit(float(max(1, layers - 1))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -62,3 +63,28 @@ def admitted(manifest: DataFrame, **rules) -> DataFrame:
 def feasible(batch: DataFrame, out_len: str = "out_len", target_len: str = "target_len") -> DataFrame:
     """Rows whose encoder output is at least as long as their target; nothing where none is, so the batch is skipped."""
     return batch.where(F.col(out_len) >= F.col(target_len))
+
+
+def feasible_batches(batches: DataFrame, out_lens: str = "out_lens", targets: str = "targets", target_lens: str = "target_lens") -> DataFrame:
+    """Collated batches (arrays ``out_lens`` and ``target_lens``, ``targets`` joined end to end) with only their feasible rows: the
+    lengths of these and their targets joined anew. A batch without one stays, with empty arrays and ``skipped`` true."""
+    ends = F.transform(F.sequence(F.lit(1), F.size(target_lens)), lambda i: F.aggregate(F.slice(target_lens, 1, i), F.lit(0), lambda a, x: a + x))
+    members = F.arrays_zip(F.col(out_lens).alias("o"), F.col(target_lens).alias("n"), ends.alias("e"))
+    kept = F.when(F.size(target_lens) > 0, F.filter(members, lambda m: m["o"] >= m["n"]))
+    rows = batches.withColumn("_kept", F.coalesce(kept, F.array().cast("array<struct<o:int,n:int,e:int>>")))
+    return rows.withColumns(
+        {
+            out_lens: F.transform("_kept", lambda m: m["o"]),
+            targets: F.flatten(F.transform("_kept", lambda m: F.slice(targets, m["e"] - m["n"] + 1, m["n"]))),
+            target_lens: F.transform("_kept", lambda m: m["n"]),
+            "skipped": F.size("_kept") == 0,
+        }
+    ).drop("_kept")
+
+
+def warn_skipped(batches: DataFrame) -> int:
+    """The number of skipped batches, with a warning if there are any."""
+    n = batches.where("skipped").count()
+    if n:
+        warnings.warn(f"{n} batches hold no row whose target fits its encoder output", stacklevel=2)
+    return n

@@ -81,3 +81,11 @@ def transcribe(audio: DataFrame, model: Callable[[], Callable[[list], list[str]]
 
     kind = audio.schema[key].dataType.simpleString()
     return audio.select(key, samples).mapInPandas(run, f"`{key}` {kind}, text string")
+
+
+def transcribe_files(spark, paths: list[str], model: Callable[[], Callable[[list], list[str]]], batch: int = 16) -> DataFrame:
+    """(path, text) of audio files."""
+    from voxloom.sources.audio import audio_files, decoded
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return transcribe(decoded(audio_files(spark, listed=listed)), model, batch=batch)

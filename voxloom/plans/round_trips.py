@@ -13,6 +13,7 @@ from voxloom.plans.catalogue import _B, _KEY, _MICRO, _USABLE, _batchable, _stri
 from voxloom.scale import scratch_path
 from voxloom.sources import audio, manifests, sinks
 from voxloom.streaming import ingest as S
+from voxloom.streaming import supervise
 
 # --- assembly over keys that several buckets share ---------------------------------------------------------------------
 
@@ -427,3 +428,52 @@ def beam_decode(spark, sf_dir):
     frames = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: F.slice(x, t * 3 + 1, 3))
     norm = F.transform(frames, lambda r: F.transform(r, lambda v: v - F.log(F.aggregate(r, F.lit(0.0), lambda a, y: a + F.exp(y)))))
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(beam.beam_ids(40)(norm), "").alias("ids"))
+
+
+# --- watching, metrics, previews, batches ------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, event_type AS step, coalesce(event_type <> lag(event_type) OVER w, true) AS moved FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(moved::INT) OVER (PARTITION BY user_id ORDER BY rn) AS run FROM (SELECT p.*, row_number() OVER (PARTITION BY user_id ORDER BY ts, p.event_id) AS rn FROM p JOIN events e ON e.event_id = p.event_id))
+SELECT user_id, any_value(step) AS step, count(*) - 1 AS looks FROM r GROUP BY user_id, run HAVING count(*) - 1 >= 3
+""".replace("(PARTITION BY user_id ORDER BY ts, p.event_id) AS rn FROM p JOIN events e ON e.event_id = p.event_id", "(PARTITION BY p.user_id ORDER BY e.ts, p.event_id) AS rn FROM p JOIN events e ON e.event_id = p.event_id"))
+def stuck_jobs(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.col("event_type").alias("step"))
+    return supervise.stuck_jobs(events, ["user_id"], ["ts", "event_id"], most_stalls=3)
+
+
+@query("""
+SELECT 'run' AS run, s AS step, (SELECT count(*) FROM val_final WHERE ord % 3 = s)::DOUBLE AS rows, CASE WHEN s = 1 THEN NULL ELSE (SELECT count(text) FROM val_final WHERE ord % 3 = s)::DOUBLE END AS texts
+FROM (SELECT unnest([0, 1, 2]::BIGINT[]) AS s)
+""")
+def metric_log(spark, sf_dir):
+    folder = scratch_path(spark, "metrics")
+    counts = _t(spark, sf_dir, "val_final").groupBy((F.col("ord") % 3).alias("s")).agg(F.count(F.lit(1)).alias("rows"), F.count("text").alias("texts")).collect()  # three steps
+    for r in counts:
+        sinks.log_metrics(spark, folder, r["s"], {"rows": 0.0})
+        sinks.log_metrics(spark, folder, r["s"], {"rows": r["rows"]} | ({"texts": r["texts"]} if r["s"] != 1 else {}))
+    return sinks.metric_table(sinks.logged_metrics(spark, folder), ["rows", "texts"])
+
+
+@query("SELECT vec_id AS clip_id, k AS kind, len(embedding) / 16000.0::DOUBLE AS seconds, len(embedding) / 16000.0::DOUBLE AS probed FROM embeddings, (SELECT unnest(['clean', 'masked', 'full']) AS k)")
+def preview_files(spark, sf_dir):
+    folder = scratch_path(spark, "previews")
+    made = sinks.write_previews(_clips(spark, sf_dir).withColumnRenamed("vec_id", "clip_id"), folder)
+    made.write.parquet(f"{folder}/_rows")
+    made = spark.read.parquet(f"{folder}/_rows").withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    found = audio.probe(audio.audio_files(spark, folder)).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("seconds").alias("probed"))
+    return made.join(found, "file", "left").select("clip_id", "kind", "seconds", "probed")
+
+
+@query("""
+WITH e AS (SELECT label, vec_id // 8 AS b, vec_id, 5 + vec_id % 9 AS o, 3 + vec_id % 11 AS n FROM embeddings),
+g AS (SELECT label, b, string_agg(CAST(o AS VARCHAR), ',' ORDER BY vec_id) FILTER (WHERE o >= n) AS out_lens, string_agg(rtrim(repeat(vec_id || ',', n), ','), ',' ORDER BY vec_id) FILTER (WHERE o >= n) AS targets, count(*) FILTER (WHERE o >= n) = 0 AS skipped FROM e GROUP BY ALL)
+SELECT label, b, coalesce(out_lens, '') AS out_lens, coalesce(targets, '') AS targets, skipped FROM g
+""")
+def feasible_batches(spark, sf_dir):
+    own = _t(spark, sf_dir, "embeddings").select("label", F.floor(F.col("vec_id") / 8).alias("b"), "vec_id", (5 + F.col("vec_id") % 9).cast("int").alias("o"), (3 + F.col("vec_id") % 11).cast("int").alias("n"))
+    lists = own.groupBy("label", "b").agg(F.array_sort(F.collect_list(F.struct("vec_id", "o", "n"))).alias("m"))
+    targets = F.flatten(F.transform("m", lambda m: F.array_repeat(m["vec_id"], m["n"])))
+    made = admit.feasible_batches(lists.select("label", "b", F.transform("m", lambda m: m["o"]).alias("out_lens"), F.transform("m", lambda m: m["n"]).alias("target_lens"), targets.alias("targets")))
+    return made.select("label", "b", F.array_join("out_lens", ",").alias("out_lens"), F.array_join("targets", ",").alias("targets"), "skipped")

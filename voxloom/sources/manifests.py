@@ -71,6 +71,17 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("i").cast("int").alias("id"), F.col("p")[0].alias("piece"), F.col("p")[1].cast("double").alias("score"))
 
 
+# The splits a source may have.
+SPLITS = ("train", "validation", "test", "dev", "other")
+
+
+def check_source_split(split: str, known: tuple[str, ...] = SPLITS) -> str:
+    """A split's name, which may carry a slice or a suffix behind its known name (``train[:10%]``, ``train.clean``)."""
+    if not split or not split.replace("-", ".").replace("_", ".").replace("[", ".").split(".")[0] in known:
+        raise ValueError(f"unknown split {split!r}, expected one of {list(known)}")
+    return split
+
+
 def source_table(spark: SparkSession, path: str, fmt: str = "parquet", seed: int | None = None, key: str | None = None, limit: int | None = None) -> DataFrame:
     """A source as a table; with a seed its rows come in a seeded order, as far as ``limit``."""
     rows = spark.read.format(fmt).load(path)

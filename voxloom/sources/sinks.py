@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.text import stable_name
 from voxloom.operators.batching import in_order
 from voxloom.operators.reports import corpus_lines
-from voxloom.operators.signal import read_wav, resample, wav_seconds, write_wav
+from voxloom.operators.signal import add_noise, mute_gaps, read_wav, resample, wav_seconds, write_wav
 from voxloom.sources.store import exists, opened, put
 
 
@@ -277,3 +277,45 @@ def write_resampled(manifest: DataFrame, folder: str, rate: int = 16000) -> Data
     named = manifest.withColumn("_name", stable_name(F.col("audio_filepath")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in manifest.schema.fields if f.name != "content") + ", status string"
     return named.mapInPandas(run, schema)
+
+
+def log_metrics(spark: SparkSession, folder: str, step: int, metrics: dict[str, float], run: str = "run") -> None:
+    """Append metrics of a step to a table (run, step, metric, value). A step that is logged again replaces what it had."""
+    rows = [(k, float(v)) for k, v in metrics.items()]
+    spark.createDataFrame(rows, "metric string, value double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/run={run}/step={step}")
+
+
+def logged_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, step, metric, value) of all that was logged."""
+    return spark.read.schema("metric string, value double, run string, step bigint").parquet(folder).select("run", "step", "metric", "value")
+
+
+def metric_table(logged: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """One row per run and step with a column for each metric, null where it wasn't logged."""
+    return logged.groupBy("run", "step").pivot("metric", list(metrics)).agg(F.first("value"))
+
+
+def write_previews(clips: DataFrame, folder: str, rate: int = 16000, snr_db: float = 15.0, seed: int = 0, key: str = "clip_id") -> DataFrame:
+    """(key, kind, path, seconds, seed) of WAV files to listen to, three of each clip (key, samples): as it is, with gaps where
+    time masks would be, and with these and noise at a fixed ratio. What is drawn depends on the seed and the key."""
+    kind = clips.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zlib
+
+        import numpy as np
+
+        for part in parts:
+            rows = []
+            for k, x in zip(part[key], part["samples"]):
+                if x is None:
+                    continue
+                own = zlib.crc32(f"{seed}:{k}".encode())
+                clean = np.asarray(x, np.float32)
+                gaps = mute_gaps(clean, own)
+                noise = np.random.default_rng(own).normal(0, 1, len(clean)).astype(np.float32)
+                for what, y in (("clean", clean), ("masked", gaps), ("full", add_noise(gaps, noise, snr_db))):
+                    rows.append((k, what, put(f"{folder}/{k}_{what}.wav", write_wav(y, rate)), len(y) / rate, own))
+            yield pd.DataFrame(rows, columns=[key, "kind", "path", "seconds", "seed"])
+
+    return clips.select(key, "samples").mapInPandas(run, f"`{key}` {kind}, kind string, path string, seconds double, seed bigint")

@@ -5,6 +5,8 @@ import pytest
 from voxloom.llm.lookalike import SUSPECT, canonical_values, letter_tables, plain_form, rows_not_canonical, with_canonical
 
 SUSPECT_PYTHON = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), SUSPECT))
+# the table of look-alike letters is read through a session
+pytestmark = pytest.mark.usefixtures("spark")
 
 PLAIN = [
     "zażółć gęślą jaźń", "café naïve ça", "журнал", "ПРИВЕТ", "φωνή", "λόγος", "שלום", "東京", "ありがとう", "x² 10³ ½ ¾", "„cudzysłów” ’ “x”", "a – b — c…",

@@ -9,6 +9,8 @@ from voxloom.llm import overlap as O
 from voxloom.llm.lookalike import plain_form
 
 M = "ord bigint, text string, audio_filepath string, side int"
+# the table of look-alike letters is read through a session
+pytestmark = pytest.mark.usefixtures("spark")
 
 
 @pytest.mark.parametrize(

@@ -11,6 +11,8 @@ from voxloom.llm.lookalike import plain_form
 from voxloom.llm.tokenizers import TOKENIZER_DIR, encoding
 
 TEXT = st.text(st.one_of(st.sampled_from(list("a\u0430\u043e\u03bf\u0455\u0301\u0307\u200b\u200d\u00a0\uff45\ufb01\u2177\U0001f469\U0001f680'\u2019 \n1\u00b2\u017c")), st.characters(exclude_categories=["Cs"])), max_size=60)
+# the table of look-alike letters is read through a session
+pytestmark = pytest.mark.usefixtures("spark")
 
 
 @given(TEXT)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
-from voxloom.llm.tokenizers import TOKENIZER_DIR
 from voxloom.llm.quantiles import RELATIVE_ERROR, ZERO_AT, gamma
+from voxloom.llm.tokenizers import TOKENIZER_DIR
+from voxloom.plans.catalogue import _list_distance
 
 _LN = repr(math.log(gamma(RELATIVE_ERROR)))
 _G = repr(gamma(RELATIVE_ERROR))
@@ -121,6 +123,77 @@ d AS (SELECT doc_id, flatten(list(ids ORDER BY place)) AS ids FROM pieces JOIN r
 SELECT doc_id, CAST(coalesce(len(ids), 0) AS INTEGER) AS n_ids, md5(coalesce(array_to_string(ids, ','), '')) AS digest FROM documents LEFT JOIN d USING (doc_id)
 """
 
+# Overlaps in SQL: paths brought to their last three parts, words compared without look-alikes by a join on shared words and
+# the distance of lists. The tables of letters are this module's own; what Unicode decomposes is taken from its rules.
+_SHOWN = "aeopcyxsijhdqwlvABEKMHOPCTXSIJYQWIovcjABEZHIKMNOPTYXCJounhgOUAETJZMHhLPKBWVSagocvwzsukaikptuxwyYktmhbyriviNRLBH"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Two strings for ``translate``: letters and their look-alikes, with accents where one character has them."""
+    pairs = dict(zip(_WHOLE + _BESIDE, _SHOWN, strict=True))
+    for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0] in pairs and len(made := unicodedata.normalize("NFC", pairs[parts[0]] + parts[1:])) == 1:
+            pairs.setdefault(c, made)
+    return "".join(pairs), "".join(pairs.values())
+
+
+def _signs(one: bool) -> dict[str, str]:
+    """Compatibility forms of letters, digits and signs that are written as one character, or as several."""
+    found = {}
+    for c in map(chr, [*range(0x132, 0x134), *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2100, 0x2150), *range(0x2160, 0x2180), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7), *range(0x1D400, 0x1D800)]):
+        plain = unicodedata.normalize("NFKC", c)
+        sign = 0x2100 <= ord(c) < 0x2150
+        if plain != c and (len(plain) == 1) == one and not (sign and not (plain.isascii() and plain.isalnum())):
+            found[c] = plain
+    return found
+
+
+def _text(x: str) -> str:
+    for c, plain in _signs(False).items():
+        x = f"replace({x}, '{c}', '{plain}')"
+    one = _signs(True)
+    return f"translate({x}, '{''.join(one)}', '{''.join(one.values()).replace(chr(39), chr(39) * 2)}')"
+
+
+def _words_of(x: str) -> str:
+    """The words of a text as they are compared, joined by blanks; null for null."""
+    bare = f"regexp_replace(regexp_replace(nfc_normalize({x}), '[{_class(_INVISIBLE)}\\x{{e0001}}-\\x{{e01ef}}]', '', 'g'), '[{_class(_SPACES)}]', ' ', 'g')"
+    words = f"regexp_split_to_array(regexp_replace(nfc_normalize({_text(bare)}), '\\p{{P}}+', '', 'g'), '[{_WHITE}]+')"
+    a, b = _plain_letters()
+    latin = lambda near: f"regexp_full_match(strip_accents(w), '([^\\p{{L}}]|\\p{{Latin}}|[{_SAME}{near}])+')"
+    mapped = f"CASE WHEN {latin('')} OR (regexp_matches(strip_accents(w), '[A-Za-z]') AND {latin(_NEAR)}) THEN translate(w, '{a}', '{b}') ELSE w END"
+    joined = f"array_to_string(list_filter(list_transform({words}, lambda w: {mapped}), lambda w: w <> ''), ' ')"
+    return f"regexp_replace(lower({joined}), '(\\p{{L}})σ([^\\p{{L}}]|$)', '\\1ς\\2', 'g')"
+
+
+def _key_of(x: str) -> str:
+    p = f"lower(replace(CASE WHEN contains({x}, '%') THEN url_decode({x}) ELSE {x} END, chr(92), '/'))"
+    p = f"regexp_replace(regexp_replace(trim({p}), '^[a-z][a-z0-9+.-]*://', '/'), '/(\\.?/)+', '/', 'g')"
+    for _ in range(4):
+        p = f"regexp_replace({p}, '(^|/)[^/]*[^/.][^/]*/\\.\\.(/|$)', '\\1')"
+    parts = f"string_split(trim(regexp_replace(regexp_replace({p}, '^(\\.?\\.?/)+', '/'), '/\\.$', ''), '/'), '/')"
+    return f"CASE WHEN len({parts}) >= 3 THEN regexp_replace(array_to_string({parts}[-3:], '/'), '([^/])\\.[^./]*$', '\\1') END"
+
+
+_OVERLAPS = f"""
+m AS (SELECT ord, text, audio_filepath, 1 AS side FROM train_final UNION ALL SELECT ord, text, audio_filepath, 2 FROM val_final UNION ALL SELECT ord, text, audio_filepath, 3 FROM test_final),
+k AS MATERIALIZED (SELECT ord, side, {_key_of('audio_filepath')} AS rec, {_words_of('text')} AS words FROM m),
+n AS (SELECT ord, least(side, 2) AS side, words, string_split(words, ' ') AS l FROM k WHERE len(string_split(words, ' ')) >= 8),
+t AS MATERIALIZED (SELECT words, any_value(l) AS l, len(any_value(l)) AS n, bool_or(side = 1) AS train, bool_or(side = 2) AS eval FROM n GROUP BY words),
+u AS (SELECT words, n, train, eval, w, count(*) AS c FROM (SELECT words, n, train, eval, unnest(l) AS w FROM t) GROUP BY ALL),
+c AS (SELECT a.words AS wa, b.words AS wb FROM u a JOIN u b USING (w) WHERE a.train AND b.eval AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4
+      GROUP BY a.words, b.words, a.n, b.n HAVING sum(least(a.c, b.c)) >= greatest(a.n, b.n) - greatest(a.n, b.n) // 5),
+s AS (SELECT wa, wb FROM c JOIN t a ON a.words = wa JOIN t b ON b.words = wb WHERE wa = wb OR {_list_distance('a.l', 'b.l')} <= greatest(a.n, b.n) // 5),
+pairs AS (SELECT a.ord AS train_ord, b.ord AS eval_ord FROM k a JOIN k b USING (rec) WHERE a.side = 1 AND b.side > 1
+  UNION SELECT a.ord, b.ord FROM s JOIN n a ON a.words = wa AND a.side = 1 JOIN n b ON b.words = wb AND b.side = 2)"""
+_FOUND = f"WITH {_OVERLAPS} SELECT train_ord, eval_ord FROM pairs"
+_COUNTS = f"""
+WITH {_OVERLAPS}, p AS (SELECT eval_ord AS ord, count(*) AS n FROM pairs GROUP BY eval_ord),
+e AS (SELECT ord, 'val' AS split, dataset, source FROM val_final UNION ALL SELECT ord, 'test', dataset, source FROM test_final)
+SELECT split, dataset, source, CAST(sum(n) AS BIGINT) AS pairs, count(*) AS eval_rows FROM e JOIN p USING (ord) GROUP BY ALL
+"""
+
 _KEPT = "SELECT mix_name, source, true AS near_target, true AS within_cap, true AS dealt_once FROM mix_targets"
 
-ORACLE: dict[str, str] = {"p1_tokens": _TOKENS, "p1_budget": _BUDGET, "p6_digest": _DIGEST, "p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}
+ORACLE: dict[str, str] = {"p1_tokens": _TOKENS, "p1_budget": _BUDGET, "p4_found": _FOUND, "p4_counts": _COUNTS, "p6_digest": _DIGEST, "p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}

@@ -194,6 +194,10 @@ e AS (SELECT ord, 'val' AS split, dataset, source FROM val_final UNION ALL SELEC
 SELECT split, dataset, source, CAST(sum(n) AS BIGINT) AS pairs, count(*) AS eval_rows FROM e JOIN p USING (ord) GROUP BY ALL
 """
 
+_PACKED = """
+SELECT profile, count(*) AS items, CAST(sum(CASE WHEN duration > max_duration THEN ceil(duration / max_duration) ELSE 1 END) AS BIGINT) AS pieces, round(sum(duration), 1) AS seconds, true AS within, true AS tight
+FROM train_final, batch_profiles WHERE duration > 0 AND NOT isnan(duration) AND duration < 'infinity'::DOUBLE GROUP BY profile
+"""
 _KEPT = "SELECT mix_name, source, true AS near_target, true AS within_cap, true AS dealt_once FROM mix_targets"
 
-ORACLE: dict[str, str] = {"p1_tokens": _TOKENS, "p1_budget": _BUDGET, "p4_found": _FOUND, "p4_counts": _COUNTS, "p6_digest": _DIGEST, "p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}
+ORACLE: dict[str, str] = {"p2_kept": _PACKED, "p1_tokens": _TOKENS, "p1_budget": _BUDGET, "p4_found": _FOUND, "p4_counts": _COUNTS, "p6_digest": _DIGEST, "p7_kept": _KEPT, "p3_partials": _PARTIALS, "p3_percentiles": _PERCENTILES, "p5_found": _DISGUISED, "p8_found": _PAIRS, "p8_coverage": _COVERAGE, "p8_links": _LINKS}

@@ -15,6 +15,7 @@ from voxloom.llm.lookalike import rows_not_canonical, with_canonical
 from voxloom.llm.packing import batch_fill, pack_batches
 from voxloom.llm.quantiles import combine, partial_counts, percentiles
 from voxloom.llm.spans import shared_coverage, shared_links, shared_pairs
+from voxloom.scale import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,18 @@ def p2_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_fill(p2_batches(spark, sf_dir))
 
 
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packing must keep, per profile: every usable row whole or in as few pieces as it needs, no second lost, no batch
+    over its length, and hardly more batches than total length asks for."""
+    profiles = _table(spark, sf_dir, "batch_profiles")
+    packed = written(p2_batches(spark, sf_dir), "batches")
+    items = packed.groupBy("profile").agg(F.count_distinct("ord").alias("items"), F.count(F.lit(1)).alias("pieces"), F.sum("seconds").alias("s"))
+    fill = batch_fill(packed).groupBy("profile").agg(F.count(F.lit(1)).alias("batches"), F.max("seconds").alias("longest"))
+    both = items.join(fill, "profile").join(profiles, "profile")
+    tight = F.col("batches") <= F.ceil(F.col("s") / F.col("max_duration")) * 1.05 + 2
+    return both.select("profile", "items", "pieces", F.round("s", 1).alias("seconds"), (F.col("longest") <= F.col("max_duration") * (1 + 1e-9)).alias("within"), tight.alias("tight"))
+
+
 def p3_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = _table(spark, sf_dir, "train_final").where("duration > 0").select(F.to_date("ingested_at").alias("day"), "dataset", "duration")
     return partial_counts(usable, "duration", ["day", "dataset"])
@@ -120,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_budget": p1_budget,
     "p2_batches": p2_batches,
     "p2_fill": p2_fill,
+    "p2_kept": p2_kept,
     "p3_partials": p3_partials,
     "p3_percentiles": p3_percentiles,
     "p4_found": p4_found,

@@ -107,3 +107,23 @@ def test_rejects(spark):
 
     good, bad = S.split_valid(spark.createDataFrame([(1,), (None,), (-1,)], "x int"), F.col("x") > 0)
     assert good.count() == 1 and bad.count() == 2
+
+
+def test_each_shard_goes_on_from_its_own_cursor(spark):
+    import os
+
+    from voxloom.sources.paged import PagedSource
+
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "paged_fixture.py"))
+    spark.dataSource.register(PagedSource)
+    df = spark.read.format("paged").schema("shard int, n int").option("pages", "paged_fixture:numbers").option("shards", 3).option("start", 7).option("cursors", "[9, null]").option("pause", 0).load()
+    assert sorted(map(tuple, df.collect())) == sorted((s, s + i * 3) for s, first in ((0, 9), (1, 7), (2, 7)) for i in range(first, 10))
+
+
+def test_small_files_are_spread_over_the_cores(spark, tmp_path):
+    from voxloom.scale import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(spread(one).collect()) == sorted(one.collect())

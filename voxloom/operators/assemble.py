@@ -87,6 +87,7 @@ def assemble(manifests: DataFrame, targets: DataFrame, max_hours: float | None =
     row that would go over it. Null, NaN and missing durations count as 0 hours. ``ord`` is unique within a bucket, as
     line numbers are."""
     buckets = targets.select(F.col("name").alias("dataset"), "seq", "target")
+    # targets are as many as the configuration has buckets
     rows = _keyed(manifests).where("key is not null").join(F.broadcast(buckets), "dataset")
     # keys and places only; each is read several times below, so it is written
     first = written(rows.groupBy("seq", "key").agg(F.min("ord").alias("ord"), F.max("target").alias("target")), "first")

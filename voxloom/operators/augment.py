@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxloom.operators import signal as G
 
@@ -50,7 +51,10 @@ def _collected(bank: DataFrame | None, samples: str) -> list[np.ndarray]:
     total = bank.selectExpr(f"coalesce(sum(size({samples})), 0) AS n").first()["n"]
     if total > BANK_SAMPLES:
         raise ValueError(f"a bank of {total} samples can't be sent to every executor; build it with fewer items")
-    return [np.asarray(r[samples], np.float32) for r in bank.select(samples).collect()]
+    # in Arrow batches: four bytes a sample, no Python number for each
+    clips = bank.select(F.col(samples).cast("array<float>").alias("x")).where("x is not null").toArrow().column("x")
+    each = lambda c: np.split(c.flatten().to_numpy(zero_copy_only=False), (c.offsets.to_numpy() - c.offsets[0].as_py())[1:-1])
+    return [clip for chunk in clips.chunks if len(chunk) for clip in each(chunk)]
 
 
 def augmented(df: DataFrame, config: Augment, epoch: int, noises: DataFrame | None = None, responses: DataFrame | None = None, seed: int = 0, key: str = "ord", samples: str = "samples", rate: int = 16000) -> DataFrame:

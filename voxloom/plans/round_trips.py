@@ -477,3 +477,73 @@ def feasible_batches(spark, sf_dir):
     targets = F.flatten(F.transform("m", lambda m: F.array_repeat(m["vec_id"], m["n"])))
     made = admit.feasible_batches(lists.select("label", "b", F.transform("m", lambda m: m["o"]).alias("out_lens"), F.transform("m", lambda m: m["n"]).alias("target_lens"), targets.alias("targets")))
     return made.select("label", "b", F.array_join("out_lens", ",").alias("out_lens"), F.array_join("targets", ",").alias("targets"), "skipped")
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), p AS (SELECT vec_id, x, unnest(range(58)) AS i FROM v),
+q AS (SELECT vec_id, x, i, greatest(0, least(63, (i + 0.5::DOUBLE) * 64 / 58 - 0.5)) AS place FROM p)
+SELECT vec_id, CAST(i AS INTEGER) AS pos, round(x[floor(place)::INT + 1] * (1 - (place - floor(place))) + x[ceil(place)::INT + 1] * (place - floor(place)), 2) + 0.0 AS v FROM q
+""")
+def speed_changed(spark, sf_dir):
+    changed = signal.samples_udf(lambda x: signal.change_speed(x, 1.1))
+    rows = _clips(spark, sf_dir).select("vec_id", F.posexplode(changed(F.col("samples"))).alias("pos", "v"))
+    return rows.select("vec_id", "pos", (F.round(F.col("v").cast("double"), 2) + 0.0).alias("v"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), p AS (SELECT vec_id, x, unnest(range(64)) AS i FROM v)
+SELECT vec_id, CAST(i AS INTEGER) AS pos, round(x[i + 1] + CASE WHEN i > 0 THEN x[i] * 0.5 ELSE 0 END + CASE WHEN i > 1 THEN x[i - 1] * 0.25 ELSE 0 END, 2) + 0.0 AS v FROM p
+""")
+def reverberated(spark, sf_dir):
+    changed = signal.samples_udf(lambda x: signal.reverberate(x, np.array([1.0, 0.5, 0.25], np.float32)))
+    rows = _clips(spark, sf_dir).select("vec_id", F.posexplode(changed(F.col("samples"))).alias("pos", "v"))
+    return rows.select("vec_id", "pos", (F.round(F.col("v").cast("double"), 2) + 0.0).alias("v"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) // 16 + 1 AS INTEGER) AS frames, 80 AS mels FROM embeddings")
+def mel_shape(spark, sf_dir):
+    ten = F.flatten(F.array_repeat("samples", 10))  # 640 samples, so that a hop of 160 makes frames
+    made = _clips(spark, sf_dir).select("vec_id", signal.features_udf()(ten).alias("m"))
+    return made.select("vec_id", F.size("m").alias("frames"), F.size(F.col("m")[0]).alias("mels"))
+
+
+@query("""
+WITH g AS (SELECT vec_id, unnest(range(1 + label % 8)) AS t, embedding FROM embeddings)
+SELECT vec_id, CAST(t AS INTEGER) AS t, round(exp(embedding[t * 8 + 1]::DOUBLE), 6) AS first, CAST(5 AS INTEGER) AS symbols FROM g
+""")
+def probs_cut(spark, sf_dir):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", (1 + F.col("label") % 8).cast("int").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice(x, t * 8 + 1, 8)).alias("frames"))
+    cut = rows.select("vec_id", F.posexplode(A.to_probs(F.col("frames"), F.col("n"), 5)).alias("t", "p"))
+    return cut.select("vec_id", "t", F.round(F.col("p")[0], 6).alias("first"), F.size("p").alias("symbols"))
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def outcome_totals(spark, sf_dir):
+    return reports.outcomes(_t(spark, sf_dir, "events"), "event_type")
+
+
+@query("""
+SELECT vec_id AS clip_id, round(list_sum(list_transform(embedding[1:32], lambda x: abs(x::DOUBLE / greatest(1e-8, list_sum(list_transform(embedding[1:32], lambda y: abs(y::DOUBLE))))))), 6) AS energy
+FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 25
+""")
+def bank_choice(spark, sf_dir):
+    clips = _clips(spark, sf_dir).withColumnRenamed("vec_id", "clip_id").withColumn("samples", F.transform("samples", lambda v: v.cast("double")))
+    made = audio.bank(clips, least_s=0.001, most_items=25, responses=True, most_s=0.002)
+    return made.select("clip_id", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + F.abs(x)), 6).alias("energy"))
+
+
+@query("SELECT bool_and(seq % 2 = 0) AS as_they_are, true AS all_done, false AS none_there FROM source_spec")
+def exhausted_flag(spark, sf_dir):
+    states, _ = _states(spark, sf_dir)
+    done = states.withColumn("exhausted", F.lit(True))
+    return spark.createDataFrame([(assemble.all_exhausted(states), assemble.all_exhausted(done), assemble.all_exhausted(done.limit(0)))], "as_they_are boolean, all_done boolean, none_there boolean")
+
+
+@query("SELECT uid, text FROM test_final")
+def backup_copy(spark, sf_dir):
+    path, kept = scratch_path(spark, "manifest"), scratch_path(spark, "backups")
+    sinks.write_manifest(_t(spark, sf_dir, "test_final").select("ord", "uid", "text"), path)
+    copy = sinks.backup(spark, path, kept)
+    sinks.write_manifest(_t(spark, sf_dir, "val_final").select("ord", "uid", "text"), path)
+    return manifests.read_manifest(spark, copy).select("uid", "text")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows and bytes of a lookup side that may be broadcast; beyond either the join shuffles.
+#: Rows and bytes of a side that may be broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 300_000
 BROADCAST_BYTES = 32 << 20
 
@@ -90,11 +90,6 @@ def fits(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
     return n <= rows and of_text + 16 * n <= size
 
 
-def lookup_join(big: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "inner", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Join a written lookup table: broadcast while it fits, else a shuffled join, whose hot keys AQE splits."""
-    return big.join(F.broadcast(table) if fits(table, rows, size) else table.hint("merge"), on, how)
-
-
 #: Keys of a lookup table that always travel to the rows: the most frequent ones, of at most so many bytes each.
 HEAD_KEYS, HEAD_KEY_BYTES = 1 << 16, 64
 
@@ -133,9 +128,12 @@ def split_join(big: DataFrame, table: DataFrame, key: str, count: str = "n", key
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where a small file would give a CPU-heavy step a single task; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores where a small file would give a CPU-heavy step fewer tasks; larger inputs stay as they are. The
+    size is the planner's estimate, so nothing is run to find it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * (4 << 20) else df
 
 
 #: Blocks summed in one window; three levels of them cover BLOCK_FAN ** 2 blocks of any size.

@@ -90,9 +90,10 @@ def source_table(spark: SparkSession, path: str, fmt: str = "parquet", seed: int
     return rows if limit is None else rows.limit(limit)
 
 
-def source_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 8) -> DataFrame:
-    """A source as a stream of files; the number of files per trigger bounds what is in flight."""
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def source_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 8, bytes_per_trigger: str | None = None) -> DataFrame:
+    """A source as a stream of files; what is in flight is bounded by files per trigger, or by bytes if these are given."""
+    bound = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    return spark.readStream.format(fmt).schema(schema).option(*bound).load(path)
 
 
 def resolve_config(name: str, folders: tuple[str, ...] = (".", "configs")) -> Path:

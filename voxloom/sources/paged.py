@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,11 +24,14 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.pages = options["pages"]
         self.shards = int(options.get("shards", "1"))
-        self.start = int(options.get("start", "0"))
+        start = int(options.get("start", "0"))
+        #: Each shard goes on from its own cursor, as far as the option names them (a JSON list)
+        own = json.loads(options.get("cursors", "[]"))
+        self.cursors = [own[i] if i < len(own) and own[i] is not None else start for i in range(self.shards)]
         self.pause = float(options.get("pause", "45"))
 
     def partitions(self) -> list[Shard]:
-        return [Shard(i, self.shards, self.start) for i in range(self.shards)]
+        return [Shard(i, self.shards, self.cursors[i]) for i in range(self.shards)]
 
     def read(self, partition: Shard) -> Iterator[tuple]:
         module, _, name = self.pages.partition(":")
@@ -39,8 +43,8 @@ class PagedReader(DataSourceReader):
 
 
 class PagedSource(DataSource):
-    """``format("paged")`` with the options ``pages`` (module:function), ``shards``, ``start`` and a schema. Each shard is
-    a partition; slow-down errors of the source are waited out."""
+    """``format("paged")`` with the options ``pages`` (module:function), ``shards``, ``start`` (of all shards) or ``cursors`` (one
+    for each), and a schema. Each shard is a partition; slow-down errors of the source are waited out."""
 
     @classmethod
     def name(cls) -> str:

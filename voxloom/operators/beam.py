@@ -6,9 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 #: (ids so far, next id) -> log-probability of a language model
 LanguageModel = Callable[[tuple[int, ...], int], float]
@@ -46,13 +44,15 @@ def prefix_beam(log_probs: np.ndarray, width: int, blank: int = 0, model: Langua
     return list(next(iter(beams)))
 
 
-def beam_ids(width: int, blank: int = 0, load_model: Callable[[], LanguageModel] | None = None, alpha: float = 0.0, beta: float = 0.0) -> Callable[[Column], Column]:
-    """A column function from frames of log-probabilities to ids; the language model is loaded once per worker. Null stays null."""
+def beam_search(features: DataFrame, width: int, key: str = "utt_id", frames: str = "log_probs", blank: int = 0, load_model: Callable[[], LanguageModel] | None = None, alpha: float = 0.0, beta: float = 0.0) -> DataFrame:
+    """(key, ids) of utterances with ``frames`` of log-probabilities; the language model is loaded once per task. Null frames
+    have null ids."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model() if load_model else None
-        for batch in batches:
-            yield batch.map(lambda x: None if x is None else prefix_beam(np.array([np.asarray(r, float) for r in x]), width, blank, model, alpha, beta))
+        for part in parts:
+            ids = [None if x is None else prefix_beam(np.array([np.asarray(r, float) for r in x]), width, blank, model, alpha, beta) for x in part[frames]]
+            yield pd.DataFrame({key: part[key], "ids": ids})
 
-    return run
+    kind = features.schema[key].dataType.simpleString()
+    return features.select(key, frames).mapInPandas(run, f"`{key}` {kind}, ids array<int>")

@@ -425,9 +425,10 @@ g AS (SELECT vec_id, ids, sum(v) AS v FROM s GROUP BY ALL)"""
 @query(f"WITH {_PATHS} SELECT vec_id, arg_max(ids, v) AS ids FROM g GROUP BY vec_id")
 def beam_decode(spark, sf_dir):
     x = F.transform("embedding", lambda v: 4 * v.cast("double"))
-    frames = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: F.slice(x, t * 3 + 1, 3))
+    frames = F.array(*[F.slice(x, 3 * t + 1, 3) for t in range(3)])
     norm = F.transform(frames, lambda r: F.transform(r, lambda v: v - F.log(F.aggregate(r, F.lit(0.0), lambda a, y: a + F.exp(y)))))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_join(beam.beam_ids(40)(norm), "").alias("ids"))
+    found = beam.beam_search(_t(spark, sf_dir, "embeddings").select("vec_id", norm.alias("log_probs")), 40, "vec_id")
+    return found.select("vec_id", F.array_join("ids", "").alias("ids"))
 
 
 # --- watching, metrics, previews, batches ------------------------------------------------------------------------------

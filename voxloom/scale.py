@@ -132,7 +132,7 @@ def spread(df: DataFrame) -> DataFrame:
     size is the planner's estimate, so nothing is run to find it."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * (4 << 20) else df
 
 
